@@ -5,15 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash
+from . import decontam, ftrl, packing, quality, secrets, simhash, toxicity
 from .common import table
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.train(docs, ftrl.learned_part(table(spark, sf_dir, "labels")))
+    found = quality.score(docs, weights)
+    return found.select("doc_id", ftrl.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked, categories = toxicity.label_categories(ftrl.learned_part(table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, toxicity.train(docs, marked, categories), categories)
+    return found.select("doc_id", ftrl.held_out("doc_id").alias("held_out"), *[f"p_{c}" for c in categories], (F.col("p_toxic") >= toxicity.REJECT).alias("rejected"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_samples(spark)))
+    base = F.filter("found", lambda x: x["kind"] != "markov")
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(F.col("found")).alias("spans"),
+        "n_markov",
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
