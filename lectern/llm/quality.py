@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, mark: str = "quality", rows: int =
                     at, n = np.unique(own, return_counts=True)
                     data.append((np.append(at, BIAS).astype(np.int32), np.append(n * (SCALE / max(1, len(own))), 1.0).astype(np.float32)))
                     y.append(labels[i + d])
-        w = ftrl.fit(data, np.array(y), ftrl.DIM + 1, l1=0.2)
+        w = ftrl.fit(data, np.array(y), ftrl.DIM + 1, l1=1.0)
         at = np.flatnonzero(w)
         yield pa.record_batch([pa.array(at), pa.array(w[at])], ["at", "w"])
 

@@ -196,3 +196,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(names, "root").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """One row of each component stays: the one whose doc_id names it. All columns are kept.
+
+    Of repeated rows with that doc_id all but one go. Rows without doc_id cannot name a component and stay.
+    """
+    found = near_duplicates(docs, shingle).where(F.col("doc_id") == F.col("component_id"))
+    named = cut(found.groupBy("doc_id").count().select(F.col("doc_id").alias("kept_id"), "count"))
+    kept = docs.join(named.select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
+    if not named.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

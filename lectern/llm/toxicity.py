@@ -17,7 +17,7 @@ from .text import ALNUM, LOWER, chunks, mix, span_hashes, word_spans
 PREFIXES = (4, 5, 6, 7)
 FOLDS = 3
 #: Probability of the category "toxic" from which a document is rejected.
-REJECT = 0.5
+REJECT = 0.3
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,13 +59,13 @@ def fit_chain(rows, marks: np.ndarray, folds: int = FOLDS) -> np.ndarray:
     rows = [(np.append(at, dim - 1), np.append(x, 1.0)) for at, x in rows]
     chain = []
     for c in range(k):
-        chain.append(ftrl.fit(rows, marks[:, c], dim, l1=1.0))
+        chain.append(ftrl.fit(rows, marks[:, c], dim, l1=2.0))
         if c + 1 == k:
             break
         unseen = np.zeros(n)
         for f in range(folds):
             seen = np.flatnonzero(fold != f)
-            w = ftrl.fit([rows[i] for i in seen], marks[seen, c], dim, l1=1.0)
+            w = ftrl.fit([rows[i] for i in seen], marks[seen, c], dim, l1=2.0)
             own = np.flatnonzero(fold == f)
             unseen[own] = _dots([rows[i] for i in own], w)
         values = _logit(ftrl.sigmoid(unseen)) / 4
