@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, ftrl, packing, quality, secrets, simhash, substring, toxicity
+from . import decontam, ftrl, packing, ppm, quality, secrets, simhash, substring, toxicity
 from .common import table
 
 
@@ -15,6 +15,13 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ppm.score(docs, F.coalesce(remainder != 2, F.lit(True)))
+    return found.withColumn("held_out", F.coalesce(remainder == 2, F.lit(False)))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = quality.train(docs, ftrl.learned_part(table(spark, sf_dir, "labels")))
