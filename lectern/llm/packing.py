@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import GROUP_BYTES, document_group, groups_for, only
-from .text import buffers
+from .text import buffers, pieces
 
 WINDOW = 2048
 END_ID = 1
 #: Padding up to which a window is left as it is.
 SLACK = 16
-#: Words whose ids a worker keeps at hand.
-KEPT_WORDS = 400_000
+#: Text bytes that are encoded before the kept words are looked over.
+PIECE = 1 << 20
+#: Words whose ids a worker keeps at hand, and word stems.
+KEPT_WORDS, KEPT_STEMS = 600_000, 500_000
+#: Stands between words that are encoded together; it is one token, and words that hold it are encoded alone.
+MARK = "~"
 
-_tokenizers: dict[int, tuple[object, dict[bytes, bytes]]] = {}
+_tokenizers: dict[int, tuple] = {}
 
 
 def _tokenizer(definition: str):
@@ -35,25 +40,63 @@ def _tokenizer(definition: str):
 
     key = hash(definition)
     if key not in _tokenizers:
-        _tokenizers[key] = (Tokenizer.from_str(definition), {})
+        _tokenizers[key] = (Tokenizer.from_str(definition), {}, {})
     return _tokenizers[key]
 
 
+def _ids(numbers) -> bytes:
+    return array("H", numbers).tobytes()
+
+
+def _encode_words(words: list[str], tokenizer) -> list[bytes]:
+    """The ids of each word: those without MARK many at once, cut at its id."""
+    if any(MARK in w for w in words):
+        return [_ids(tokenizer.encode(w, add_special_tokens=False).ids) for w in words]
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+    out = []
+    for e in tokenizer.encode_batch_fast([f" {MARK} ".join(words[i : i + 512]) for i in range(0, len(words), 512)], add_special_tokens=False):
+        ids = np.array(e.ids, "<u2")
+        cuts = np.flatnonzero(ids == mark[0]).tolist()
+        data = ids.tobytes()
+        out += [data[2 * a : 2 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])]
+    return out
+
+
+def _learn(new: set[bytes], tokenizer, known: dict[bytes, bytes], stems: dict[str, bytes]) -> None:
+    """Adds the ids of new words. Letters with one stop or comma after them are the letters' ids and the mark's."""
+    parts = []
+    for w in new:
+        text = w.decode()
+        stem, tail = (text[:-1], text[-1]) if text[-1] in ".," and len(text) > 1 else (text, "")
+        if not (stem.isalpha() and stem.lower().isalpha()):
+            stem, tail = text, ""
+        parts.append((w, stem.lower() if stem.isascii() else stem, tail))
+    missing = {x for _, stem, tail in parts for x in (stem, tail) if x and x not in stems}
+    plain = [x for x in missing if MARK not in x]
+    odd = [x for x in missing if MARK in x]
+    for some in (plain, odd):
+        stems.update(zip(some, _encode_words(some, tokenizer)))
+    for w, stem, tail in parts:
+        known[w] = stems[stem] + stems[tail] if tail else stems[stem]
+
+
 def encode(texts: list[bytes], definition: str) -> list[bytes]:
     """The ids of each text as little-endian 16-bit numbers.
 
-    The tokenizer drops white space and no token spans it, so each distinct word is encoded once.
+    The tokenizer lower-cases and drops white space, and no token spans it, so each distinct word is encoded once.
     """
-    tokenizer, known = _tokenizer(definition)
+    tokenizer, known, stems = _tokenizer(definition)
     if len(known) > KEPT_WORDS:
         known.clear()
-    split = [t.split() for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u2").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    if len(stems) > KEPT_STEMS:
+        stems.clear()
+    # special tokens are case-sensitive, all else is lower-cased by the tokenizer
+    split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+    found = [list(map(known.get, words)) for words in split]
+    new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
+    if new:
+        _learn(new, tokenizer, known, stems)
+    return [b"".join(map(known.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found)]
 
 
 class RoomTree:
@@ -146,8 +189,9 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = True, group_byte
     def tokenize(batches):
         for batch in batches:
             buf, off = buffers(batch.column("text"))
-            data, off = buf.tobytes(), off.tolist()
-            ids = encode([data[a:b] for a, b in zip(off[:-1], off[1:])], definition.value)
+            data, ids = buf.tobytes(), []
+            for i, j in pieces(off, PIECE):
+                ids += encode([data[a:b] for a, b in zip(off[i:j].tolist(), off[i + 1 : j + 1].tolist())], definition.value)
             yield pa.record_batch([batch.column("grp"), batch.column("doc_id"), pa.array(ids, pa.binary())], ["grp", "doc_id", "ids"])
 
     def windows(group: pa.Table) -> pa.Table:
