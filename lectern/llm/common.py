@@ -52,3 +52,11 @@ def only(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(n) if n in there else F.lit(None).cast(kinds.get(n, "string")).alias(n) for n in names])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

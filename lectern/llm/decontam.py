@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, only
+from .common import cut, only, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything between words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of a text whose A-Z are not yet lower-cased.
@@ -104,6 +104,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs without the rows in which any word is hit; all columns are kept."""
-    hit = scan(docs, items, size).where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_key"))
+    hit_id, hit_key = unused(docs, "hit_id", "hit_key")
+    hit = scan(docs, items, size).where("contaminated").select(F.col("doc_id").alias(hit_id), F.col("text_key").alias(hit_key)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(hit_id)) & (F.xxhash64(docs["text"]) == F.col(hit_key))
     return docs.join(hit, same, "left_anti")

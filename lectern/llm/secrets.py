@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, unused
 
 # The patterns and shortest lengths of the base kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -143,14 +143,16 @@ def written(found: Column) -> Column:
 
 def redact(docs: DataFrame, model: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret span (overlapping ones merged) replaced by the mark; n_chars follows. No row is dropped."""
-    found = scan(docs, model).where(F.size("found") > 0).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "found").dropDuplicates(["hit_id", "hit_key"])
+    hit_id, hit_key, spans_of = unused(docs, "hit_id", "hit_key", "found")
+    hits = scan(docs, model).where(F.size("found") > 0).select(F.col("doc_id").alias(hit_id), F.col("text_key").alias(hit_key), F.col("found").alias(spans_of)).dropDuplicates([hit_id, hit_key])
+    found = F.col(spans_of)
     # the stretches of the text that no span covers: from each furthest end so far to the next start beyond it
-    begin = F.concat(F.array(F.lit(0).cast("long")), F.transform("found", lambda x, i: F.array_max(F.transform(F.slice("found", F.lit(1), i + 1), lambda y: y["stop"]))))
-    end = F.concat(F.transform("found", lambda x: x["start"]), F.array(F.length("text").cast("long")))
-    gaps = F.filter(F.arrays_zip(begin.alias("b"), end.alias("e")), lambda g, i: (g["e"] > g["b"]) | (i == 0) | (i == F.size("found")))
+    begin = F.concat(F.array(F.lit(0).cast("long")), F.transform(found, lambda x, i: F.array_max(F.transform(F.slice(found, F.lit(1), i + 1), lambda y: y["stop"]))))
+    end = F.concat(F.transform(found, lambda x: x["start"]), F.array(F.length("text").cast("long")))
+    gaps = F.filter(F.arrays_zip(begin.alias("b"), end.alias("e")), lambda g, i: (g["e"] > g["b"]) | (i == 0) | (i == F.size(found)))
     clean = F.array_join(F.transform(gaps, lambda g: F.substring(F.col("text"), (g["b"] + 1).cast("int"), F.greatest(g["e"] - g["b"], F.lit(0)).cast("int"))), mark)
-    same = docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_key"))
-    joined = docs.join(found, same, "left").withColumn("text", F.when(F.col("found").isNotNull(), clean).otherwise(F.col("text")))
+    same = docs["doc_id"].eqNullSafe(F.col(hit_id)) & (F.xxhash64(docs["text"]) == F.col(hit_key))
+    joined = docs.join(hits, same, "left").withColumn("text", F.when(found.isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        joined = joined.withColumn("n_chars", F.when(found.isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only
+from .common import cut, only, unused
 from .graph import components
 from .text import LOWER, buffers
 
@@ -204,8 +204,9 @@ def without_near_copies(docs: DataFrame, shingle: int = 4) -> DataFrame:
     Of repeated rows with that doc_id all but one go. Rows without doc_id cannot name a component and stay.
     """
     found = near_duplicates(docs, shingle).where(F.col("doc_id") == F.col("component_id"))
-    named = cut(found.groupBy("doc_id").count().select(F.col("doc_id").alias("kept_id"), "count"))
-    kept = docs.join(named.select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
+    (kept_id,) = unused(docs, "kept_id")
+    named = cut(found.groupBy("doc_id").count().select(F.col("doc_id").alias(kept_id), "count"))
+    kept = docs.join(named.select(kept_id), docs["doc_id"] == F.col(kept_id), "left_semi")
     if not named.where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ftrl
+from .common import unused
 from .text import ALNUM, LOWER, chunks, mix, span_hashes, word_spans
 
 #: Byte lengths of the word beginnings that are features beside whole words.
@@ -113,13 +114,13 @@ def chain_scores(buf: np.ndarray, off: np.ndarray, weights: np.ndarray, used: np
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, categories: list[str]) -> DataFrame:
-    """All columns of docs and p_<category> for each category, for every row.
+def score(docs: DataFrame, weights: np.ndarray, categories: list[str], prefix: str = "p_") -> DataFrame:
+    """All columns of docs and p_<category> (or another prefix) for each category, for every row.
 
     A null or empty text is scored by its length class and the bias; columns that carry the new names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    names = [f"p_{c}" for c in categories]
+    names = [f"{prefix}{c}" for c in categories]
     kept = docs.drop(*names)
     where = kept.columns.index("text")
 
@@ -136,6 +137,14 @@ def score(docs: DataFrame, weights: np.ndarray, categories: list[str]) -> DataFr
     return kept.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, weights: np.ndarray, categories: list[str], reject: float = REJECT) -> DataFrame:
+    """docs without the rows whose probability of "toxic" reaches reject; all columns are kept as they are."""
+    names = unused(docs, *[f"p_{c}" for c in categories])
+    prefix = max((n[: -len(c)] for n, c in zip(names, categories)), key=len)
+    scored = score(docs, weights, categories, prefix)
+    return scored.where(F.col(f"{prefix}toxic") < reject).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def label_categories(labels: DataFrame) -> tuple[DataFrame, list[str]]:
     """The categories that the labels table can tell, in chain order: degraded text, toxic, and both at once."""
     bad = F.col("quality") == 0
