@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lectern.llm import decontam, ftrl, packing, secrets, simhash, toxicity
 from lectern.llm.common import shared_folder, table
@@ -19,8 +18,7 @@ from lectern.llm.queries import word_tokenizer
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity chain rejects go; the rest stay as they are."""
     marked, categories = toxicity.label_categories(ftrl.learned_part(table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs, toxicity.train(docs.select("doc_id", "text"), marked, categories), categories)
-    return scored.where(F.col("p_toxic") < toxicity.REJECT).select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.train(docs.select("doc_id", "text"), marked, categories), categories)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
