@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontam, ftrl, packing, secrets, simhash, toxicity
+from lectern.llm import decontam, ftrl, near, packing, secrets, toxicity
 from lectern.llm.common import shared_folder, table
 from lectern.llm.queries import word_tokenizer
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one that names it; rows without an id stay."""
-    return simhash.without_near_copies(docs)
+    """Of documents linked by op5 or by 0.8 or more of their five-word shingles the first stays; rows without an id stay."""
+    return near.without_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
