@@ -2,7 +2,8 @@
 
 Consecutive windows that share a minimiser travel as one packed string to the minimiser's bucket; there all windows
 are sorted and every one but the earliest of its kind is marked. Equal packed strings of a task are folded to the
-earliest before they travel, so copies of a text cost one string per task.
+earliest before they travel, so copies of a text cost one string per task. The windows of a minimiser with more bytes
+than a bucket may hold travel one by one instead, to buckets by the hash of their own words.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,10 +114,34 @@ def later_windows(docs: np.ndarray, starts: np.ndarray, text: bytes, window: int
     return merged(list(zip(d[later].tolist(), s[later].tolist(), (s[later] + window).tolist())))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, first, stop: stretches of words to remove; one document's stretches may overlap."""
+def heavy(texts: DataFrame, window: int, group_bytes: int) -> tuple[frozenset[int], int]:
+    """The minimisers whose packed strings exceed group_bytes, and the bytes of their windows one by one.
+
+    There are at most as many of them as buckets. Equal strings count once for each batch.
+    """
+
+    def weigh(batches):
+        for batch in batches:
+            for _, _, buf, off in chunks(batch.column(0)):
+                sizes: dict[int, list[int]] = {}
+                for text, (words, least) in {x[3]: (x[2], x[4]) for x in super_windows(buf, off, window)}.items():
+                    sum_ = sizes.setdefault(least, [0, 0])
+                    sum_[0] += len(text)
+                    sum_[1] += (len(text) + 1) * window * (words - window + 1) // words
+                columns = [np.fromiter(sizes, np.uint64, len(sizes)).view(np.int64), *np.array(list(sizes.values()), np.int64).reshape(-1, 2).T]
+                yield pa.record_batch([pa.array(x) for x in columns], ["least", "packed", "single"])
+
+    found = texts.select("text").mapInArrow(weigh, "least long, packed long, single long").groupBy("least").agg(F.sum("packed").alias("packed"), F.sum("single").alias("single"))
+    over = found.where(F.col("packed") > group_bytes).collect()
+    return frozenset(r["least"] % (1 << 64) for r in over), sum(r["single"] for r in over)
+
+
+def dealt(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Packed strings by bucket (bucket, docs, starts, text), and stretches that a task found itself (text null)."""
     kept = only(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     buckets = groups_for(kept, group_bytes) * EXPANSION
+    hot, single = heavy(kept, window, group_bytes)
+    hot_buckets = max(1, -(-single // group_bytes))
 
     def deal(batches):
         names = ["bucket", "docs", "starts", "stops", "text"]
@@ -126,7 +152,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTE
         def flush():
             by_bucket = defaultdict(list)
             for text, (d, s, _, least) in held.items():
-                by_bucket[least % buckets].append((d, s, text))
+                by_bucket[buckets + xxhash.xxh64_intdigest(text) % hot_buckets if least in hot else least % buckets].append((d, s, text))
             squeeze = zstandard.ZstdCompressor(1)
             rows = [(k, np.array([x[0] for x in v], np.int64).tobytes(), np.array([x[1] for x in v], np.int64).tobytes(), None, squeeze.compress(b"\n".join(x[2] for x in v))) for k, v in by_bucket.items()]
             by_doc = defaultdict(list)
@@ -138,10 +164,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTE
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names)
 
+        def split(runs):
+            for d, s, words, text, least in runs:
+                if least not in hot:
+                    yield d, s, words, text, least
+                    continue
+                parts = text.split(b" ")
+                for i in range(words - window + 1):
+                    yield d, s + i, window, b" ".join(parts[i : i + window]), least
+
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, _, buf, off in chunks(batch.column(1)):
-                for d, s, words, text, least in super_windows(buf, off, window):
+                for d, s, words, text, least in split(super_windows(buf, off, window)):
                     d = int(ids[row + d])
                     old = held.get(text)
                     if old is None:
@@ -157,6 +192,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTE
                     size = 0
         yield from flush()
 
+    return kept.mapInArrow(deal, "bucket int, docs binary, starts binary, stops binary, text binary")
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """doc_id, first, stop: stretches of words to remove; one document's stretches may overlap."""
+
     def settle(bucket: pa.Table) -> pa.Table:
         ids, starts, texts, spans = [], [], [], []
         for row in bucket.select(["docs", "starts", "stops", "text"]).to_pylist():
@@ -173,8 +214,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTE
         out = np.concatenate(spans, axis=1)
         return pa.table([pa.array(x) for x in out], ["doc_id", "first", "stop"])
 
-    dealt = kept.mapInArrow(deal, "bucket int, docs binary, starts binary, stops binary, text binary")
-    return dealt.groupBy("bucket").applyInArrow(settle, "doc_id long, first long, stop long")
+    return dealt(docs, window, group_bytes).groupBy("bucket").applyInArrow(settle, "doc_id long, first long, stop long")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
