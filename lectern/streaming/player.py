@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: How event types drive the player.
 ACTIONS = {"view": "play", "click": "seek", "purchase": "pause", "error": "stop", "signup": "resume"}
+#: Rows of one book that are sorted in memory at once, and rows handed on at once.
+RUN, PIECE = 1 << 19, 1 << 13
 PLAYER = "event_id long, book_id long, status string, chunk_idx int"
 
 
@@ -39,11 +44,46 @@ def player_states(events: DataFrame) -> DataFrame:
     return acts.select("event_id", "book_id", status.alias("status"), at.alias("chunk_idx"))
 
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(ts, event_id, action, chunk_idx) by ts, event_id: sorted runs go to files of the task and are merged."""
+
+    def sort(held):
+        return pd.concat(held).sort_values(["ts", "event_id"])
+
+    def spill(rows):
+        file = tempfile.TemporaryFile()
+        for i in range(0, len(rows), PIECE):
+            pickle.dump(rows.iloc[i : i + PIECE], file)
+        file.seek(0)
+        return file
+
+    def pieces(file):
+        with file:
+            while True:
+                try:
+                    yield pickle.load(file)
+                except EOFError:
+                    return
+
+    def tuples(frames):
+        for rows in frames:
+            yield from zip(rows["ts"], rows["event_id"], rows["action"], rows["chunk_idx"])
+
+    runs, held = [], []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= RUN:
+            runs.append(tuples(pieces(spill(sort(held)))))
+            held = []
+    if held:
+        runs.append(tuples([sort(held)]))
+    return runs[0] if len(runs) == 1 else heapq.merge(*runs, key=lambda r: r[:2])
+
+
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     status, at = state.get if state.exists else ("idle", 0)
-    rows = pd.concat(batches).sort_values(["ts", "event_id"])
     out = []
-    for event, action, chunk in zip(rows["event_id"], rows["action"], rows["chunk_idx"]):
+    for _, event, action, chunk in _in_order(batches):
         if action == "play":
             status = "playing"
         elif action == "stop":
@@ -55,8 +95,12 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         if action in ("play", "seek"):
             at = int(chunk)
         out.append((event, key[0], status, at))
+        if len(out) == PIECE:
+            state.update((status, at))
+            yield pd.DataFrame(out, columns=["event_id", "book_id", "status", "chunk_idx"])
+            out = []
     state.update((status, at))
-    yield pd.DataFrame(out, columns=["event_id", "book_id", "status", "chunk_idx"])
+    yield pd.DataFrame(out, columns=["event_id", "book_id", "status", "chunk_idx"]).astype({"event_id": "int64", "book_id": "int64", "chunk_idx": "int32"} if not out else {})
 
 
 def player_stream(events: DataFrame) -> DataFrame:
@@ -78,8 +122,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """All that the stream gives for the input there is now, written once and read as a table."""
+    """All that the stream gives for the input there is now, written as Parquet to the folder and read as a table.
+
+    A batch that runs again replaces its own files; in complete mode the last batch holds the whole result.
+    """
     name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    written: dict[int, str] = {}
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{name}/rows/{number}")
+        written[number] = f"{folder}/{name}/rows/{number}"
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/{name}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not written:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    paths = [written[max(written)]] if mode == "complete" else list(written.values())
+    return stream.sparkSession.read.schema(stream.schema).parquet(*paths)
