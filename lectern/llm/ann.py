@@ -7,6 +7,8 @@ so probing each index within its share of the radius retrieves every such code;
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -91,12 +93,17 @@ class Index:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for each query by cosine, nearest first.
 
-    Ties go to the smaller vec_id; a query's own id is no candidate. Vectors without id, null, zero, of another
-    dimension than the longest, or holding a null or non-finite component take no part. Repeated rows are candidates
-    each. A query with fewer than k rows inside the radius gets its nearest codes beyond it. Empty tables give no rows.
+    Ties go to the smaller vec_id; a query's own id is no candidate. Vectors without id, null, zero, or holding a null
+    or non-finite component take no part. Each dimension is searched on its own. Repeated rows are candidates each. A query with fewer than k rows inside the radius gets its nearest codes beyond it. Empty tables give no rows.
     Rows and queries meet block by block: every row meets every query block once.
     """
-    dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    size = F.size("embedding").alias("dim")
+    dims = sorted(r["dim"] for r in usable(queries.where(F.size("embedding") > 0), size).select(size).distinct().collect())
+    return reduce(DataFrame.unionByName, [search_dimension(vectors, queries, k, dim) for dim in dims or [0]])
+
+
+def search_dimension(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
+    """The search among the vectors of one dimension."""
     schema = "query_id long, vec_id long, score double"
     known = usable(vectors, max(dim, 1)).withColumn("vec_id", F.col("vec_id").cast("long"))
     asked = usable(queries, max(dim, 1)).withColumn("vec_id", F.col("vec_id").cast("long"))
