@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 #: Hashed features; a model holds at most this many weights.
 BITS = 18
 DIM = 1 << BITS
-#: Documented bound of a training sample: labelled rows, and bytes of a text that may serve for training.
+#: Documented bound of a training sample: labelled documents.
 SAMPLE_ROWS = 8_000
-SAMPLE_BYTES = 32_768
 
 
 def sigmoid(x):
@@ -55,15 +54,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int,
     return model.weights
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, marks: list[str], rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, marks: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, text and the marks of a bounded sample of labelled documents, the first by a hash of their ids.
 
-    Rows with a null id or mark teach nothing; of several labels of one id, the largest counts.
+    Rows with a null id or mark teach nothing; of several labels of one id, the largest counts; of several documents
+    of one id, the one with the smallest text.
     """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(m).cast("int").alias(m) for m in marks]).na.drop()
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length(F.coalesce("text", F.lit(""))) <= text_bytes)
-    return short.join(F.broadcast(chosen), "doc_id")
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(m).alias(m) for m in marks])
 
 
 def learned_part(labels: DataFrame, folds: int = 5) -> DataFrame:

@@ -8,53 +8,139 @@ again as one stream cut at the window's length, whose last part falls into power
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import GROUP_BYTES, document_group, groups_for, only
-from .text import buffers, pieces
+from .text import LOWER, NOT_SPACE, chunks, span_hashes, word_spans
 
 WINDOW = 2048
 END_ID = 1
 #: Padding up to which a window is left as it is.
 SLACK = 16
-#: Text bytes that are encoded before the kept words are looked over.
-PIECE = 1 << 20
-#: Words whose ids a worker keeps at hand, and word stems.
-KEPT_WORDS, KEPT_STEMS = 600_000, 500_000
+#: Words whose ids a task keeps at hand; they go when the task ends.
+KEPT_WORDS = 300_000
+#: Longer words are told apart by a stronger hash and encoded one by one.
+LONG_WORD = 64
 #: Stands between words that are encoded together; it is one token, and words that hold it are encoded alone.
-MARK = "~"
+MARK = b"~"
+
+#: Bytes by what the tokenizer splits at: white space, letters (and all of other alphabets), digits, the rest.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[~NOT_SPACE] = 0
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
+_KIND[48:58] = 2
+_NEVER = np.int64(1) << 40
 
 _tokenizers: dict[int, tuple] = {}
 
 
+class Merges:
+    """The merge rules of a byte-pair tokenizer as arrays: the ids of single bytes, and a hash table of pairs."""
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        # the byte alphabet: printable Latin-1 stands for itself, all else for letters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.inner = np.array([vocab[letter[b]] for b in range(256)], np.int64)
+        self.final = np.array([vocab[letter[b] + model["end_of_word_suffix"]] for b in range(256)], np.int64)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        pair = np.array([(vocab[a] << 20) | vocab[b] for a, b in merges], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.keys, self.ranks = np.full(1 << 18, -1, np.int64), np.full(1 << 18, _NEVER)
+        left = np.arange(len(pair))
+        place = self._slot(pair)
+        while len(left):
+            here, one = np.unique(place, return_index=True)
+            free = self.keys[here] < 0
+            self.keys[here[free]], self.ranks[here[free]] = pair[left[one[free]]], left[one[free]]
+            rest = np.ones(len(left), bool)
+            rest[one[free]] = False
+            left, place = left[rest], (place[rest] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or _NEVER where no rule joins it."""
+        pair = (left << 20) | right
+        place = self._slot(pair)
+        found = self.keys[place]
+        out = np.where(found == pair, self.ranks[place], _NEVER)
+        at = np.flatnonzero((found != pair) & (found >= 0))
+        while len(at):
+            place[at] = (place[at] + 1) & (len(self.keys) - 1)
+            found = self.keys[place[at]]
+            out[at] = np.where(found == pair[at], self.ranks[place[at]], _NEVER)
+            at = at[(found != pair[at]) & (found >= 0)]
+        return out
+
+    def encode(self, flat: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """The ids of words that stand one after another in flat: in all of them at once the best pair is merged first."""
+        symbol = self.inner[flat]
+        symbol[np.cumsum(size) - 1] = self.final[flat[np.cumsum(size) - 1]]
+        word, size = np.repeat(np.arange(len(size)), size), size.copy()
+        alive = np.arange(len(size))
+        rank = np.full(len(symbol), _NEVER)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside] = self.rank(symbol[inside], symbol[inside + 1])
+        done = []
+        while len(alive):
+            n = size[alive]
+            least = np.minimum.reduceat(rank, np.cumsum(n) - n)
+            each = np.repeat(least, n)
+            over = each == _NEVER
+            if over.any():
+                done.append((word[over], symbol[over]))
+                word, symbol, rank, each, alive = word[~over], symbol[~over], rank[~over], each[~over], alive[least < _NEVER]
+                if not len(alive):
+                    break
+            at = np.flatnonzero(rank == each)
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
+            symbol[at] = self.made[rank[at]]
+            stay = np.ones(len(symbol), bool)
+            stay[at + 1] = False
+            word, symbol, rank = word[stay], symbol[stay], rank[stay]
+            size[alive] -= 1
+            at -= np.arange(len(at))
+            rank[at] = _NEVER
+            after = at[(at + 1 < len(word)) & (word[np.minimum(at + 1, len(word) - 1)] == word[at])]
+            rank[after] = self.rank(symbol[after], symbol[after + 1])
+            before = at[(at > 0) & (word[at - 1] == word[at])]
+            rank[before - 1] = self.rank(symbol[before - 1], symbol[before])
+        word, symbol = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        data = symbol[np.argsort(word, kind="stable")].astype("<u2").tobytes()
+        ends = (2 * np.cumsum(size)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _tokenizer(definition: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     key = hash(definition)
     if key not in _tokenizers:
-        _tokenizers[key] = (Tokenizer.from_str(definition), {}, {})
+        _tokenizers[key] = Tokenizer.from_str(definition), Merges(json.loads(definition)["model"])
     return _tokenizers[key]
 
 
-def _ids(numbers) -> bytes:
-    return array("H", numbers).tobytes()
-
-
-def _encode_words(words: list[str], tokenizer) -> list[bytes]:
-    """The ids of each word: those without MARK many at once, cut at its id."""
+def _encode_words(words: list[bytes], tokenizer) -> list[bytes]:
+    """The ids of each word by the tokenizer itself: those without MARK many at once, cut at its id."""
     if any(MARK in w for w in words):
-        return [_ids(tokenizer.encode(w, add_special_tokens=False).ids) for w in words]
-    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+        return [array("H", tokenizer.encode(w.decode(), add_special_tokens=False).ids).tobytes() for w in words]
+    mark = tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
     out = []
-    for e in tokenizer.encode_batch_fast([f" {MARK} ".join(words[i : i + 512]) for i in range(0, len(words), 512)], add_special_tokens=False):
+    between = b" " + MARK + b" "
+    for e in tokenizer.encode_batch_fast([between.join(words[i : i + 512]).decode() for i in range(0, len(words), 512)], add_special_tokens=False):
         ids = np.array(e.ids, "<u2")
         cuts = np.flatnonzero(ids == mark[0]).tolist()
         data = ids.tobytes()
@@ -62,41 +148,78 @@ def _encode_words(words: list[str], tokenizer) -> list[bytes]:
     return out
 
 
-def _learn(new: set[bytes], tokenizer, known: dict[bytes, bytes], stems: dict[str, bytes]) -> None:
-    """Adds the ids of new words. Letters with one stop or comma after them are the letters' ids and the mark's."""
-    parts = []
-    for w in new:
-        text = w.decode()
-        stem, tail = (text[:-1], text[-1]) if text[-1] in ".," and len(text) > 1 else (text, "")
-        if not (stem.isalpha() and stem.lower().isalpha()):
-            stem, tail = text, ""
-        parts.append((w, stem.lower() if stem.isascii() else stem, tail))
-    missing = {x for _, stem, tail in parts for x in (stem, tail) if x and x not in stems}
-    plain = [x for x in missing if MARK not in x]
-    odd = [x for x in missing if MARK in x]
-    for some in (plain, odd):
-        stems.update(zip(some, _encode_words(some, tokenizer)))
-    for w, stem, tail in parts:
-        known[w] = stems[stem] + stems[tail] if tail else stems[stem]
-
-
-def encode(texts: list[bytes], definition: str) -> list[bytes]:
-    """The ids of each text as little-endian 16-bit numbers.
-
-    The tokenizer lower-cases and drops white space, and no token spans it, so each distinct word is encoded once.
+def _parts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and the starts, the ends and the plainness of the parts that the tokenizer never joins.
+
+    In a plain word (ASCII and Latin-1 letters, digits and ASCII punctuation but the apostrophe) parts are runs of
+    letters, single digits and runs of punctuation. Any other word is one part. Special tokens are case-sensitive, so
+    a text that may hold one keeps its case here.
+    """
+    low = LOWER[buf]
+    special = np.zeros(len(buf), bool)
+    special[:-1] = (buf[:-1] == 60) & (buf[1:] == 124)
+    if special.any():
+        for d in np.unique(np.searchsorted(off, np.flatnonzero(special), "right") - 1).tolist():
+            low[off[d] : off[d + 1]] = buf[off[d] : off[d + 1]]
+    odd = special | (low == 39)
+    high = low >= 128
+    if high.any():
+        lead = np.zeros(len(low), bool)
+        lead[:-1] = (low[:-1] == 0xC3) & (low[1:] != 0x97) & (low[1:] != 0xB7)
+        follow = np.zeros(len(low), bool)
+        follow[1:] = lead[:-1]
+        odd |= high & ~lead & ~follow
+        low = np.where(follow & (low < 0x9F), low + np.uint8(32), low)
+    kind = _KIND[low]
+    begin = kind > 0
+    begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    first = off[:-1][off[:-1] < off[1:]]
+    begin[first] = kind[first] > 0
+    odds = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
+    if odds[-1]:
+        a, b, _ = word_spans(low, off, NOT_SPACE)
+        whole = odds[b] > odds[a]
+        cover = np.zeros(len(low) + 1, np.int32)
+        np.add.at(cover, a[whole] + 1, 1)
+        np.add.at(cover, b[whole], -1)
+        begin &= np.cumsum(cover)[:-1] == 0
+    stop = kind > 0
+    stop[:-1] &= begin[1:] | (kind[1:] == 0)
+    last = off[1:][off[:-1] < off[1:]] - 1
+    stop[last] = kind[last] > 0
+    a, b = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    return low, a, b, (odds[b] == odds[a]) & (kind[a] == 1)
+
+
+def encode(buf: np.ndarray, off: np.ndarray, definition: str, known: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 16-bit ids of all texts and the bounds of each text's; known: ids of word parts met before, which grows.
+
+    The tokenizer lower-cases and drops white space, and no token spans it, so each distinct part is encoded once.
     """
-    tokenizer, known, stems = _tokenizer(definition)
+    tokenizer, merges = _tokenizer(definition)
+    low, a, b, plain = _parts(buf, off)
+    data = low.tobytes()
+    h = span_hashes(low, a, b)
+    for i in np.flatnonzero(b - a > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[a[i] : b[i]])
+    _, first, own = np.unique(h, return_index=True, return_inverse=True)
+    words = [data[i:j] for i, j in zip(a[first].tolist(), b[first].tolist())]
     if len(known) > KEPT_WORDS:
         known.clear()
-    if len(stems) > KEPT_STEMS:
-        stems.clear()
-    # special tokens are case-sensitive, all else is lower-cased by the tokenizer
-    split = [(text if b"<|" in text else text.lower()).split() for text in texts]
-    found = [list(map(known.get, words)) for words in split]
-    new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
-    if new:
-        _learn(new, tokenizer, known, stems)
-    return [b"".join(map(known.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found)]
+    new = np.array([w not in known for w in words], bool)
+    quick = plain[first] & (b[first] - a[first] <= LONG_WORD)
+    some = [words[i] for i in np.flatnonzero(new & quick).tolist()]
+    if some:
+        known.update(zip(some, merges.encode(LOWER[np.frombuffer(b"".join(some), np.uint8)], np.array([len(w) for w in some]))))
+    slow = [words[i] for i in np.flatnonzero(new & ~quick).tolist()]
+    for some in ([w for w in slow if MARK not in w], [w for w in slow if MARK in w]):
+        known.update(zip(some, _encode_words(some, tokenizer)))
+    ids = [known[w] for w in words]
+    size = np.array([len(x) for x in ids], np.int64) // 2
+    begin, n = np.cumsum(size) - size, size[own]
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(n) else 0) + np.repeat(begin[own] - (ends - n), n)
+    return np.frombuffer(b"".join(ids), "<u2")[at], np.concatenate([[0], ends])[np.searchsorted(a, off)]
 
 
 class RoomTree:
@@ -187,12 +310,12 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = True, group_byte
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def tokenize(batches):
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            buf, off = buffers(batch.column("text"))
-            data, ids = buf.tobytes(), []
-            for i, j in pieces(off, PIECE):
-                ids += encode([data[a:b] for a, b in zip(off[i:j].tolist(), off[i + 1 : j + 1].tolist())], definition.value)
-            yield pa.record_batch([batch.column("grp"), batch.column("doc_id"), pa.array(ids, pa.binary())], ["grp", "doc_id", "ids"])
+            for i, j, buf, off in chunks(batch.column("text")):
+                ids, bounds = encode(buf, off, definition.value, known)
+                packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.record_batch([batch.column("grp").slice(i, j - i), batch.column("doc_id").slice(i, j - i), packed], ["grp", "doc_id", "ids"])
 
     def windows(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()

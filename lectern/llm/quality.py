@@ -71,7 +71,10 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, mark: str = "quality", rows: int = ftrl.SAMPLE_ROWS) -> np.ndarray:
-    """DIM + 1 weights (the last is the bias), learned in one task from a sample of at most rows labelled documents."""
+    """DIM + 1 weights (the last is the bias), learned in one task from a sample of at most rows labelled documents.
+
+    Rows without an id or a label teach nothing; without any labelled document all weights are zero.
+    """
 
     def learn(batches):
         data, y = [], []
@@ -96,7 +99,10 @@ def train(docs: DataFrame, labels: DataFrame, mark: str = "quality", rows: int =
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id and score (0 to 1) for every row; an empty or null text gets the bias alone, other columns are ignored."""
+    """doc_id and score (0 to 1) for every row, repeated rows and null ids too.
+
+    An empty or null text gets the bias alone; an empty table gives no rows; other columns are ignored.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):

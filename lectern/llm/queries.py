@@ -32,8 +32,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked, categories = toxicity.label_categories(ftrl.learned_part(table(spark, sf_dir, "labels")))
-    found = toxicity.score(docs, toxicity.train(docs, marked, categories), categories)
-    return found.select("doc_id", ftrl.held_out("doc_id").alias("held_out"), *[f"p_{c}" for c in categories], (F.col("p_toxic") >= toxicity.REJECT).alias("rejected"))
+    weights = toxicity.train(docs, marked, categories)
+    found = toxicity.score(docs, weights, categories)
+    rejected = (F.col("p_toxic") >= toxicity.REJECT) if toxicity.learned(weights, categories) else F.lit(False)
+    return found.select("doc_id", ftrl.held_out("doc_id").alias("held_out"), *[f"p_{c}" for c in categories], rejected.alias("rejected"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

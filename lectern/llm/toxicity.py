@@ -5,9 +5,11 @@ The probabilities that later models learn from are out of fold: each comes from
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ftrl
@@ -52,12 +54,20 @@ def _dots(rows, weights: np.ndarray) -> np.ndarray:
     return np.array([weights[at] @ x for at, x in rows])
 
 
+def chain_row(at: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A document's features with room for the logits of the k - 1 earlier categories, zero until known, and the bias."""
+    more = [*range(ftrl.DIM, ftrl.DIM + k - 1), ftrl.DIM + k]
+    return np.append(at, more).astype(np.int32), np.append(x, [0.0] * (k - 1) + [1.0]).astype(np.float32)
+
+
 def fit_chain(rows, marks: np.ndarray, folds: int = FOLDS) -> np.ndarray:
-    """Weights (categories x (DIM + categories + 1)): hashed features, logits of earlier categories, bias."""
+    """Weights (categories x (DIM + categories + 1)): hashed features, logits of earlier categories, bias.
+
+    rows come from chain_row; the logits are written into them in place.
+    """
     n, k = marks.shape
     dim = ftrl.DIM + k + 1
     fold = np.arange(n) % folds
-    rows = [(np.append(at, dim - 1), np.append(x, 1.0)) for at, x in rows]
     chain = []
     for c in range(k):
         chain.append(ftrl.fit(rows, marks[:, c], dim, l1=2.0))
@@ -69,13 +79,16 @@ def fit_chain(rows, marks: np.ndarray, folds: int = FOLDS) -> np.ndarray:
             w = ftrl.fit([rows[i] for i in seen], marks[seen, c], dim, l1=2.0)
             own = np.flatnonzero(fold == f)
             unseen[own] = _dots([rows[i] for i in own], w)
-        values = _logit(ftrl.sigmoid(unseen)) / 4
-        rows = [(np.append(at, ftrl.DIM + c), np.append(x, v)) for (at, x), v in zip(rows, values)]
+        for (_, x), v in zip(rows, _logit(ftrl.sigmoid(unseen)) / 4):
+            x[c - k] = v
     return np.stack(chain)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int = ftrl.SAMPLE_ROWS) -> np.ndarray:
-    """A chain over the categories (0/1 columns of labels, in chain order), learned in one task from a bounded sample."""
+    """A chain over the categories (0/1 columns of labels, in chain order), learned in one task from a bounded sample.
+
+    Rows without an id or a label teach nothing; without any labelled document all weights are zero.
+    """
     k = len(categories)
 
     def learn(batches):
@@ -85,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int =
             for _, _, buf, off in chunks(batch.column(1)):
                 doc, at, x = counted(*features(buf, off))
                 cuts = np.searchsorted(doc, np.arange(len(off)))
-                data += [(at[i:j], x[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+                data += [chain_row(at[i:j], x[i:j], k) for i, j in zip(cuts[:-1], cuts[1:])]
         if not data:
             return
         w = fit_chain(data, np.concatenate(marks).astype(float))
@@ -114,35 +127,51 @@ def chain_scores(buf: np.ndarray, off: np.ndarray, weights: np.ndarray, used: np
     return out
 
 
+def scores(weights: np.ndarray, spark: SparkSession):
+    """A function of the text column: the array of its probabilities by the chain. Only the text travels to Python."""
+    sent = spark.sparkContext.broadcast(weights)
+
+    @F.arrow_udf("array<double>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        w = sent.value
+        used = (w[:, : ftrl.DIM] != 0).any(axis=0)
+        for column in texts:
+            out = np.zeros((len(column), len(w)))
+            for i, j, buf, off in chunks(column):
+                out[i:j] = chain_scores(buf, off, w, used)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * len(w)), pa.array(out.ravel()))
+
+    return run
+
+
 def score(docs: DataFrame, weights: np.ndarray, categories: list[str], prefix: str = "p_") -> DataFrame:
     """All columns of docs and p_<category> (or another prefix) for each category, for every row.
 
     A null or empty text is scored by its length class and the bias; columns that carry the new names are replaced.
+    Null ids and repeated rows are scored like any other; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
     names = [f"{prefix}{c}" for c in categories]
     kept = docs.drop(*names)
-    where = kept.columns.index("text")
+    (found,) = unused(docs, "chain")
+    scored = kept.withColumn(found, scores(weights, docs.sparkSession)(F.col("text")))
+    return scored.select(*[F.col(f"`{c}`") for c in kept.columns], *[F.get(found, F.lit(c)).alias(n) for c, n in enumerate(names)])
 
-    def run(batches):
-        w = sent.value
-        used = (w[:, : ftrl.DIM] != 0).any(axis=0)
-        for batch in batches:
-            out = np.zeros((len(batch), len(names)))
-            for i, j, buf, off in chunks(batch.column(where)):
-                out[i:j] = chain_scores(buf, off, w, used)
-            yield pa.record_batch([*batch.columns, *[pa.array(out[:, c]) for c in range(len(names))]], [*batch.schema.names, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{n} double" for n in names)])
-    return kept.mapInArrow(run, schema)
+def learned(weights: np.ndarray, categories: list[str]) -> bool:
+    """Whether the chain can tell toxic documents at all."""
+    return bool(weights[categories.index("toxic")].any())
 
 
 def without_toxic(docs: DataFrame, weights: np.ndarray, categories: list[str], reject: float = REJECT) -> DataFrame:
-    """docs without the rows whose probability of "toxic" reaches reject; all columns are kept as they are."""
-    names = unused(docs, *[f"p_{c}" for c in categories])
-    prefix = max((n[: -len(c)] for n, c in zip(names, categories)), key=len)
-    scored = score(docs, weights, categories, prefix)
-    return scored.where(F.col(f"{prefix}toxic") < reject).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows whose probability of "toxic" reaches reject; all columns are kept as they are.
+
+    A chain that has learned nothing (no labels) rejects no row. Null and empty texts, null ids and repeated rows are
+    judged like any other; an empty table gives no rows.
+    """
+    at = categories.index("toxic")
+    if not learned(weights, categories):
+        return docs
+    return docs.where(F.get(scores(weights, docs.sparkSession)(F.col("text")), F.lit(at)) < reject)
 
 
 def label_categories(labels: DataFrame) -> tuple[DataFrame, list[str]]:
