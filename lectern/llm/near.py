@@ -10,7 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -23,7 +24,7 @@ SIMILARITY = 0.8
 #: Bands and the minima in each: a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 36, about 6e-7.
 BANDS, ROWS = 36, 5
 #: Rounds that compare a band's texts with one leader before all remaining pairs are compared.
-STARS = 3
+STARS = 2
 
 _rng = np.random.default_rng(42)
 _FLIP = _rng.integers(0, 1 << 32, 4096, np.uint32)
@@ -64,32 +65,34 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least that Jaccard similarity."""
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (node, packed) have sets of shingles with at least that Jaccard similarity."""
 
     def run(batches):
+        swell = zstandard.ZstdDecompressor()
         for batch in batches:
             a, b, left, right = (batch.column(i) for i in range(4))
             good = []
             for x, y in zip(left, right):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = swell.decompress(x.as_py()), swell.decompress(y.as_py())
+                x, y = shingle_sets(np.frombuffer(x + y, np.uint8), np.array([0, len(x), len(x) + len(y)]), shingle)
                 both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
                 good.append(both / (len(x) + len(y) - both) >= similarity)
             good = pa.array(good, pa.bool_())
             yield pa.record_batch([a.filter(good), b.filter(good)], ["a", "b"])
 
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("right")), "b")
-    both = both.join(sets.select(F.col("node").alias("a"), F.col("found").alias("left")), "a")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b")
+    both = both.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a")
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def linked(shared: DataFrame, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+def linked(shared: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of the components of links (a, b) and of similar sets that share a key; shared: key, node, each once.
 
     Two sets that links already join need no comparison, so a group of near copies costs one comparison with its
     leader for each; what the leaders leave apart is compared pair by pair.
     """
-    tested, found = None, components(links)
+    tested, found = None, links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     now = shared.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     for turn in range(STARS + 1):
         if turn < STARS:
@@ -103,8 +106,8 @@ def linked(shared: DataFrame, sets: DataFrame, links: DataFrame, similarity: flo
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             tested = pairs if tested is None else tested.union(pairs)
-            links = links.union(cut(similar(pairs, sets, similarity)))
-            found = components(links)
+            links = links.union(cut(similar(pairs, texts, shingle, similarity)))
+        found = components(links)
         if turn == STARS:
             return found
         now = shared.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -130,10 +133,12 @@ def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: flo
                 yield pa.record_batch([batch.column(0).slice(i, j - i), ids, pa.array(keys, pa.list_(pa.int64())), pa.array(fps.view(np.int64))], ["doc_id", "node", "keys", "fp"])
 
     def whole(batches):
+        squeeze = zstandard.ZstdCompressor(3)
         for batch in batches:
             for _, _, buf, off in chunks(batch.column(0)):
-                found = shingle_sets(buf, off, shingle)
-                yield pa.record_batch([pa.array([set_id(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "found"])
+                data, at = LOWER[buf].tobytes(), off.tolist()
+                ids = [set_id(x) for x in shingle_sets(buf, off, shingle)]
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([squeeze.compress(data[a:b]) for a, b in zip(at, at[1:])], pa.binary())], ["node", "packed"])
 
     texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     prints = texts.mapInArrow(fingerprints, "doc_id long, node long, keys array<long>, fp long")
@@ -142,13 +147,14 @@ def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: flo
     along = nodes.select("fp", "node").join(near_fps.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("near_fp"))
     links = cut(along.join(along.groupBy("near_fp").agg(F.min("node").alias("b")), "near_fp").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    often = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = cut(keyed.join(often.select("key"), "key", "left_semi").distinct())
+    same = Window.partitionBy("key")
+    often = keyed.select("key", "node", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high")).where("low < high")
+    shared = cut(often.select("key", "node").distinct())
     one = shared.select("node").distinct()
     ids = nodes.join(one, "node", "left_semi").groupBy("node").agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
     wanted = texts.join(ids, "doc_id", "left_semi").union(texts.where(F.col("doc_id").isNull()))
-    sets = cut(wanted.select("text").mapInArrow(whole, "node long, found binary").join(one, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found")))
-    found = linked(shared, sets, links, similarity)
+    packed = cut(wanted.select("text").mapInArrow(whole, "node long, packed binary").join(one, "node", "left_semi").groupBy("node").agg(F.min("packed").alias("packed")))
+    found = linked(shared, packed, links, shingle, similarity)
     rooted = nodes.select("node", "least").join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     (kept_id,) = unused(docs, "kept_id")
     stay = rooted.groupBy("root").agg(F.min("least").alias(kept_id)).select(kept_id).distinct()
