@@ -1,39 +1,37 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Learned rotations turn vectors into binary codes of BITS bits, which are cut into substrings. The index is the table
-of (substring number, value, row). By the pigeonhole principle a code within the search radius is close to the query's
-in some substring, so one equi-join of the index with the values near the query's retrieves every such code. A pair is
-kept at the first substring that yields it, its whole codes are compared, and the floats of what is left are reranked.
+Learned rotations turn vectors into binary codes of BITS bits, which are cut into substrings, each with an index from
+value to rows. By the pigeonhole principle a code within the search radius is close to the query's in some substring,
+so probing each index within its share of the radius retrieves every such code; the floats of these are reranked.
+Rows and queries meet block by block, each block with its own index, and a block gives back a query's k best alone:
+the pairs inside the radius stay in the task, for their number grows with rows times queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-
 #: Documented bound of the rows that the rotations and the radius are fitted on; every row is indexed.
 SAMPLE = 8_000
 #: Code length, and the lengths that substrings may have.
 BITS, WIDTHS = 128, (8, 16)
 #: The share of the sample's true neighbours that the radius must hold.
 HELD = 0.96
-#: Pairs of a row and a query, and index rows, for each task; codes that are compared at once.
-PAIRS, ROWS, BLOCK = 2_000_000, 400_000, 1 << 18
-
+#: Bytes of floats of the rows and of the queries that meet in one task.
+ROW_BYTES, QUERY_BYTES = 24 << 20, 8 << 20
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, x (doubles), dim and norm of the rows that take part: an id, finite components, not all zero."""
+    """vec_id, x (doubles) and dim of the rows that take part: an id, finite components, not all zero."""
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite & F.exists("x", lambda v: v != 0))
-    return kept.select("vec_id", "x", F.size("x").alias("dim"), F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("norm"))
+    kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("x"))
+    return kept.where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite & F.exists("x", lambda v: v != 0)).withColumn("dim", F.size("x"))
 
 
 def rotation(x: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
@@ -91,68 +89,47 @@ def fit(x: np.ndarray, rows: int, k: int = 5, held: float = HELD) -> tuple[np.nd
     return turn, radius, min(WIDTHS, key=work)
 
 
-def parts(words: list[Column], width: int) -> list[Column]:
-    """The substrings of a code in order."""
-    return [F.shiftrightunsigned(words[at // 64], at % 64).bitwiseAND((1 << width) - 1) for at in range(0, BITS, width)]
-
-
-def close(rows: pa.Table, probes: pa.Table, radius: int, width: int, near: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(qid, rid) of rows and probes that share a substring, have codes within the radius, and meet at no earlier substring."""
-
-    def ordered(table: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
-        columns = [table[n].to_numpy() for n in ("s", "value", *names)]
-        key = (columns[0].astype(np.int64) << width) | columns[1]
-        by = np.argsort(key, kind="stable")
-        return [key[by], *[c[by] for c in columns[2:]]]
-
-    keys, rid, c0, c1 = ordered(rows, ("rid", "c0", "c1"))
-    asked, qid, q0, q1 = ordered(probes, ("qid", "q0", "q1"))
-    code, want = np.stack([c0, c1]).view(np.uint64), np.stack([q0, q1]).view(np.uint64)
-    out_q, out_r = [qid[:0]], [rid[:0]]
-    both = np.intersect1d(keys, asked)
-    bounds = [np.searchsorted(x, both, side).tolist() for x in (keys, asked) for side in ("left", "right")]
-    for key, i, j, a, b in zip(both.tolist(), *bounds):
-        step = max(1, BLOCK // (b - a))
-        for at in range(i, j, step):
-            x = code[:, at : min(j, at + step), None] ^ want[:, None, a:b]
-            r, q = np.nonzero(np.bitwise_count(x[0]).astype(np.uint16) + np.bitwise_count(x[1]) <= radius)
-            x, fresh = x[:, r, q], np.ones(len(r), bool)
-            for s in range(key >> width):
-                if near[s] >= 0:
-                    fresh &= np.bitwise_count((x[s * width // 64] >> np.uint64(s * width % 64)) & np.uint64((1 << width) - 1)) > near[s]
-            out_q.append(qid[a + q[fresh]])
-            out_r.append(rid[at + r[fresh]])
-    return np.concatenate(out_q), np.concatenate(out_r)
-
-
-def retrieve(index: DataFrame, asked: DataFrame, radius: int, width: int, tasks: int, near: list[int] | None = None) -> DataFrame:
-    """Each pair (qid, rid) of codes within the radius once. near: how far each substring is probed, if not by pigeonhole.
-
-    Rows and probes with one substring and value meet in one of the tasks, which compares their whole codes in blocks.
-    """
-    near = shares(radius, BITS // width) if near is None else near
-    probed = F.array(*[F.lit(t) for t in near])
-    masks = asked.sparkSession.range(1 << width).select(F.col("id").alias("mask"), F.bit_count("id").alias("ones"), F.posexplode(probed).alias("s", "share")).where("ones <= share").select("s", "mask")
-    bucket = F.pmod(F.xxhash64("s", "value"), F.lit(tasks)).alias("bucket")
-    values = asked.select("qid", "q0", "q1", F.posexplode(F.array(*parts([F.col("q0"), F.col("q1")], width))).alias("s", "value"))
-    probes = values.join(masks, "s").select("qid", "q0", "q1", "s", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).select("*", bucket)
-    rows = index.select("rid", "c0", "c1", F.posexplode(F.array(*parts([F.col("c0"), F.col("c1")], width))).alias("s", "value")).where(F.get(probed, F.col("s")) >= 0).select("*", bucket)
+class Index:
+    """Rows by the value of each substring of their codes."""
+
+    def __init__(self, codes: np.ndarray, width: int):
+        self.codes, self.width = codes, width
+        self.values = self.cut(codes)
+        self.rows = [np.argsort(v, kind="stable") for v in self.values]
+        self.first = [np.concatenate([[0], np.cumsum(np.bincount(v, minlength=1 << width))]) for v in self.values]
+        ones = np.bitwise_count(np.arange(1 << width, dtype=np.uint32))
+        self.masks, self.within_share = np.argsort(ones, kind="stable"), np.cumsum(np.bincount(ones, minlength=width + 1))
+
+    def cut(self, codes: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(codes.view(np.uint8 if self.width == 8 else np.uint16).astype(np.int64).T)
+
+    def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Which rows the probes of a code touch: at least all within the radius."""
+        found = np.zeros(len(self.codes), bool)
+        for s, (value, share) in enumerate(zip(self.cut(code[None])[:, 0], shares(radius, len(self.values)))):
+            if share < 0:
+                continue
+            near = value ^ self.masks[: self.within_share[min(share, self.width)]]
+            begin = self.first[s][near]
+            n = self.first[s][near + 1] - begin
+            found[self.rows[s][np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+        return np.flatnonzero(found)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """All rows whose codes differ from code in at most radius bits."""
+        rows = self.probe(code, radius)
+        return rows[distances(self.codes[rows], code) <= radius]
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = close(left, right, radius, width, near) if len(left) and len(right) else ([], [])
-        return pa.table([pa.array(c, pa.int64()) for c in found], ["qid", "rid"])
 
-    return rows.groupBy("bucket").cogroup(probes.groupBy("bucket")).applyInArrow(meet, "qid long, rid long")
+def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int64)
 
 
-def rerank(pairs: DataFrame, index: DataFrame, asked: DataFrame, k: int, tasks: int) -> DataFrame:
-    """The k best of each query's retrieved rows by cosine, ties to the smaller vec_id."""
-    left = pairs.repartition(tasks, "rid").join(index.select("rid", "vec_id", "x", "norm"), "rid")
-    both = left.join(asked.select("qid", "query_id", F.col("x").alias("y"), F.col("norm").alias("query_norm")), "qid").where("vec_id <> query_id")
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scored = both.select("qid", "query_id", "vec_id", (dot / (F.col("norm") * F.col("query_norm"))).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    table = table.combine_chunks()
+    x = pa.concat_arrays(table["x"].chunks) if table["x"].num_chunks else pa.array([], pa.list_(pa.float64()))
+    ids = table["vec_id"].to_numpy()
+    return ids, x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -160,8 +137,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Ties go to the smaller vec_id; rows with a query's own id are no candidates. Vectors without id, null, empty, zero,
     or holding a null or non-finite component take no part. Vectors of each dimension are searched among themselves.
-    Repeated queries ask once; repeated rows are candidates each. A query with fewer than k rows inside the radius is
-    asked again with every row inside. Empty tables give no rows.
+    Repeated queries ask once; repeated rows are candidates each. Where a block holds fewer than k rows inside
+    a query's radius, its nearest codes beyond it count too. Empty tables give no rows.
     """
     there = {r["dim"]: r["count"] for r in usable(vectors).groupBy("dim").count().collect()}
     dims = sorted(r["dim"] for r in usable(queries).select("dim").distinct().collect() if r["dim"] in there)
@@ -172,28 +149,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 def search_dimension(vectors: DataFrame, queries: DataFrame, k: int, dim: int, n_rows: int) -> DataFrame:
     """The search among the n_rows vectors of one dimension."""
-    known = usable(vectors).where(F.col("dim") == dim)
+    known = usable(vectors).where(F.col("dim") == dim).select("vec_id", "x")
+    asked = usable(queries).where(F.col("dim") == dim).select("vec_id", "x").distinct()
     sample = known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toArrow()["x"].to_pylist()
-    turn, radius, width = fit(np.array(sample, np.float64), n_rows, k)
-    sent = vectors.sparkSession.sparkContext.broadcast(turn)
-
-    @F.arrow_udf("array<bigint>")
-    def code(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for x in columns:
-            words = encode(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), dim), sent.value) if len(x) else np.zeros((0, BITS // 64), np.uint64)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words.ravel().view(np.int64)))
-
-    def coded(rows: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
-        found = rows.withColumn("code", code("x"))
-        return cut(found.select(F.monotonically_increasing_id().alias(key), "vec_id", "x", "norm", *[F.get("code", F.lit(i)).alias(n) for i, n in enumerate(names)]))
-
-    index = coded(known, "rid", ("c0", "c1"))
-    asked = coded(usable(queries).where(F.col("dim") == dim).distinct(), "qid", ("q0", "q1")).withColumnRenamed("vec_id", "query_id")
-    n_asked = asked.count()
-    tasks = max(1, n_rows * n_asked // PAIRS, (n_rows + n_asked) * (BITS // width) // ROWS)
-    best = cut(rerank(retrieve(index, asked, radius, width, tasks), index, asked, k, tasks))
-    short = asked.join(best.groupBy("qid").count().where(F.col("count") >= k).select("qid"), "qid", "left_anti")
-    if not short.isEmpty():
-        every = retrieve(index, short, BITS, min(WIDTHS), tasks, [min(WIDTHS)] + [-1] * (BITS // min(WIDTHS) - 1))
-        best = best.join(short.select("qid"), "qid", "left_anti").unionByName(rerank(every, index, short, k, tasks))
-    return best.select("query_id", "rank", "vec_id", "score")
+    fitted = fit(np.array(sample, np.float64), n_rows, k)
+    sent = vectors.sparkSession.sparkContext.broadcast(fitted)
+    row_blocks, query_blocks = (max(1, -(-n * 8 * dim // size)) for n, size in ((n_rows, ROW_BYTES), (asked.count(), QUERY_BYTES)))
+
+    def meet(rows: pa.Table, questions: pa.Table) -> pa.Table:
+        turn, radius, width = sent.value
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(rows) and len(questions):
+            ids, x = matrix(rows)
+            by = np.argsort(ids, kind="stable")
+            ids, x = ids[by], x[by]
+            size = np.sqrt((x * x).sum(axis=1))
+            index = Index(encode(x, turn), width)
+            asked_ids, q = matrix(questions)
+            for query, v, code in zip(asked_ids.tolist(), q, encode(q, turn)):
+                at = index.within(code, radius)
+                at = at[ids[at] != query]
+                if len(at) < k:
+                    other = np.flatnonzero(ids != query)
+                    at = np.sort(other[np.argsort(distances(index.codes[other], code), kind="stable")[:k]])
+                score = (x[at] * v).sum(axis=1) / (size[at] * np.sqrt((v * v).sum()))
+                top = np.argsort(-score, kind="stable")[:k]
+                out.append((np.full(len(top), xxhash.xxh64_intdigest(v.tobytes()) >> 1), np.full(len(top), query), ids[at[top]], score[top]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], ["question", "query_id", "vec_id", "score"])
+
+    left = known.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(row_blocks)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "vec_id", "x")
+    right = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)).cast("array<bigint>")).alias("rb"), "vec_id", "x")
+    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(meet, "question long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "question").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
