@@ -22,7 +22,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return own.union(rest).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node that a path reaches.
 
     A round is two aggregations and two joins over the edges; their number grows with the logarithm of the longest
@@ -30,10 +30,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = cut(edges.where("a <> b").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(seen) == before or not seen[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         before = tuple(seen)
         now = cut(_small_star(_large_star(now)))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,11 +1,14 @@
 """Secret scans: fixed patterns, and a pair of character Markov models for strings that no pattern names.
 
 DataFrame operations only. Candidate strings are scored by the log-likelihood ratio of two first-order character
-models, one trained from labelled random strings, one from labelled ordinary identifiers.
+models, one trained from labelled random strings, one from labelled ordinary identifiers; the ratio from which a
+string counts as random is chosen on labelled samples that the models did not see.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +22,14 @@ SHORTEST = {"assign": 12, "access": 18, "hex": 16}
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Strings that the models judge, and their alphabet.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ALPHABET = 67
-#: Mean log-likelihood ratio per character pair (natural log) from which a candidate counts as random.
-MARGIN = 0.5
+#: The alphabet of the strings that the models judge, its size and the shortest length judged.
+ALLOWED, ALPHABET, LEAST = "[A-Za-z0-9+/_=-]", 67, 20
+#: A span of a base kind, where candidates end.
+BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}"""
+#: Base spans, and as group 1 the candidates: stretches of the alphabet outside them.
+CANDIDATE = rf"(?:{BASE})|((?:(?!{BASE}){ALLOWED}){{{LEAST},}})"
+#: Share of unseen ordinary strings that may count as random.
+FALSE_ALARMS = 0.001
 
 # Words of ordinary identifiers, from which the labelled samples are composed.
 IDENTIFIER_WORDS = (
@@ -45,7 +51,7 @@ IDENTIFIER_WORDS = (
 
 
 def labelled_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """text and secret: n random strings in each of four encodings, n identifiers in each of four styles, by rule."""
+    """text, secret and unseen (kept from the models): n random strings in each of eight encodings, n ordinary strings in each of six styles, by rule."""
     words = F.array(*[F.lit(w) for w in IDENTIFIER_WORDS])
     ids = spark.range(n)
 
@@ -53,44 +59,72 @@ def labelled_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
         return F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(IDENTIFIER_WORDS))).cast("int"))
 
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary"), 256)
-    random = F.array(digest, F.upper(F.substring(digest, 1, 40)), F.base64(F.unhex(digest)), F.translate(F.base64(F.unhex(F.substring(digest, 9, 48))), "+/=", "-_"))
+    letters = [F.translate(F.substring(digest, 1, 32), "0123456789", to) for to in ("ghijklmnop", "qrstuvwxyz", "kzmwgvtjhr")]
+    random = F.array(digest, F.upper(F.substring(digest, 1, 40)), F.base64(F.unhex(digest)), F.translate(F.base64(F.unhex(F.substring(digest, 9, 48))), "+/=", "-_"), *letters, F.upper(letters[0]))
     w = [word(k) for k in range(4)]
     plain = F.array(
-        F.concat_ws("_", *w), F.concat(w[0], *[F.initcap(x) for x in w[1:]]), F.concat_ws("-", w[0], w[1], w[2], F.pmod("id", F.lit(100)).cast("string")), F.concat_ws("/", *w)
+        F.concat_ws("_", *w), F.concat(w[0], *[F.initcap(x) for x in w[1:]]), F.concat_ws("-", w[0], w[1], w[2], F.pmod("id", F.lit(100)).cast("string")), F.concat_ws("/", *w), F.concat(*w), F.upper(F.concat_ws("_", *w))
     )
-    return ids.select(F.explode(random).alias("text"), F.lit(True).alias("secret")).union(ids.select(F.explode(plain).alias("text"), F.lit(False).alias("secret")))
+    unseen = (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("unseen")
+    return ids.select(F.explode(random).alias("text"), F.lit(True).alias("secret"), unseen).union(ids.select(F.explode(plain).alias("text"), F.lit(False).alias("secret"), unseen))
+
+
+@dataclass(frozen=True)
+class Model:
+    """What the two models come to: the weight of each pair of characters, and the mean weight of a random string."""
 
+    weights: tuple[float, ...]
+    margin: float
 
-def _pairs(text: Column) -> Column:
-    return F.explode(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2))))
+    def ratio(self, text: Column) -> Column:
+        """Mean log-likelihood ratio of a text's character pairs; pairs outside ASCII weigh nothing, one character has none."""
+        table = F.split(F.lit(" ".join(f"{w:.6g}" for w in self.weights)), " ").cast("array<double>")
+        signs = F.split(text, "")
+        n = F.size(signs) - 1
+        pairs = F.zip_with(F.slice(signs, F.lit(1), n), F.slice(signs, F.lit(2), n), lambda a, b: F.coalesce(F.get(table, F.ascii(a) * 128 + F.ascii(b)), F.lit(0.0)))
+        return F.when(n > 0, F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / n)
 
 
-def train(samples: DataFrame) -> DataFrame:
-    """pair and weight: log P(second | first) among secrets less the same among ordinary strings, add-one smoothed.
+def train(samples: DataFrame, false_alarms: float = FALSE_ALARMS) -> Model:
+    """The models' weights, log P(second | first) among secrets less the same among ordinary strings, add-one smoothed.
 
-    At most one row for each pair of characters seen. Null or one-character samples teach nothing.
+    Samples marked unseen only choose the margin: that share of their ordinary strings may reach it. At most one row
+    for each pair of ASCII characters is gathered. Null or one-character samples teach nothing.
     """
-    pairs = samples.where(F.length("text") > 1).select("secret", _pairs(F.col("text")).alias("pair"))
-    counts = pairs.groupBy("pair").agg(F.count_if("secret").alias("s"), F.count_if(~F.col("secret")).alias("o"))
-    first = Window.partitionBy(F.substring("pair", 1, 1))
+    known = samples.where(~F.col("unseen") & (F.length("text") > 1))
+    signs = F.split("text", "")
+    n = F.size(signs) - 1
+    pairs = known.select("secret", F.explode(F.arrays_zip(F.slice(signs, F.lit(1), n).alias("a"), F.slice(signs, F.lit(2), n).alias("b"))).alias("p")).select("secret", "p.a", "p.b")
+    counts = pairs.where((F.ascii("a") < 128) & (F.ascii("b") < 128)).groupBy("a", "b").agg(F.count_if("secret").alias("s"), F.count_if(~F.col("secret")).alias("o"))
+    first = Window.partitionBy("a")
     chance = {k: F.log((F.col(k) + 1) / (F.sum(k).over(first) + ALPHABET)) for k in ("s", "o")}
-    return counts.select("pair", (chance["s"] - chance["o"]).alias("weight"))
+    weights = [0.0] * (128 * 128)
+    for r in counts.select((F.ascii("a") * 128 + F.ascii("b")).alias("at"), (chance["s"] - chance["o"]).alias("weight")).collect():
+        weights[r["at"]] = r["weight"]
+    model = Model(tuple(weights), 0.0)
+    ordinary = samples.where(F.col("unseen") & ~F.col("secret"))
+    top = ordinary.agg(F.percentile(model.ratio(F.col("text")), 1.0 - false_alarms)).first()[0]
+    return replace(model, margin=max(0.0, top or 0.0))
 
 
 def _hits(text: Column, pattern: str, kind: str, present: Column) -> Column:
-    """Every match in order, with the length of the gap before it."""
-    parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})" if kind != "assign" else pattern.replace("(?i)", "(?i)(", 1) + ")"), F.lit(1))
-    found = F.transform(F.arrays_zip(parts.alias("gap"), hits.alias("hit")), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["hit"].alias("hit")))
-    return F.when(present, found).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,hit:string>>"))
+    """Every match in order, with the length of the gap before it and what counts of it."""
+    whole = pattern.replace("(?i)", "(?i)(", 1) + ")" if kind == "assign" else f"({pattern})"
+    parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(whole), F.lit(1))
+    told = F.regexp_extract_all(text, F.lit(whole), F.lit(2)) if kind == "markov" else hits
+    each = F.arrays_zip(parts.alias("gap"), hits.alias("hit"), told.alias("told"))
+    found = F.transform(each, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["hit"].alias("hit"), x["told"].alias("told")))
+    return F.when(present, found).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,hit:string,told:string>>"))
 
 
-def spans(docs: DataFrame, model: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """The found spans of each document row, and one row with null kind for a row with none.
+def spans(docs: DataFrame, model: Model) -> DataFrame:
+    """The found spans of each document row, and at least one row with null kind for a row with none.
 
     Columns: row, doc_id, text_key (a hash of the text), kind, start, stop (code points, stop exclusive). Base kinds are
-    as their patterns say, leftmost and non-overlapping for each kind. A candidate that touches no base span is added
-    as kind markov when its mean log-likelihood ratio reaches the margin. Null and empty texts have no spans; repeated
-    rows are scanned each on its own; a null doc_id stays null; other columns are ignored.
+    as their patterns say, leftmost and non-overlapping for each kind. Stretches of LEAST or more characters of the
+    alphabet outside base spans are candidates; one is added as kind markov when its mean log-likelihood ratio reaches
+    the model's margin. Null and empty texts have no spans; repeated rows are scanned each on its own; a null doc_id
+    stays null; an empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
     rows = only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), text.alias("text"))
@@ -99,36 +133,24 @@ def spans(docs: DataFrame, model: DataFrame, margin: float = MARGIN) -> DataFram
         _hits(t, ASSIGN, "assign", t.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")),
         _hits(t, ACCESS, "access", t.contains("AKIA")),
         _hits(t, "[0-9a-f]{16,}", "hex", t.rlike("[0-9a-f]{16}")),
-        _hits(t, CANDIDATE, "markov", t.rlike(CANDIDATE)),
+        _hits(t, CANDIDATE, "markov", t.rlike(f"{ALLOWED}{{{LEAST}}}")),
     )
     each = rows.select("row", "doc_id", "text_key", F.explode_outer(found).alias("x")).select("row", "doc_id", "text_key", "x.*")
     order = Window.partitionBy("row", "kind").orderBy("i")
     size = F.length("hit")
-    placed = each.withColumn("start", (F.sum(F.col("gap") + F.coalesce(size, F.lit(0))).over(order) - size).cast("long"))
-    placed = placed.withColumn("stop", F.col("start") + size).where(F.col("kind").isNull() | F.col("hit").isNotNull() | (F.col("i") == 0))
-    value = F.when(F.col("kind") == "assign", F.regexp_extract("hit", ASSIGN, 2)).otherwise(F.col("hit"))
-    least = F.when(F.col("kind") == "assign", SHORTEST["assign"]).when(F.col("kind") == "access", SHORTEST["access"]).when(F.col("kind") == "hex", SHORTEST["hex"]).otherwise(20)
-    long = placed.withColumn("long", F.length(value) >= least)
-    base = F.col("kind").isin("assign", "access", "hex") & F.col("long")
-    here = Window.partitionBy("row").orderBy("start")
-    before = F.max(F.when(base, F.col("stop"))).over(here.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(base, F.col("start"))).over(here.rangeBetween(0, Window.unboundedFollowing))
-    alone = ~F.coalesce(before > F.col("start"), F.lit(False)) & ~F.coalesce(after < F.col("stop"), F.lit(False))
-    mixed = F.col("hit").rlike("[0-9]") | F.col("hit").rlike("[a-z][^a-z]*[A-Z]")
-    judged = long.withColumn("candidate", (F.col("kind") == "markov") & alone & mixed).withColumn("base", base)
-    strings = judged.where("candidate").select("hit").distinct()
-    scored = strings.select("hit", _pairs(F.col("hit")).alias("pair")).join(F.broadcast(model), "pair", "left").groupBy("hit").agg(F.avg(F.coalesce("weight", F.lit(0.0))).alias("ratio"))
-    secret = scored.where(F.col("ratio") >= margin).select(F.col("hit").alias("secret_hit"))
-    told = judged.join(secret, F.when(F.col("candidate"), F.col("hit")) == F.col("secret_hit"), "left")
-    kept = F.col("base") | F.col("secret_hit").isNotNull()
-    return told.select("row", "doc_id", "text_key", *[F.when(kept, F.col(c)).alias(c) for c in ("kind", "start", "stop")])
-
-
-def scan(docs: DataFrame, model: DataFrame, margin: float = MARGIN) -> DataFrame:
+    placed = each.withColumn("start", (F.sum(F.col("gap") + F.coalesce(size, F.lit(0))).over(order) - size).cast("long")).withColumn("stop", F.col("start") + size)
+    value = F.when(F.col("kind") == "assign", F.regexp_extract("hit", ASSIGN, 2)).otherwise(F.col("told"))
+    least = F.when(F.col("kind") == "assign", SHORTEST["assign"]).when(F.col("kind") == "access", SHORTEST["access"]).when(F.col("kind") == "hex", SHORTEST["hex"]).otherwise(LEAST)
+    random = (F.col("kind") != "markov") | (model.ratio(F.when(F.col("kind") == "markov", F.col("told"))) >= model.margin)
+    kept = (F.length(value) >= least) & random
+    return placed.select("row", "doc_id", "text_key", *[F.when(kept, F.col(c)).alias(c) for c in ("kind", "start", "stop")])
+
+
+def scan(docs: DataFrame, model: Model) -> DataFrame:
     """For each document row: doc_id, text_key, a count for each kind, and found: its spans (start, rank, kind, stop) in order."""
     rank = F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3)
     one = F.when(F.col("kind").isNotNull(), F.struct("start", rank.alias("rank"), "kind", "stop"))
-    return spans(docs, model, margin).groupBy("row").agg(
+    return spans(docs, model).groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("text_key").alias("text_key"),
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
@@ -141,7 +163,7 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, model: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: Model, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret span (overlapping ones merged) replaced by the mark; n_chars follows. No row is dropped."""
     hit_id, hit_key, spans_of = unused(docs, "hit_id", "hit_key", "found")
     hits = scan(docs, model).where(F.size("found") > 0).select(F.col("doc_id").alias(hit_id), F.col("text_key").alias(hit_key), F.col("found").alias(spans_of)).dropDuplicates([hit_id, hit_key])

@@ -9,7 +9,7 @@ where the keys meet.
 
 from __future__ import annotations
 
-from itertools import accumulate, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from .text import LOWER, buffers
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 THRESHOLD = 4
 SEED = 42
-#: Groups under one key up to this size are compared pairwise; larger ones are split further.
-DIRECT = 4096
+#: Fingerprints of one key that are compared with others at once.
+BLOCK = 128
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -104,66 +104,46 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[off], nodes[root[off]]
 
 
-def _links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest with the components of the links among distinct fps.
+def meet(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints with equal keys (sorted), as a forest.
 
-    Up to DIRECT all pairs are compared. Beyond, the bits in which the fingerprints vary are cut into five pieces, one
-    of which any linked pair shares, and each group that shares a piece is solved alone.
+    Pairs pass the chain that begins at the key's segment and the full Hamming check; all others are found under
+    another key or not at all. A group is compared in blocks, so its memory grows with its size alone.
     """
-    if len(fps) <= DIRECT:
-        ends = []
-        for i in range(0, len(fps), 256):
-            near = np.bitwise_count(fps[i : i + 256, None] ^ fps[None, i:]) <= THRESHOLD
-            ends.append(np.stack(np.nonzero(near)) + i)
-        i, j = np.concatenate(ends, axis=1)
-        return _forest(fps[i[i < j]], fps[j[i < j]])
-    varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
-    bits = [k for k in range(64) if varying >> k & 1]
-    heads, tails = [], []
-    if len(bits) <= THRESHOLD:
-        return fps[1:], np.repeat(fps[:1], len(fps) - 1)
-    for piece in np.array_split(bits, THRESHOLD + 1):
-        mask = np.uint64(sum(1 << int(k) for k in piece))
-        order = np.argsort(fps & mask, kind="stable")
-        for group in np.split(fps[order], np.flatnonzero(np.diff(fps[order] & mask)) + 1):
-            if len(group) > 1:
-                a, b = _links(group)
-                heads.append(a)
-                tails.append(b)
-    return _forest(np.concatenate(heads), np.concatenate(tails)) if heads else (fps[:0], fps[:0])
-
-
-def meet(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints with equal keys, as a forest."""
-    order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order]
-    same = keys[1:] == keys[:-1]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2] + 1
-    size = end - begin
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(keys)))
     heads, tails = [fps[:0]], [fps[:0]]
-    for i, j in zip(begin[size > 64].tolist(), end[size > 64].tolist()):
-        a, b = _links(np.unique(fps[i:j]))
-        heads.append(a)
-        tails.append(b)
-    small = np.zeros(len(keys) + 1, np.int64)
-    np.add.at(small, begin[size <= 64], 1)
-    np.add.at(small, end[size <= 64], -1)
-    at = np.flatnonzero(np.cumsum(small)[:-1])
+
+    def test(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> None:
+        x = a ^ b
+        near = np.bitwise_count(x) <= THRESHOLD
+        near[near] = in_chain(x[near], ((key[near] & np.uint64(255)) >> np.uint64(4)).astype(np.int64))
+        heads.append(a[near])
+        tails.append(b[near])
+
+    wide = size > BLOCK
+    for i, n in zip(head[wide].tolist(), size[wide].tolist()):
+        for at in range(i, i + n, BLOCK):
+            own = fps[at : min(at + BLOCK, i + n)]
+            for far in range(at, i + n, 64 * BLOCK):
+                other = fps[far : min(far + 64 * BLOCK, i + n)]
+                p, q = np.nonzero(np.bitwise_count(own[:, None] ^ other) <= THRESHOLD)
+                test(own[p], other[q], np.repeat(keys[i : i + 1], len(p)))
+            if len(heads) > 64:
+                heads[:], tails[:] = ([x] for x in _forest(np.concatenate(heads), np.concatenate(tails)))
+    at = np.flatnonzero(np.repeat(~wide, size))
     k, f = keys[at], fps[at]
-    for step in range(1, int(size[size <= 64].max(initial=1))):
+    for step in range(1, int(size[~wide].max(initial=1))):
         ok = np.flatnonzero(k[step:] == k[:-step])
-        if not len(ok):
-            break
-        x = f[ok] ^ f[ok + step]
-        good = in_chain(x, ((k[ok] & np.uint64(255)) >> np.uint64(4)).astype(np.int64)) & (np.bitwise_count(x) <= THRESHOLD)
-        heads.append(f[ok[good]])
-        tails.append(f[ok[good] + step])
+        test(f[ok], f[ok + step], k[ok])
     return _forest(np.concatenate(heads), np.concatenate(tails))
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp): a forest with all components of Hamming distance <= 4."""
+    """Links (a, b) between distinct fingerprints (column fp): a forest with all components of Hamming distance <= 4.
+
+    Keys arrive sorted, so a task holds one batch and the fingerprints of one key at a time.
+    """
 
     def deal(batches):
         for batch in batches:
@@ -173,12 +153,20 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps[i : i + (1 << 14)], keys.shape[1]).view(np.int64))], ["key", "fp"])
 
     def join(batches):
-        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if got:
-            a, b = meet(np.concatenate([x for x, _ in got]).view(np.uint64), np.concatenate([y for _, y in got]).view(np.uint64))
-            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    return distinct.select("fp").mapInArrow(deal, "key long, fp long").repartition("key").mapInArrow(join, "a long, b long")
+        keys, fps = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for batch in chain(batches, [None]):
+            done = len(keys)
+            if batch is not None:
+                more = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1)]
+                keys, fps = np.concatenate([keys, more[0]]), np.concatenate([fps, more[1]])
+                done = int(np.argmax(keys == keys[-1])) if len(keys) else 0
+            a, b = meet(keys[:done], fps[:done])
+            keys, fps = keys[done:], fps[done:]
+            if len(a):
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    keyed = distinct.select("fp").mapInArrow(deal, "key long, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
