@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import only
-from .decontam import words_of
+from .decontam import lower_ascii, words_of
 
 K = 3
 #: Share of a template's k-grams that a span must hold, and how far diagonals of one span may lie apart.
@@ -65,11 +65,11 @@ def scan(docs: DataFrame, known: DataFrame, coverage: float = COVERAGE) -> DataF
     """For each document row: doc_id, n_words, places (starts of base phrases), base_labels, labels, score, spans.
 
     spans: the verified (label, first, stop) stretches of words, base phrases included; score is the largest share of a
-    template covered, 1 for a base phrase. Words are compared in lower case. Null and empty texts have no words; a
+    template covered, 1 for a base phrase. Words are compared after lower-casing A-Z. Null and empty texts have no words; a
     null doc_id is kept; repeated rows are scanned each on its own; an empty table gives no rows; other columns are
     ignored. known has a bounded number of rows (the templates) and is sent to all tasks.
     """
-    words = F.transform(F.array_remove(words_of(F.col("text")), ""), F.lower)
+    words = F.transform(F.array_remove(words_of(F.col("text")), ""), lower_ascii)
     split = only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("w"))
     hashed = split.select("row", "doc_id", "w", F.size("w").alias("n_words"), rolling("w").alias("h"))
     dealt = hashed.select("row", "doc_id", "w", "n_words", F.posexplode(F.concat("h", F.array(F.lit(None).cast("long")))).alias("pos", "hash"))

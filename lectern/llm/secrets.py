@@ -50,20 +50,31 @@ IDENTIFIER_WORDS = (
 ).split()
 
 
+# Common words of German, French and Spanish, from which long ordinary words are composed.
+COMMON_WORDS = (
+    "arbeit aufgabe bedeutung beispiel bereich bestimmung beziehung dienst einheit entwicklung erfahrung ergebnis forschung freiheit gemeinde gesellschaft geschichte gesundheit grundlage "
+    "handlung herrschaft kraftwerk landschaft leistung lieferung meinung mitglied möglichkeit pflicht rechnung regierung richtung schreiben schule schwierigkeit sicherheit sprache "
+    "technik umgebung unternehmen verantwortung verbindung verfahren verhältnis versicherung verwaltung wirklichkeit wirtschaft wissenschaft zeitung zukunft zusammenhang "
+    "administration appartement bibliothèque bonheur changement chateau commencement connaissance couleur département environnement essentiel établissement française gouvernement "
+    "habituellement heureux institutionnel journaux logement maintenant maison mouvement naturellement nouveau particulier personnelle politique quelquefois rapidement recherche "
+    "ciudad conocimiento construcción corazón desarrollo educación empresa enseñanza estudiante felicidad gobierno historia libertad mañana movimiento naturaleza necesario "
+    "organización palabra pensamiento pueblo realidad seguridad sentimiento sociedad tiempo trabajo universidad verdadero"
+).split()
+
+
 def labelled_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """text, secret and unseen (kept from the models): n random strings in each of eight encodings, n ordinary strings in each of six styles, by rule."""
-    words = F.array(*[F.lit(w) for w in IDENTIFIER_WORDS])
+    """text, secret and unseen (kept from the models): n random strings in each of eight encodings, n ordinary strings in each of eight styles, by rule."""
     ids = spark.range(n)
 
-    def word(k: int) -> Column:
-        return F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(IDENTIFIER_WORDS))).cast("int"))
+    def word(k: int, of: list[str]) -> Column:
+        return F.get(F.split(F.lit(" ".join(of)), " "), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(of))).cast("int"))
 
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary"), 256)
     letters = [F.translate(F.substring(digest, 1, 32), "0123456789", to) for to in ("ghijklmnop", "qrstuvwxyz", "kzmwgvtjhr")]
     random = F.array(digest, F.upper(F.substring(digest, 1, 40)), F.base64(F.unhex(digest)), F.translate(F.base64(F.unhex(F.substring(digest, 9, 48))), "+/=", "-_"), *letters, F.upper(letters[0]))
-    w = [word(k) for k in range(4)]
+    w, common = [word(k, IDENTIFIER_WORDS) for k in range(4)], [word(k, COMMON_WORDS) for k in range(4, 7)]
     plain = F.array(
-        F.concat_ws("_", *w), F.concat(w[0], *[F.initcap(x) for x in w[1:]]), F.concat_ws("-", w[0], w[1], w[2], F.pmod("id", F.lit(100)).cast("string")), F.concat_ws("/", *w), F.concat(*w), F.upper(F.concat_ws("_", *w))
+        F.concat_ws("_", *w), F.concat(w[0], *[F.initcap(x) for x in w[1:]]), F.concat_ws("-", w[0], w[1], w[2], F.pmod("id", F.lit(100)).cast("string")), F.concat_ws("/", *w), F.concat(*w), F.upper(F.concat_ws("_", *w)), F.concat(*common), F.initcap(F.concat(*common))
     )
     unseen = (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("unseen")
     return ids.select(F.explode(random).alias("text"), F.lit(True).alias("secret"), unseen).union(ids.select(F.explode(plain).alias("text"), F.lit(False).alias("secret"), unseen))
@@ -88,7 +99,8 @@ class Model:
 def train(samples: DataFrame, false_alarms: float = FALSE_ALARMS) -> Model:
     """The models' weights, log P(second | first) among secrets less the same among ordinary strings, add-one smoothed.
 
-    Samples marked unseen only choose the margin: that share of their ordinary strings may reach it. At most one row
+    Samples marked unseen only choose the margin: at most that share of their ordinary strings may reach it, and where
+    the classes lie apart it is halfway to the ratio that 99 % of their secrets reach. At most one row
     for each pair of ASCII characters is gathered. Null or one-character samples teach nothing.
     """
     known = samples.where(~F.col("unseen") & (F.length("text") > 1))
@@ -102,9 +114,10 @@ def train(samples: DataFrame, false_alarms: float = FALSE_ALARMS) -> Model:
     for r in counts.select((F.ascii("a") * 128 + F.ascii("b")).alias("at"), (chance["s"] - chance["o"]).alias("weight")).collect():
         weights[r["at"]] = r["weight"]
     model = Model(tuple(weights), 0.0)
-    ordinary = samples.where(F.col("unseen") & ~F.col("secret"))
-    top = ordinary.agg(F.percentile(model.ratio(F.col("text")), 1.0 - false_alarms)).first()[0]
-    return replace(model, margin=max(0.0, top or 0.0))
+    ratio, unseen = model.ratio(F.col("text")), samples.where("unseen")
+    top = unseen.where(~F.col("secret")).agg(F.percentile(ratio, 1.0 - false_alarms)).first()[0] or 0.0
+    low = unseen.where("secret").agg(F.percentile(ratio, 0.01)).first()[0] or 0.0
+    return replace(model, margin=max(top, (top + low) / 2))
 
 
 def _hits(text: Column, pattern: str, kind: str, present: Column) -> Column:
