@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,44 @@ def sort_keys(sort: str) -> list[Column]:
     return [{"title": F.collate("title", "UNICODE"), "remaining": F.col("remaining_s")}.get(sort, F.desc("added_at")), F.col("book_id")]
 
 
+def placed(rows: DataFrame, *keys: Column) -> DataFrame:
+    """rows with place, from 1, in the order of the keys, which must tell all rows apart.
+
+    Rows are dealt by ranges of the keys and numbered inside each range; only the sizes of the ranges meet in one task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("part"))
+    sizes = dealt.groupBy("part").count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
+    return dealt.withColumn("within", within).join(F.broadcast(offsets), "part").select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("within") + F.col("before")).cast("int").alias("place"))
+
+
+def extraction_details(stats: DataFrame, chunked: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, chunks, pages, margin_lines, footnote_lines, column_pages: what an ingest did to each document."""
+    counts = chunked.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    return stats.join(counts, "doc_id").join(pages.groupBy("doc_id").agg(F.count("*").alias("pages")), "doc_id").select("doc_id", "chunks", "pages", "margin_lines", "footnote_lines", "column_pages")
+
+
+def save_books(books: DataFrame, path: str, buckets: int = 16) -> None:
+    """Writes book rows to a table partitioned by a bucket of book_id; saved books of the same id are replaced.
+
+    Only buckets that hold a new book are rewritten, each from what it held and the new rows, by way of a folder
+    beside the table, so that a run that fails leaves the table as it was.
+    """
+    spark = books.sparkSession
+    new = books.withColumn("bucket", F.pmod(F.xxhash64("book_id"), F.lit(buckets)).cast("int"))
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+        old = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("book_id"), "book_id", "left_anti")
+        merged = old.unionByName(new)
+    except AnalysisException:
+        merged = new
+    merged.write.mode("overwrite").parquet(f"{path}_next")
+    spark.read.parquet(f"{path}_next").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def percent_read(chunk_idx: Column, chunks: Column) -> Column:
     """Whole percents, null at zero and below."""
     p = F.floor(chunk_idx * 100 / chunks).cast("int")
@@ -64,10 +103,12 @@ def transcript_blocks(chunked: DataFrame) -> DataFrame:
 
 def active_chapter(chapters: DataFrame, positions: DataFrame) -> DataFrame:
     """For each (doc_id, chunk_idx): the last chapter in list order at or before it, else the first one."""
-    met = positions.withColumnRenamed("chunk_idx", "at").join(chapters.select("doc_id", "seq", "chunk_idx", "title"), "doc_id")
-    row = F.struct("seq", "title")
-    found = met.groupBy("doc_id", "at").agg(F.coalesce(F.max(F.when(F.col("chunk_idx") <= F.col("at"), row)), F.min(row)).alias("c"))
-    return found.select("doc_id", F.col("at").alias("chunk_idx"), "c.seq", "c.title")
+    listed = chapters.select("doc_id", F.col("chunk_idx").alias("at"), F.struct("seq", "title").alias("row"), F.lit(False).alias("asked"))
+    asked = positions.select("doc_id", F.col("chunk_idx").alias("at"), F.lit(None).cast(listed.schema["row"].dataType).alias("row"), F.lit(True).alias("asked")).distinct()
+    whole = Window.partitionBy("doc_id")
+    so_far = whole.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = listed.unionByName(asked).withColumn("c", F.coalesce(F.max("row").over(so_far), F.min("row").over(whole)))
+    return found.where("asked and c is not null").select("doc_id", F.col("at").alias("chunk_idx"), "c.seq", "c.title")
 
 
 def chapter_step(active: DataFrame, chapters: DataFrame, step: int) -> DataFrame:

@@ -186,3 +186,10 @@ def ncx_entries(token_rows: DataFrame, ncx_path: Column | str, *keys: str) -> Da
 def toc(nav: DataFrame, ncx: DataFrame, *keys: str) -> DataFrame:
     """The nav entries of each book that has any, else its NCX entries."""
     return nav.unionByName(ncx.join(nav.select(*keys).distinct(), list(keys), "left_anti"))
+
+
+def text_offsets(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, pos and start: where each text token begins in the text of its document, in characters."""
+    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    texts = rows.where("kind = 'text'")
+    return texts.select(*keys, "pos", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("long").alias("start"))

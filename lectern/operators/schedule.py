@@ -113,8 +113,11 @@ def timed(times: DataFrame, rate: float = 1.0) -> DataFrame:
 
 def chunk_at(times: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe (doc_id, seconds): the last chunk that starts at or before it; negative seconds count as zero."""
-    met = probes.join(times, "doc_id").where(T.estimate_seconds(F.col("words_before")) <= F.greatest(F.col("seconds"), F.lit(0.0)))
-    return met.groupBy("doc_id", "seconds").agg(F.max("chunk_idx").alias("chunk_idx"))
+    starts = times.select("doc_id", T.estimate_seconds(F.col("words_before")).alias("at"), "chunk_idx", F.lit(None).cast("double").alias("seconds"))
+    asked = probes.select("doc_id", F.greatest(F.col("seconds"), F.lit(0.0)).alias("at"), F.lit(None).cast("int").alias("chunk_idx"), F.col("seconds").cast("double").alias("seconds")).distinct()
+    so_far = Window.partitionBy("doc_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = starts.unionByName(asked).withColumn("chunk_idx", F.max("chunk_idx").over(so_far))
+    return found.where("seconds is not null and chunk_idx is not null").select("doc_id", "seconds", "chunk_idx")
 
 
 def elapsed(times: DataFrame, positions: DataFrame, rate: float = 1.0) -> DataFrame:
@@ -134,5 +137,16 @@ def clamp_rate(rate: Column, least: float = 0.5, most: float = 3.0) -> Column:
     return F.least(F.greatest(rate, F.lit(least)), F.lit(most))
 
 
+def web_rate(rate: Column) -> Column:
+    """A narrator speed as the web engine takes it."""
+    return clamp_rate(rate, 0.5, 4.0)
+
+
+def system_rate(rate: Column, normal: float = 0.5) -> Column:
+    """A narrator speed of 0.5 to 3 on the system engine's scale of 0 to 1, where normal is the voice's own pace."""
+    speed = clamp_rate(rate)
+    return F.when(speed <= 1, speed * normal).otherwise(normal + (speed - 1) * ((1 - normal) / 2))
+
+
 def player_status(engaged: Column, paused: Column, finished: Column) -> Column:
     return F.when(~engaged & finished, "ended").when(~engaged, "idle").when(paused, "paused").otherwise("playing")

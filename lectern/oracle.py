@@ -254,9 +254,17 @@ SELECT event_id, book_id, CASE WHEN coalesce(turn, 'stop') = 'stop' THEN 'idle'
 PROGRESS = f"WITH {EV}, {LATEST} SELECT book_id, chunk_idx FROM latest"
 CLOCK = "SELECT doc_id, CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') ELSE CAST(s // 60 AS VARCHAR) END || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock FROM (SELECT doc_id, CASE WHEN n_chars * 3.5 - 20 < 0 THEN 0 ELSE CAST(floor(n_chars * 3.5 - 20 + 0.5) AS BIGINT) END AS s FROM documents)"
 
+OUTLINE = r"""WITH RECURSIVE nodes AS (
+  SELECT doc_id, node, CASE WHEN node >= 3 THEN node // 3 - 1 END AS parent, 20 - node AS place, CASE WHEN node = 1 THEN '' ELSE trim(regexp_replace(left(text, 12), '\s+', ' ', 'g')) END AS title, CASE WHEN node % 4 > 0 THEN node END AS page
+  FROM documents, (SELECT unnest(range(12)) AS node)),
+walk AS (
+  SELECT doc_id, node, title, page, 0 AS level, [place] AS path FROM nodes WHERE parent IS NULL
+  UNION ALL SELECT n.doc_id, n.node, n.title, n.page, level + 1, list_append(path, n.place) FROM walk w JOIN nodes n ON n.doc_id = w.doc_id AND n.parent = w.node)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS INTEGER) AS seq, title, CAST(page AS INTEGER) AS page, level FROM walk WHERE title <> ''"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         "s1_format": "SELECT page_id, CASE WHEN regexp_matches(CASE WHEN page_id % 3 = 0 THEN url || '.EPUB' ELSE url END, '(?i)\\.epub$') THEN 'epub' ELSE 'pdf' END AS format FROM pages",
         "s2_supported": "SELECT page_id FROM pages WHERE page_id % 3 < 2",
         "s7_container": "SELECT 0 AS doc_id, 'OEBPS/content.opf' AS opf_path",
@@ -273,7 +281,7 @@ def oracle_sql() -> dict[str, str]:
         "l6_gutters": f"{SETTING}, {ORDER} SELECT doc_id, page, round(gutter, 6) AS gutter FROM gutters",
         "l7_reading_order": f"{SETTING}, {ORDER} SELECT doc_id, page, line_no, CAST(band AS INTEGER) AS band, col, CAST(spanning AS INTEGER) AS spanning, pos FROM ordered",
         "l8_block_gaps": f"{SETTING}, {ORDER}, {GAPS} SELECT doc_id, page, CAST(band AS INTEGER) AS band, col, gap FROM gaps",
-        "l12_join_lines": rf"SELECT doc_id, md5({squash('''regexp_replace(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)), '[‐-—-]' || chr(10) || '([a-z])', '\\1', 'g')''')}) AS joined FROM (SELECT doc_id, regexp_replace(text, '([a-z]{{4}})([a-z]{{4}})', '\1-' || chr(10) || '\2', 'g') AS t FROM documents)",
+        "l12_join_lines": rf"SELECT doc_id, md5({squash('''regexp_replace(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)), '[‐-—-]' || chr(10) || '([a-z])', '\\1', 'g')''')}) AS joined FROM (SELECT doc_id, regexp_replace(text, '([a-z]{{4}})([a-z]{{4}})', '\1-' || chr(10) || '\2', 'g') AS t FROM documents)",
         "l13_stats": f"{SETTING}, {ORDER} SELECT doc_id, body, m AS margin_lines, f AS footnote_lines, coalesce(c, 0) AS column_pages FROM (SELECT doc_id, any_value(body) AS body, count(*) FILTER (gone = 'margin') AS m, count(*) FILTER (gone = 'footnote') AS f FROM judged GROUP BY doc_id) LEFT JOIN (SELECT doc_id, count(*) AS c FROM (SELECT doc_id, page FROM ordered GROUP BY doc_id, page HAVING count(DISTINCT (band, col)) > 1 OR max(col) > 0) GROUP BY doc_id) USING (doc_id)",
         "m1_paragraphs": f"WITH {PAGE_PARAS} SELECT doc_id, para, text, CAST(heading AS INTEGER) AS heading FROM page_paras",
         "m2_nav": "SELECT * FROM (VALUES (0, 0, 'One', 'OEBPS/text/c1.xhtml', 0), (0, 1, 'Inner bold', 'OEBPS/text/c1.xhtml', 1), (0, 2, 'Two', 'OEBPS/text/c2.xhtml', 0)) AS t(doc_id, seq, title, href, level)",
@@ -347,3 +355,12 @@ SELECT doc_id, chunk_idx, token, unit, CASE WHEN hit THEN CAST(token - token_sta
         "x2_player_stream": f"WITH {PLAYER}",
         "x4_drop_stale": "SELECT book_id, seq, session FROM (SELECT *, max(session) OVER (PARTITION BY book_id ORDER BY seq) AS m FROM (SELECT user_id % 20 AS book_id, event_id AS seq, CAST(floor(value) AS INTEGER) AS session FROM events)) WHERE session = m",
     }
+    both, ncx = found["m2_nav"], found["m3_ncx"]
+    return found | {
+        "m4_toc": f"SELECT * FROM ({both}) UNION ALL SELECT * REPLACE (1 AS doc_id) FROM ({ncx})",
+        "t8_text_offsets": f"WITH {TOKENS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM tokens WHERE kind = 'text'",
+        "s5_outline": OUTLINE,
+        "n15_rates": "SELECT doc_id, round(least(greatest(s, 0.5), 4), 6)::DOUBLE AS web, round(CASE WHEN s <= 1 THEN greatest(s, 0.5) / 2 ELSE 0.5 + (least(s, 3) - 1) / 4 END, 6)::DOUBLE AS system FROM (SELECT doc_id, (doc_id % 500) / 100.0 AS s FROM documents)",
+        "q9_details": f"SELECT s.doc_id, c.n AS chunks, p.n AS pages, margin_lines, footnote_lines, column_pages FROM ({found['l13_stats']}) s JOIN (SELECT doc_id, count(*) AS n FROM ({found['c4_chunks']}) GROUP BY ALL) c USING (doc_id) JOIN (SELECT doc_id, count(DISTINCT page) AS n FROM ({found['l7_reading_order']}) GROUP BY ALL) p USING (doc_id)",
+        "k1_save_books": f"WITH {BOOKS} SELECT book_id, CASE WHEN book_id % 3 = 0 THEN title || ' (2)' ELSE title END AS title, author, added_at FROM books",
+    }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from lectern.operators import chunks as C
 from lectern.operators import layout as L
 from lectern.operators import library as B
 from lectern.operators import markup as M
+from lectern.operators import outline as O
 from lectern.operators import schedule as N
 from lectern.operators import voices as V
 from lectern.sources import adapters as A
@@ -184,8 +186,13 @@ def m3_ncx(spark, d):
 
 @query
 def m4_toc(spark, d):
-    nav = m2_nav(spark, d).where("doc_id > 0")
-    return M.toc(nav, m3_ncx(spark, d), "doc_id")
+    ncx = m3_ncx(spark, d)  # book 0 has both, book 1 only this
+    return M.toc(m2_nav(spark, d), ncx.union(ncx.withColumn("doc_id", F.col("doc_id") + 1)), "doc_id")
+
+
+@query
+def t8_text_offsets(spark, d):
+    return M.text_offsets(M.tokens(A.content_documents(spark, d)), "doc_id")
 
 
 @query
@@ -439,8 +446,7 @@ def b3_search(spark, d):
 
 @query
 def b4_sorted(spark, d):
-    order = Window.orderBy(*B.sort_keys("remaining"))
-    return _shelf(spark, d).select("book_id", F.row_number().over(order).alias("place"))
+    return B.placed(_shelf(spark, d).select("book_id", "remaining_s"), *B.sort_keys("remaining")).select("book_id", "place")
 
 
 @query
@@ -460,7 +466,7 @@ def b7_rate_label(spark, d):
 
 @query
 def b8_books(spark, d):
-    return A.books(spark, d).select("book_id", F.row_number().over(Window.orderBy(F.desc("added_at"), "book_id")).alias("place"))
+    return B.placed(A.books(spark, d).select("book_id", "added_at"), F.desc("added_at"), F.col("book_id")).select("book_id", "place")
 
 
 @query
@@ -602,3 +608,33 @@ def n9_player_states(spark, d):
 def x4_drop_stale(spark, d):
     rows = A.read(spark, d, "events").select((F.col("user_id") % 20).alias("book_id"), F.col("event_id").alias("seq"), F.floor(F.col("value")).cast("int").alias("session"))
     return P.drop_stale(rows)
+
+
+@query
+def s5_outline(spark, d):
+    places = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("node")
+    nodes = A.read(spark, d, "documents").select("doc_id", "text", places)
+    parent = F.when(F.col("node") >= 3, F.floor(F.col("node") / 3).cast("int") - 1)
+    title = F.when(F.col("node") != 1, F.concat(F.lit(" "), F.substring("text", 1, 12))).otherwise(" \n ")
+    return O.walk_outline(nodes.select("doc_id", "node", parent.alias("parent"), (20 - F.col("node")).alias("place"), title.alias("title"), F.when(F.col("node") % 4 > 0, F.col("node")).alias("page")))
+
+
+@query
+def n15_rates(spark, d):
+    speed = (F.col("doc_id") % 500) / 100.0
+    docs = A.read(spark, d, "documents")
+    return docs.select("doc_id", F.round(N.web_rate(speed), 6).alias("web"), F.round(N.system_rate(speed), 6).alias("system"))
+
+
+@query
+def q9_details(spark, d):
+    lines, pages = A.typeset(spark, d)
+    return B.extraction_details(L.clean_stats(lines, pages), _chunks(spark, d), pages)
+
+
+@query
+def k1_save_books(spark, d):
+    path, books = f"{_folder(spark)}/books-{uuid.uuid4().hex}", A.books(spark, d)
+    B.save_books(books, path)
+    B.save_books(books.where("book_id % 3 = 0").withColumn("title", F.concat("title", F.lit(" (2)"))), path)
+    return spark.read.parquet(path).select("book_id", "title", "author", "added_at")

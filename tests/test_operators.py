@@ -10,6 +10,7 @@ from lectern.operators import chunks as C
 from lectern.operators import layout as L
 from lectern.operators import library as B
 from lectern.operators import markup as M
+from lectern.operators import outline as O
 from lectern.operators import schedule as N
 from lectern.operators import voices as V
 from lectern.plans import ingest, synthesis
@@ -200,3 +201,20 @@ def test_stream_equals_table(spark, tmp_path):
     stream = P.event_stream(spark, SMALL).select((F.col("user_id") % n).alias("book_id"), (F.col("event_id") % 17).cast("int").alias("chunk_idx"), "ts", "event_id", "event_type")
     assert sorted(map(tuple, P.drain(P.player_stream(stream), str(tmp_path), "append").collect())) == sorted(map(tuple, P.player_states(events).collect()))
     assert sorted(map(tuple, P.drain(P.progress(stream), str(tmp_path), "complete").collect())) == sorted(map(tuple, P.progress(events).collect()))
+
+
+def test_placed_numbers_every_row_once(spark):
+    rows = spark.range(997).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("key"), F.col("id").alias("book_id"))
+    got = [(r["key"], r["book_id"]) for r in B.placed(rows, F.desc("key"), F.col("book_id")).orderBy("place").collect()]
+    assert got == sorted(got, key=lambda r: (-r[0], r[1])) and len(got) == 997
+
+
+def test_engine_rates(spark):
+    row = spark.range(1).select(*[N.system_rate(F.lit(x)).alias(f"s{i}") for i, x in enumerate((0.1, 0.5, 1.0, 2.0, 9.0))], N.web_rate(F.lit(9.0)).alias("w")).first()
+    assert tuple(row) == (0.25, 0.25, 0.5, 0.75, 1.0, 4.0)
+
+
+def test_outline_keeps_what_stands_under_a_blank_title(spark):
+    nodes = spark.createDataFrame([(1, 1, None, 0, " One ", 3), (1, 2, 1, 0, " ", 4), (1, 3, 2, 0, "Deep\n down", None), (1, 4, None, 1, "Two", 9), (1, 5, 99, 0, "lost", 1)], "doc_id long, node int, parent int, place int, title string, page int")
+    got = [tuple(r) for r in O.walk_outline(nodes).orderBy("seq").collect()]
+    assert got == [(1, 0, "One", 3, 0), (1, 1, "Deep down", None, 2), (1, 2, "Two", 9, 0)]
