@@ -12,11 +12,13 @@ GROUP_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where the session names none, as in tests."""
+    """The folder all executors share; a private one only where the session names none and runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
         return context.getCheckpointDir()
     if spark.sparkContext.getCheckpointDir() is None:
