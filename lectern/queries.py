@@ -579,9 +579,13 @@ def k11_lookup(spark, d):
 
 
 def _folder(spark) -> str:
+    """The folder all executors share; a private one only where the session names none and runs on one machine."""
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="lectern-")
 
 
 def _stream_positions(spark, d):
