@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, only, unused
-from .graph import components
+from .graph import components, forest
 from .text import LOWER, buffers
 
 #: First bit and width of each segment of the ring.
@@ -83,27 +83,6 @@ def in_chain(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) reduced to one link from each fingerprint to the smallest that it reaches."""
-    if not len(a):
-        return a, b
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        least = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], least)
-        np.minimum.at(new, root[b], least)
-        while not np.array_equal(jumped := new[new], new):
-            new = jumped
-        if np.array_equal(new, root):
-            break
-        root = new
-    off = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[off], nodes[root[off]]
-
-
 def meet(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links between fingerprints with equal keys (sorted), as a forest.
 
@@ -130,13 +109,13 @@ def meet(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 p, q = np.nonzero(np.bitwise_count(own[:, None] ^ other) <= THRESHOLD)
                 test(own[p], other[q], np.repeat(keys[i : i + 1], len(p)))
             if len(heads) > 64:
-                heads[:], tails[:] = ([x] for x in _forest(np.concatenate(heads), np.concatenate(tails)))
+                heads[:], tails[:] = ([x] for x in forest(np.concatenate(heads), np.concatenate(tails)))
     at = np.flatnonzero(np.repeat(~wide, size))
     k, f = keys[at], fps[at]
     for step in range(1, int(size[~wide].max(initial=1))):
         ok = np.flatnonzero(k[step:] == k[:-step])
         test(f[ok], f[ok + step], k[ok])
-    return _forest(np.concatenate(heads), np.concatenate(tails))
+    return forest(np.concatenate(heads), np.concatenate(tails))
 
 
 def links(distinct: DataFrame) -> DataFrame:
