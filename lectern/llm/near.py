@@ -86,11 +86,12 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def linked(shared: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def linked(shared: DataFrame, sets: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of the components of links (a, b) and of similar sets that share a key; shared: key, node, each once.
 
-    Two sets that links already join need no comparison, so a group of near copies costs one comparison with its
-    leader for each; what the leaders leave apart is compared pair by pair.
+    sets has node, keys and size of each set. Two sets that links already join need no comparison, so a group of near
+    copies costs a comparison with some leaders for each; what the leaders leave apart is compared pair by pair, each
+    pair under the least key that it shares and only where the sizes allow the similarity.
     """
     tested, found = None, links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     now = shared.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -100,8 +101,11 @@ def linked(shared: DataFrame, texts: DataFrame, links: DataFrame, shingle: int,
             leaders = now.groupBy("key").agg(F.min(F.struct(order.alias("h"), "node", "root")).alias("lead"))
             pairs = now.join(leaders, "key").where("root <> lead.root").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
         else:
-            other = now.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
-            pairs = now.withColumnRenamed("node", "a").join(other, "key").where("a < b and root <> other").select("a", "b")
+            now = now.join(sets, "node")
+            other = now.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("keys").alias("other_keys"), F.col("size").alias("other_size"))
+            apart = now.withColumnRenamed("node", "a").join(other, "key").where("a < b and root <> other")
+            fit = F.least("size", "other_size") >= similarity * F.greatest("size", "other_size")
+            pairs = apart.where(fit & (F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key"))).select("a", "b")
         pairs = pairs.distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
@@ -130,7 +134,8 @@ def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: flo
                 found, data, at = shingle_sets(buf, off, shingle), LOWER[buf].tobytes(), off.tolist()
                 ids, keys = pa.array([set_id(x) for x in found], pa.int64()), [band_keys(x, bands, rows) for x in found]
                 fps = np.array([simhash.fingerprint(data[a:b]) for a, b in zip(at, at[1:])], np.uint64)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), ids, pa.array(keys, pa.list_(pa.int64())), pa.array(fps.view(np.int64))], ["doc_id", "node", "keys", "fp"])
+                sizes = pa.array([len(x) for x in found], pa.int64())
+                yield pa.record_batch([batch.column(0).slice(i, j - i), ids, pa.array(keys, pa.list_(pa.int64())), sizes, pa.array(fps.view(np.int64))], ["doc_id", "node", "keys", "size", "fp"])
 
     def whole(batches):
         squeeze = zstandard.ZstdCompressor(3)
@@ -141,8 +146,8 @@ def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: flo
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([squeeze.compress(data[a:b]) for a, b in zip(at, at[1:])], pa.binary())], ["node", "packed"])
 
     texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    prints = texts.mapInArrow(fingerprints, "doc_id long, node long, keys array<long>, fp long")
-    nodes = cut(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
+    prints = texts.mapInArrow(fingerprints, "doc_id long, node long, keys array<long>, size long, fp long")
+    nodes = cut(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size")))
     near_fps = components(simhash.links(nodes.select("fp").distinct()))
     along = nodes.select("fp", "node").join(near_fps.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("near_fp"))
     links = cut(along.join(along.groupBy("near_fp").agg(F.min("node").alias("b")), "near_fp").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
@@ -154,7 +159,8 @@ def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: flo
     ids = nodes.join(one, "node", "left_semi").groupBy("node").agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
     wanted = texts.join(ids, "doc_id", "left_semi").union(texts.where(F.col("doc_id").isNull()))
     packed = cut(wanted.select("text").mapInArrow(whole, "node long, packed binary").join(one, "node", "left_semi").groupBy("node").agg(F.min("packed").alias("packed")))
-    found = linked(shared, packed, links, shingle, similarity)
+    sets = nodes.groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
+    found = linked(shared, sets, packed, links, shingle, similarity)
     rooted = nodes.select("node", "least").join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     (kept_id,) = unused(docs, "kept_id")
     stay = rooted.groupBy("root").agg(F.min("least").alias(kept_id)).select(kept_id).distinct()
