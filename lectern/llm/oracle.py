@@ -46,5 +46,43 @@ FROM dw LEFT JOIN kept USING (doc_id)
 """
 
 
+#: crc32 of a decimal id, bit by bit: each digit comes in once and is followed by seven bare shifts.
+CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: [CAST(ord(d) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295)"""
+
+OP13 = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, {CRC32} % 6 AS h, conv_id - conv_id % 100 AS head FROM (SELECT DISTINCT conv_id FROM turns)),
+sizes AS (SELECT conv_id AS head, count(*) AS n FROM turns GROUP BY 1),
+rebuilt AS (
+  SELECT c.conv_id, t.r AS pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.head AND t.r < c.h
+  UNION ALL
+  SELECT c.conv_id, t.r - c.h + least(c.h, coalesce(n, 0)), role, text
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.r >= c.h LEFT JOIN sizes s ON s.head = c.head),
+steps AS (
+  SELECT conv_id, pos + 1 AS depth, length(text) AS tokens,
+         sha256(string_agg(sha256(length(role) || ':' || role || text), '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS node
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM convs),
+placed AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM steps),
+nodes AS (
+  SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, any_value(tokens) AS tokens,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM placed GROUP BY depth, node),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (node)),
+below AS (
+  SELECT a.node, sum((w.n - 1) * w.tokens) AS saved, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS leaves
+  FROM whole w JOIN placed a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY 1)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n AS n_convs, CAST(w.n_children AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM whole w LEFT JOIN nodes p ON p.node = w.parent JOIN below b ON b.node = w.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": OP4, "op10_decontaminate": OP10}
+    return {"op4_substring": OP4, "op10_decontaminate": OP10, "op13_prefix_trie": OP13}

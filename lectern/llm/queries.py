@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, ftrl, licenses, packing, ppm, quality, secrets, simhash, substring, toxicity
+from . import ann, decontam, ftrl, licenses, packing, ppm, quality, secrets, simhash, substring, toxicity, trie
 from .common import table
 
 
@@ -87,5 +87,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.with_shared_heads(trie.ordered(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
