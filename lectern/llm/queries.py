@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, ftrl, licenses, packing, ppm, quality, secrets, simhash, substring, toxicity, trie
+from . import align, ann, decontam, ftrl, licenses, packing, ppm, quality, secrets, simhash, substring, toxicity, trie
 from .common import table
 
 
@@ -87,6 +87,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(*trie.with_shared_heads(trie.ordered(table(spark, sf_dir, "conversations"))))
 
