@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, decontam, ftrl, licenses, packing, ppm, quality, secrets, simhash, substring, toxicity, trie
+from . import align, ann, decontam, ftrl, html, html_samples, licenses, packing, ppm, quality, secrets, simhash, substring, toxicity, trie
 from .common import table
 
 
@@ -87,6 +87,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), html.train(html_samples.labelled_pages(spark)))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
