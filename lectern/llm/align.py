@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +25,12 @@ from .text import chunks, span_hashes
 
 #: Text bytes of a block.
 BLOCK = 4 << 20
-#: Segments whose alignment a task keeps at hand; they go when the task ends.
-KEPT_SEGMENTS = 200_000
-#: Longer segments are told apart by a stronger hash and not kept.
+#: Longer segments are told apart by a stronger hash and encoded one by one.
 LONG_SEGMENT = 64
-#: Segments encoded in one call.
-TOGETHER = 256
-EMPTY = (0, 0, 0, 0, b"", (), (), False)
+#: Segments encoded in one text.
+TOGETHER = 512
+#: Links of a group beyond which it lists its distinct pairs.
+LONG_GROUP = 4096
 
 _codec = pa.Codec("zstd", 1)
 _loaded: dict[int, tuple] = {}
@@ -62,6 +60,9 @@ class Pair:
             self.bytes_a[i] = bytes(letters[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in known], np.int64) for known in (self.bytes_a, self.bytes_b))
+        self.names = [f"{i}{mark}" for known, end in ((self.bytes_a, "|"), (self.bytes_b, ";")) for i in range(len(known)) for mark in (",", end)]
+        self.name_sizes = np.array([len(x) for x in self.names], np.int64)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both for texts that start with a space, which B adds by itself."""
@@ -86,45 +87,101 @@ def cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) & (b[1:] != b[:-1])) + 1]) if len(a) else np.zeros(0, np.int64)
 
 
-def _summed(ids_a: list[int], ids_b: list[int], groups: list[tuple[int, int, int, int]]) -> tuple:
-    """(n_a, n_b, n_groups, n_links, written groups, pairs, how often each is linked, True) for bounds of groups in the ids."""
-    pairs: dict[int, int] = {}
-    n = 0
-    written = []
-    for i, j, k, m in groups:
-        a, b = ids_a[i:j], ids_b[k:m]
-        n += len(a) * len(b)
-        written.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-        if len(a) > 8 or len(b) > 8:  # distinct ids with their numbers, so that a long group does not list every occurrence
-            for x, p in zip(*np.unique(a, return_counts=True)):
-                for y, q in zip(*np.unique(b, return_counts=True)):
-                    key = int(x) << 32 | int(y)
-                    pairs[key] = pairs.get(key, 0) + int(p) * int(q)
-        else:
-            for x in a:
-                for y in b:
-                    pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + 1
-    return len(ids_a), len(ids_b), len(groups), n, ";".join(written).encode(), tuple(pairs), tuple(pairs.values()), True
-
-
-def align_together(segments: list[bytes], both: Pair) -> list[tuple]:
-    """The alignment of each segment; segments that do not end with white space are encoded in one text."""
-    text = b"".join(segments)
-    ((ids_a, ids_b),) = both.encode([text.decode()])
-    if b"".join([both.bytes_a[i] for i in ids_a]) != text or b"".join([both.bytes_b[i] for i in ids_b]) != text:
-        return [EMPTY] if len(segments) == 1 else [x for s in segments for x in align_together([s], both)]
-    own_a, own_b = owners(ids_a, both.bytes_a), owners(ids_b, both.bytes_b)
-    at = cuts(own_a, own_b)
-    ends = np.cumsum([0, *(len(s) for s in segments)])
-    bounds = np.searchsorted(at, ends)
-    if len(segments) > 1 and not np.array_equal(np.append(at, len(text))[bounds], ends):
-        return [x for s in segments for x in align_together([s], both)]
-    starts_a, starts_b = [*own_a[at].tolist(), len(ids_a)], [*own_b[at].tolist(), len(ids_b)]
-    out = []
-    for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        i, j, k, m = starts_a[p], starts_a[q], starts_b[p], starts_b[q]
-        out.append(_summed(ids_a[i:j], ids_b[k:m], [(starts_a[x] - i, starts_a[x + 1] - i, starts_b[x] - k, starts_b[x + 1] - k) for x in range(p, q)]))
-    return out
+def encode_apart(words: list[bytes], both: Pair) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, good, ids of A, ids of B): the ids of all good words one after another in the order that they were encoded.
+
+    Many words are encoded in one text, except those that end with white space. A word is good if the bytes of both
+    sides' tokens are its own.
+    """
+    good, order, first, second = np.zeros(len(words), bool), [], [], []
+    plain = [i for i, w in enumerate(words) if len(w) <= LONG_SEGMENT and w[-1] > 32 and (w[-1] < 128 or w.decode()[-1:].strip())]
+    alone = sorted(set(range(len(words))) - set(plain))
+
+    def take(some: list[list[int]]) -> list[int]:
+        left = []
+        texts = [b"".join([words[i] for i in one]) for one in some]
+        for one, text, (a, b) in zip(some, texts, both.encode([t.decode() for t in texts])):
+            fits = b"".join([both.bytes_a[i] for i in a]) == text == b"".join([both.bytes_b[i] for i in b])
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            if fits and len(one) > 1:
+                ends = np.cumsum([len(words[i]) for i in one])
+                fits = np.isin(ends, np.cumsum(both.sizes_a[a])).all() and np.isin(ends, np.cumsum(both.sizes_b[b])).all()
+            if fits:
+                good[one] = True
+                order.extend(one)
+                first.append(a)
+                second.append(b)
+            elif len(one) > 1:
+                left += one
+        return left
+
+    runs = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+    for i in range(0, len(runs), 16):
+        alone += take(runs[i : i + 16])
+    for i in range(0, len(alone), TOGETHER):
+        take([[k] for k in alone[i : i + TOGETHER]])
+    none = [np.zeros(0, np.int64)]
+    return np.array(order, np.int64), good, np.concatenate(first or none), np.concatenate(second or none)
+
+
+class Segments:
+    """The alignment of distinct segments: sums, written groups and linked pairs of each."""
+
+    def __init__(self, words: list[bytes], both: Pair):
+        order, self.good, a, b = encode_apart(words, both)
+        n = len(words)
+        own_a, own_b = np.repeat(np.arange(len(a)), both.sizes_a[a]), np.repeat(np.arange(len(b)), both.sizes_b[b])
+        at = cuts(own_a, own_b)
+        sizes = np.array([len(words[i]) for i in order], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        word = order[np.searchsorted(begins, at, "right") - 1] if len(at) else np.zeros(0, np.int64)
+        from_a, from_b = own_a[at], own_b[at]
+        many_a, many_b = np.diff(np.append(from_a, len(a))), np.diff(np.append(from_b, len(b)))
+        self.sums = np.stack([np.bincount(word, weights=w, minlength=n).astype(np.int64) for w in (many_a, many_b, np.ones(len(at)), many_a * many_b)], 1)
+        self.written = self._write(a, b, from_a, from_b, many_a, many_b, word, n, both)
+        self.many, self.keys, self.times = self._pairs(a, b, from_a, from_b, many_a, many_b, word, n)
+
+    @staticmethod
+    def _write(a, b, from_a, from_b, many_a, many_b, word, n, both) -> list[str]:
+        """Each segment's groups as text: every id is followed by a comma, or by the mark that ends its side of the group."""
+        size = many_a + many_b
+        start = np.cumsum(size) - size
+        codes = np.zeros(int(size.sum()), np.int64)
+        group = np.repeat(np.arange(len(size)), many_a)
+        codes[np.arange(len(a)) - from_a[group] + start[group]] = 2 * a
+        group = np.repeat(np.arange(len(size)), many_b)
+        codes[np.arange(len(b)) - from_b[group] + (start + many_a)[group]] = 2 * (b + len(both.bytes_a))
+        codes[start + many_a - 1] += 1
+        codes[start + size - 1] += 1
+        text = "".join([both.names[c] for c in codes.tolist()])
+        length = np.add.reduceat(both.name_sizes[codes], start) if len(start) else np.zeros(0, np.int64)
+        ends = np.cumsum(length)
+        out = [""] * n
+        turn = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+        for w, i, j in zip(word[turn].tolist(), (ends - length)[turn].tolist(), ends[np.append(turn[1:], len(word)) - 1].tolist()):
+            out[w] = text[i:j]
+        return out
+
+    @staticmethod
+    def _pairs(a, b, from_a, from_b, many_a, many_b, word, n):
+        """(number of entries of each segment, linked pairs, how often each is linked); a long group lists each distinct pair once."""
+        links = many_a * many_b
+        long = np.flatnonzero(links > LONG_GROUP)
+        short = np.where(links > LONG_GROUP, 0, links)
+        group = np.repeat(np.arange(len(links)), short)
+        k = np.arange(int(short.sum())) - np.repeat(np.cumsum(short) - short, short)
+        keys = a[from_a[group] + k // many_b[group]] << 32 | b[from_b[group] + k % many_b[group]]
+        words, times = [word[group]], [np.ones(len(keys), np.int64)]
+        keys = [keys]
+        for g in long.tolist():
+            x, p = np.unique(a[from_a[g] : from_a[g] + many_a[g]], return_counts=True)
+            y, q = np.unique(b[from_b[g] : from_b[g] + many_b[g]], return_counts=True)
+            keys.append((x[:, None] << 32 | y[None]).ravel())
+            times.append((p[:, None] * q[None]).ravel())
+            words.append(np.full(len(keys[-1]), word[g]))
+        words, keys, times = np.concatenate(words), np.concatenate(keys), np.concatenate(times)
+        order = np.argsort(words, kind="stable")
+        return np.bincount(words, minlength=n), keys[order], times[order]
 
 
 def segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +201,7 @@ def segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text, at, np.searchsorted(at, np.append(begins, len(text)))
 
 
-def align_block(buf: np.ndarray, off: np.ndarray, both: Pair, known: dict[bytes, tuple]) -> dict:
+def align_block(buf: np.ndarray, off: np.ndarray, both: Pair) -> dict:
     """The documents of a block: their sums, their segments, and the block's pairs with the number of documents that hold each."""
     text, at, bounds = segments(buf, off)
     ends = np.append(at[1:], len(text))
@@ -152,51 +209,34 @@ def align_block(buf: np.ndarray, off: np.ndarray, both: Pair, known: dict[bytes,
     h = span_hashes(text, at, ends)
     for i in np.flatnonzero(ends - at > LONG_SEGMENT).tolist():
         h[i] = xxhash.xxh64_intdigest(data[at[i] : ends[i]])
+    del text
     _, first, own = np.unique(h, return_index=True, return_inverse=True)
-    words = [data[i:j] for i, j in zip(at[first].tolist(), ends[first].tolist())]
-    if len(known) > KEPT_SEGMENTS:
-        known.clear()
-    found = [known.get(w) for w in words]
-    new = [i for i, x in enumerate(found) if x is None]
-    plain = [i for i in new if len(words[i]) <= LONG_SEGMENT and words[i][-1] > 32 and not words[i].endswith((b"\xa0", b"\x85")) and words[i].decode()[-1:].strip()]
-    rest = set(new) - set(plain)
-    for i in range(0, len(plain), TOGETHER):
-        some = plain[i : i + TOGETHER]
-        for j, x in zip(some, align_together([words[j] for j in some], both)):
-            found[j] = known[words[j]] = x
-    for i in rest:
-        found[i] = align_together([words[i]], both)[0]
+    found = Segments([data[i:j] for i, j in zip(at[first].tolist(), ends[first].tolist())], both)
 
-    n = len(off) - 1
-    sums = np.array([x[:4] for x in found], np.int64).reshape(-1, 4)
-    good = np.array([x[7] for x in found], bool)
+    n, kinds = len(off) - 1, max(1, len(found.good))
     doc = np.repeat(np.arange(n), np.diff(bounds))
-    bad = np.bincount(doc, weights=~good[own], minlength=n) > 0
-    bad |= off[1:] == off[:-1]
-    totals = np.stack([np.diff(np.concatenate([[0], np.cumsum(sums[own, k])])[bounds]) for k in range(4)], 1)
+    bad = (np.bincount(doc, weights=~found.good[own], minlength=n) > 0) | (off[1:] == off[:-1])
+    totals = np.stack([np.diff(np.concatenate([[0], np.cumsum(found.sums[own, k])])[bounds]) for k in range(4)], 1)
     totals[bad] = 0
-    digests = []
-    place, written = own.tolist(), [x[4] for x in found]
-    for d in range(n):
-        digests.append("" if bad[d] else hashlib.sha256(b";".join([written[i] for i in place[bounds[d] : bounds[d + 1]]])).hexdigest())
+    place = own.tolist()
+    # a text's groups end with the mark of the last one, which is not written
+    digests = ["" if bad[d] else hashlib.sha256("".join([found.written[i] for i in place[bounds[d] : bounds[d + 1]]])[:-1].encode()).hexdigest() for d in range(n)]
     keep = ~bad[doc]
     doc, own = doc[keep], own[keep]
-    # each segment's pairs, then each document's distinct ones
-    many = np.array([len(x[5]) for x in found], np.int64)
-    keys = np.fromiter((k for x in found for k in x[5]), np.int64, int(many.sum()))
-    times = np.fromiter((k for x in found for k in x[6]), np.int64, int(many.sum()))
-    names, pair = np.unique(keys, return_inverse=True)
-    held = np.unique(doc * max(1, len(found)) + own)
-    who, what = held // max(1, len(found)), held % max(1, len(found))
-    begin = np.cumsum(many) - many
-    size = many[what]
-    at = np.repeat(begin[what] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    once = np.unique(np.repeat(who, size) * max(1, len(names)) + pair[at])
+    names, pair = np.unique(found.keys, return_inverse=True)
+    # the segments that each document holds, then its distinct pairs
+    held = np.unique(doc * kinds + own)
+    who, what = held // kinds, held % kinds
+    size = found.many[what]
+    each = np.repeat((np.cumsum(found.many) - found.many)[what] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    once = np.unique(np.repeat(who, size) * max(1, len(names)) + pair[each])
     docs = np.bincount(once % max(1, len(names)), minlength=len(names))
     there = docs > 0
+    # pairs of left-out texts alone point past the block's pairs
+    number = np.where(there, np.cumsum(there) - 1, int(there.sum()))
     return {
         "totals": totals, "digests": digests, "keys": names[there], "docs": docs[there],
-        "size": np.bincount(doc, minlength=n), "own": own, "many": many, "pair": names[pair], "times": times,
+        "size": np.bincount(doc, minlength=n), "own": own, "many": found.many, "pair": number[pair], "times": found.times,
     }
 
 
@@ -209,7 +249,7 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(_codec.decompress(data[8:], n * np.dtype(kind).itemsize, asbytes=True), kind) if n else np.zeros(0, kind)
 
 
-_PACKED = {"size": "<i4", "own": "<i4", "many": "<i4", "pair": "<i8", "times": "<i8"}
+_PACKED = {"size": "<i4", "own": "<i4", "many": "<i4", "pair": "<i4", "times": "<i8"}
 _SUMS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -232,12 +272,11 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         sent = spark.sparkContext.broadcast((f.read(), g.read()))
 
     def blocks(batches):
-        known: dict[bytes, tuple] = {}
         both = _both(*sent.value)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for i, j, buf, off in chunks(batch.column("text"), BLOCK):
-                x = align_block(buf, off, both, known)
+                x = align_block(buf, off, both)
                 columns = [[number], [batch.column("doc_id").slice(i, j - i).to_pylist()], [x["digests"]], [x["keys"]], [x["docs"]]]
                 columns += [[x["totals"][:, k]] for k in range(4)] + [[_packed(x[name], kind)] for name, kind in _PACKED.items()]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, layout)], layout)
@@ -255,15 +294,10 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 
     def priced(block: pa.Table, pairs: pa.Table) -> pa.Table:
         block = block.to_pylist()[0]
-        keys, n = pairs["pair"].to_numpy(), pairs["n"].to_numpy()
-        top = pairs["top"].to_numpy(zero_copy_only=False)
-        order = np.argsort(keys)
-        keys, n, top = keys[order], n[order], top[order]
+        order = np.argsort(pairs["pair"].to_numpy())
+        n, top = np.append(pairs["n"].to_numpy()[order], 0), np.append(pairs["top"].to_numpy(zero_copy_only=False)[order], False)
         size, own, many, pair, times = (_unpacked(block[name], kind) for name, kind in _PACKED.items())
-        at = np.minimum(np.searchsorted(keys, pair), max(0, len(keys) - 1))
-        known = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)  # pairs of left-out texts alone have no count
-        worth = np.zeros((2, len(pair)), np.int64)
-        worth[0, known], worth[1, known] = (times * n[at])[known] if len(keys) else 0, (times * top[at])[known] if len(keys) else 0
+        worth = times * n[pair], times * top[pair]
         ends, docs_at = np.concatenate([[0], np.cumsum(many)]), np.concatenate([[0], np.cumsum(size)])
         out = []
         for w in worth:

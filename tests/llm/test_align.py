@@ -84,8 +84,14 @@ def test_owner_arrays(text):
     assert set(align.cuts(own_a, own_b).tolist()) - {0} == (ends(a, both.bytes_a) & ends(b, both.bytes_b)) - {len(own_a)}
 
 
-def test_long_group_counts_every_occurrence():
-    ids_a, ids_b = [1, 2, 1] * 5, [7] * 4 + [8] * 6
-    n_a, n_b, n_groups, n_links, _, keys, times, _ = align._summed(ids_a, ids_b, [(0, 15, 0, 10)])
-    want = Counter((i << 32) | j for i in ids_a for j in ids_b)
-    assert (n_a, n_b, n_groups, n_links) == (15, 10, 1, 150) and dict(zip(keys, times)) == want
+def test_long_group_lists_each_pair_once(monkeypatch):
+    a, b = np.array([1, 2, 1] * 5), np.array([7] * 4 + [8] * 6)
+    ends = [np.array([x]) for x in (0, 0, 15, 10, 0)]
+    want = Counter((int(i) << 32) | int(j) for i in a for j in b)
+    for most in (4096, 8):
+        monkeypatch.setattr(align, "LONG_GROUP", most)
+        many, keys, times = align.Segments._pairs(a, b, *ends, 1)
+        got = Counter()
+        for k, t in zip(keys.tolist(), times.tolist()):
+            got[k] += t
+        assert got == want and many.tolist() == [len(keys)] and len(keys) == (150 if most == 4096 else 4)
