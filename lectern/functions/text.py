@@ -123,9 +123,23 @@ def to_speech(display: Column) -> Column:
     return F.aggregate(spoken, start, add)
 
 
+def entries_up_to(entries: Column, value: Column, key: str) -> Column:
+    """How many of the entries, sorted by their field key, have it at or below value: the range is halved until it is empty."""
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(entries) + 1.0)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(entries).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = F.coalesce(F.get(entries, middle)[key] <= value, F.lit(False))
+        there = s["low"] < s["high"]
+        return F.struct(F.when(there & below, middle + 1).otherwise(s["low"]).alias("low"), F.when(there & ~below, middle).otherwise(s["high"]).alias("high"))
+
+    return F.aggregate(halvings, start, halve, lambda s: s["low"])
+
+
 def token_at_offset(words: Column, offset: Column) -> Column:
     """The display token of the last spoken word that begins at or before offset, else -1."""
-    return F.coalesce(F.array_max(F.transform(F.filter(words, lambda w: w["offset"] <= offset), lambda w: F.struct(w["offset"], w["token"])))["token"], F.lit(-1))
+    return F.coalesce(F.get(words, entries_up_to(words, offset, "offset") - 1)["token"], F.lit(-1))
 
 
 def token_index_at(text: Column, offset: Column) -> Column:

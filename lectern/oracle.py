@@ -10,6 +10,7 @@ from lectern.functions import text as T
 from lectern.operators import layout as L
 from lectern.operators import markup as M
 from lectern.operators import voices as V
+from lectern.sources import adapters as A
 from lectern.streaming import player as P
 
 
@@ -128,6 +129,44 @@ def entities(c: str) -> str:
     return f"replace({out}, '&amp;', '&')"
 
 
+def _named(c: str) -> str:
+    for symbol, name in T.SYMBOLS.items():
+        c = f"replace({c}, {lit(symbol)}, ' {name} ')"
+    return c
+
+
+PUNCT = "^[.,;:!?)\\]]+$"
+ABBREVIATIONS = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in T.SPOKEN_ABBREVIATIONS.items()) + "}"
+
+
+def speech(source: str, keys: str, name: str = "said") -> str:
+    """name(keys, text), name_words(keys, token, w, off, glue) and name_tokens(keys, token, sp) of source(keys, text)."""
+    return rf"""{name}_t AS (
+  SELECT {keys}, i - 1 AS token, trim(regexp_replace(regexp_replace(w[i], '\[\s*\d+(\s*[–—,-]\s*\d+)*\s*\]', '', 'g'), '[¹²³⁰⁴-⁹]', '', 'g')) AS word
+  FROM (SELECT {keys}, {words("text")} AS w FROM {source}), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+{name}_d AS (SELECT *, regexp_replace(word, '\s*[—–]\s*', ', ', 'g') AS dashed FROM {name}_t),
+{name}_l AS (SELECT *, regexp_replace(lower(dashed), '^[("''“‘]+', '') AS low, list_filter({words(_named("dashed"))}, lambda p: NOT regexp_matches(p, '{T.BULLETS}')) AS ws FROM {name}_d),
+{name}_g AS (
+  SELECT *, coalesce({ABBREVIATIONS}[low], {ABBREVIATIONS}[regexp_replace(low, '[,;:)]+$', '')]) AS long,
+         CASE WHEN len(ws) > 0 THEN list_reduce(ws, lambda a, b: a || CASE WHEN regexp_matches(b, '{PUNCT}') THEN b ELSE ' ' || b END) ELSE '' END AS glued FROM {name}_l),
+{name}_tokens AS (
+  SELECT {keys}, token, CASE WHEN word = '' OR regexp_matches(word, '{T.BULLETS}') THEN [] WHEN regexp_matches(word, '(?i)^(https?://|www\.)\S+$') THEN ['a link']
+    WHEN regexp_matches(word, '(?i)^[^\s@]+@[^\s@]+\.[a-z]{{2,}}$') THEN ['an email address'] WHEN long IS NOT NULL THEN string_split(long, ' ')
+    ELSE list_filter(string_split(glued, ' '), lambda p: p <> '') END AS sp FROM {name}_g),
+{name}_w AS (SELECT {keys}, token, k, sp[k] AS w FROM {name}_tokens, LATERAL (SELECT unnest(range(1, len(sp) + 1)) AS k)),
+{name}_o AS (SELECT *, row_number() OVER p = 1 AS first, row_number() OVER p > 1 AND regexp_matches(w, '{PUNCT}') AS glue, row_number() OVER p AS rn FROM {name}_w WINDOW p AS (PARTITION BY {keys} ORDER BY token, k)),
+{name}_words AS (
+  SELECT *, CASE WHEN first OR glue THEN 0 ELSE 1 END AS gap,
+         coalesce(sum(length(w) + CASE WHEN first OR glue THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN first OR glue THEN 0 ELSE 1 END AS off FROM {name}_o),
+{name} AS (
+  SELECT s.*, coalesce(x.said, '') AS said, coalesce(x.words, '') AS words FROM {source} s LEFT JOIN (
+    SELECT {keys}, string_agg(CASE WHEN gap = 1 THEN ' ' ELSE '' END || w, '' ORDER BY rn) AS said, string_agg(off || ':' || token, ',' ORDER BY rn) FILTER (NOT glue) AS words FROM {name}_words GROUP BY {keys}) x USING ({keys}))"""
+
+
+TALK = f"""talk AS (
+  SELECT conv_id * 1000 + turn + 1000 AS doc_id, text FROM conversations
+  UNION ALL SELECT -(conv_id * 1000 + turn + 1000), {lit(A.DECORATED).replace("%1$s", "' || text || '").replace("%2$d", "' || conv_id || '").replace("%3$d", "' || turn || '").replace("%%", "%")} FROM conversations)"""
+
 TOKENS = rf"""toks AS (
   SELECT doc_id, i - 1 AS pos, r[i] AS raw FROM (
     SELECT page_id AS doc_id, regexp_extract_all(html, '(?s)(<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?](?:[^>]*>|.*)|<(?:[^''">]|"[^"]*"|''[^'']*'')*>|[^<]+|<.*)') AS r FROM pages), LATERAL (SELECT unnest(range(1, len(r) + 1)) AS i)),
@@ -156,6 +195,12 @@ UNITS = f"""{sentences("(SELECT doc_id, idx AS chunk_idx, " + squash("text") + "
 units AS (
   SELECT doc_id, chunk_idx, sid AS unit, text, coalesce(sum(n) OVER (PARTITION BY doc_id, chunk_idx ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS token_start, n AS token_count,
          CASE WHEN regexp_matches(text, '[.!?]["'')\\]”’]?$') THEN 1 ELSE 0 END AS ends_sentence FROM (SELECT *, {n_words("text")} AS n FROM us))"""
+SPOKEN = f"""{speech("units", "doc_id, chunk_idx, unit", "said")},
+planned AS (
+  SELECT p.*, s.said AS speech, coalesce(sum(CASE WHEN s.said <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.chunk_idx, p.unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp
+  FROM unit_pauses p JOIN said s USING (doc_id, chunk_idx, unit)),
+owing AS (SELECT *, CASE WHEN grp = 0 THEN 0 ELSE first_value(pause_ms) OVER (PARTITION BY doc_id, grp ORDER BY chunk_idx, unit) END AS owed FROM planned),
+utterances AS (SELECT *, sum(CASE WHEN owed > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_idx, unit) AS breath_group, doc_id || ':' || chunk_idx || ':' || token_start AS cache_key FROM owing WHERE speech <> '')"""
 PAUSES = """structural AS (
   SELECT doc_id, idx, heading, CASE WHEN idx = 0 THEN 0 WHEN heading THEN 900 WHEN lag(heading) OVER w THEN 650 WHEN starts_para THEN 460 ELSE 0 END AS pause_ms FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY idx))"""
 UNIT_PAUSES = f"""{UNITS}, {PAUSES},
@@ -274,6 +319,7 @@ def oracle_sql() -> dict[str, str]:
         "s10_names": f"WITH {TOKENS} SELECT kind, name, count(*) AS n FROM tokens WHERE kind <> 'text' GROUP BY kind, name",
         "s11_entities": f"SELECT page_id, md5({entities('t')}) AS decoded FROM (SELECT page_id, replace(html, '<', '&lt;') AS t FROM pages)",
         "s14_parse_voices": "SELECT * FROM (VALUES (0, 'alloy', 'Alloy', 'en-US'), (1, 'nova', 'Nova: bright', 'en-US'), (2, 'echo', 'echo', 'en-US')) AS t(pos, id, name, lang)",
+        "s4_glyph_runs": f"{SETTING} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no, k) - 1 AS INTEGER) AS seq, w[k] AS text, round(spot, 3) AS x0, round(spot + length(w[k]) * 5.0, 3) AS x1, CAST(y AS DOUBLE) AS y, CAST(font_size AS DOUBLE) AS font_size FROM (SELECT *, x0 + coalesce(list_sum(list_transform(list_slice(w, 1, k - 1), lambda x: length(x) * 5.0 + 4.0)), 0) AS spot FROM (SELECT *, string_split(text, ' ') AS w FROM lines), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k))",
         "l2_body_size": f"{SETTING} SELECT * FROM bodies",
         "l3_margins": f"{SETTING} SELECT * FROM repeated",
         "l4_margin_noise": f"{SETTING} SELECT doc_id, page, line_no, text FROM judged WHERE gone = 'margin'",
@@ -300,6 +346,14 @@ SELECT o.doc_id, o.seq, o.title, coalesce(min(c.idx) FILTER (c.page = o.page AND
         "c10_word_count": f"SELECT doc_id, {n_words('text')} AS words FROM documents WHERE {n_words('text')} > 0",
         "c11_titles": f"SELECT doc_id, CASE WHEN length(trim(text)) < 2 OR regexp_matches(trim(text), '(?i)^(untitled|unknown|document[0-9]*|microsoft word|pdf document)$|^microsoft word\\s*-|\\.(docx?|pdf|epub|indd|tex|pages|odt)$') THEN NULL ELSE trim(text) END AS title FROM {rows(list(enumerate(X.TITLES)), 'doc_id, text')}",
         "c12_authors": f"SELECT doc_id, CASE WHEN trim(text) = '' OR regexp_matches(trim(text), '(?i)^(anonymous|unknown|user|administrator|owner)$') THEN NULL ELSE trim(text) END AS author FROM {rows(list(enumerate(X.AUTHORS)), 'doc_id, text')}",
+        "t1_speak_tokens": f"WITH {TALK}, {speech('talk', 'doc_id')} SELECT doc_id, CAST(token AS INTEGER) AS token, array_to_string(sp, '|') AS spoken FROM said_tokens",
+        "t4_speech": f"WITH {TALK}, {speech('talk', 'doc_id')} SELECT doc_id, said AS text, words FROM said",
+        "t5_token_at": f"WITH {TALK}, {speech('talk', 'doc_id')} SELECT doc_id, spot AS \"at\", CAST(coalesce(arg_max(token, off) FILTER (NOT glue AND off <= spot), -1) AS INTEGER) AS token FROM talk CROSS JOIN (VALUES (-1), (0), (7), (40), (10000)) AS p(spot) LEFT JOIN said_words USING (doc_id) GROUP BY doc_id, spot",
+        "x3_highlights": f"WITH {TALK}, {speech('talk', 'doc_id')}, asked AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN -1 ELSE 1 END * (event_id % 150 * 1000 + event_id % 9 + 1000) AS doc_id, event_id % 401 - 3 AS spot FROM events) SELECT event_id, doc_id, CAST(spot AS INTEGER) AS \"at\", CASE WHEN doc_id IN (SELECT doc_id FROM talk) THEN CAST(coalesce(arg_max(token, off) FILTER (NOT glue AND off <= spot), 0) AS INTEGER) END AS token FROM asked LEFT JOIN said_words USING (doc_id) GROUP BY event_id, doc_id, spot",
+        "x5_ingest": f"{PAGE_CHUNKS} SELECT doc_id, idx, text, page, para, CAST(starts_para AS INTEGER) AS starts_para, CAST(heading AS INTEGER) AS heading FROM chunks",
+        "x5_progress": "SELECT stage, fraction::DOUBLE AS fraction, CASE WHEN stage = 'reading' THEN 0 ELSE n END AS page, n AS page_count FROM (SELECT count(*) + count(*) FILTER (page_id % 5 = 0) AS n FROM pages), (VALUES ('reading', 0), ('extracting', 0.9), ('cleaning', 0.92), ('done', 1)) AS t(stage, fraction)",
+        "n6_utterances": f"{PAGE_CHUNKS}, {UNIT_PAUSES}, {SPOKEN} SELECT doc_id, chunk_idx, unit, speech, round(CASE WHEN heading THEN 0.94 ELSE 1 END, 6)::DOUBLE AS rate, owed AS pause_ms, cache_key FROM utterances",
+        "n8_breath_groups": f"{PAGE_CHUNKS}, {UNIT_PAUSES}, {SPOKEN} SELECT doc_id, chunk_idx, unit, CAST(breath_group AS INTEGER) AS breath_group, CAST(least(row_number() OVER (PARTITION BY doc_id, breath_group ORDER BY chunk_idx, unit) - 1, 3) AS INTEGER) AS queued_behind FROM utterances",
         "t6_token_index": f"SELECT conv_id, turn, spot AS \"at\", CASE WHEN spot <= 0 THEN 0 ELSE greatest(0, {n_words('left(text, spot + 1)')} - 1) END AS token FROM conversations, (VALUES (-1), (0), (2), (30), (9999)) AS p(spot)",
         "t7_seconds": f"SELECT doc_id, round({n_words('text')} / (165 * 1.25) * 60, 6) AS seconds FROM documents",
         "n1_units": f"{DOC_CHUNKS}, {UNITS} SELECT doc_id, chunk_idx, unit, text, CAST(token_start AS INTEGER) AS token_start, token_count, ends_sentence FROM units",

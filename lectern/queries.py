@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import fixtures as X
+from lectern.functions import storage as S
 from lectern.functions import text as T
 from lectern.operators import chunks as C
+from lectern.operators import glyphs as G
 from lectern.operators import layout as L
 from lectern.operators import library as B
 from lectern.operators import markup as M
@@ -19,6 +20,8 @@ from lectern.operators import schedule as N
 from lectern.operators import voices as V
 from lectern.sources import adapters as A
 from lectern.sources import archives as Z
+from lectern.streaming import highlight as H
+from lectern.streaming import ingest as I
 from lectern.streaming import player as P
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +110,12 @@ def s14_parse_voices(spark, d):
 T_voices = V.parse_voices
 
 
+@query
+def s4_glyph_runs(spark, d):
+    runs = G.text_runs(A.glyph_boxes(spark, d))
+    return runs.select("doc_id", "page", "seq", "text", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "y", "font_size")
+
+
 # --- layout ----------------------------------------------------------------------------------------------------------
 @query
 def l1_group_lines(spark, d):
@@ -264,8 +273,9 @@ def c12_authors(spark, d):
 
 # --- speech ----------------------------------------------------------------------------------------------------------
 def _speech_samples(spark, d):
-    talk = A.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("doc_id"), "text")
-    return X.texts(spark, X.SPEECH).union(talk)
+    """doc_id, text: the conversations as they are, and each with abbreviations, symbols, marks and links after it."""
+    talk = A.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("doc_id"), "text", "conv_id", "turn")
+    return talk.select("doc_id", "text").union(talk.select((-F.col("doc_id")).alias("doc_id"), F.format_string(A.DECORATED, "text", "conv_id", "turn").alias("text")))
 
 
 @query
@@ -578,16 +588,6 @@ def k11_lookup(spark, d):
     return A.books(spark, d).where("book_id = 7").select("book_id", "title", "author")
 
 
-def _folder(spark) -> str:
-    """The folder all executors share; a private one only where the session names none and runs on one machine."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found or tempfile.mkdtemp(prefix="lectern-")
-
-
 def _stream_positions(spark, d):
     n = A.read(spark, d, "documents").count()
     return P.event_stream(spark, d).select((F.col("user_id") % n).alias("book_id"), (F.col("event_id") % 17).cast("int").alias("chunk_idx"), "ts", "event_id", "event_type")
@@ -595,12 +595,12 @@ def _stream_positions(spark, d):
 
 @query
 def x1_progress_stream(spark, d):
-    return P.drain(P.progress(_stream_positions(spark, d)), _folder(spark), "complete").select("book_id", "chunk_idx")
+    return P.drain(P.progress(_stream_positions(spark, d)), S.shared_folder(spark), "complete").select("book_id", "chunk_idx")
 
 
 @query
 def x2_player_stream(spark, d):
-    return P.drain(P.player_stream(_stream_positions(spark, d)), _folder(spark), "append")
+    return P.drain(P.player_stream(_stream_positions(spark, d)), S.shared_folder(spark), "append")
 
 
 @query
@@ -638,7 +638,40 @@ def q9_details(spark, d):
 
 @query
 def k1_save_books(spark, d):
-    path, books = f"{_folder(spark)}/books-{uuid.uuid4().hex}", A.books(spark, d)
+    path, books = S.new_folder(spark, "books"), A.books(spark, d)
     B.save_books(books, path)
     B.save_books(books.where("book_id % 3 = 0").withColumn("title", F.concat("title", F.lit(" (2)"))), path)
     return spark.read.parquet(path).select("book_id", "title", "author", "added_at")
+
+
+def _split_pages(spark, d, folder):
+    """The pages as a stream of files: an early state of every fifth page, then all pages in four files."""
+    docs = A.content_documents(spark, d)
+    early = docs.where("doc_id % 5 = 0").withColumn("markup", F.concat(F.lit("<h2>Early</h2>"), F.col("markup")))
+    early.repartition(1).write.parquet(f"{folder}/source")
+    docs.repartitionByRange(4, "doc_id").write.mode("append").parquet(f"{folder}/source")
+    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/source"), spark.read.parquet(f"{folder}/source").count()
+
+
+def _ingested(spark, d):
+    folder = S.new_folder(spark, "ingest")
+    return I.ingest_stream(*_split_pages(spark, d, folder), f"{folder}/table")
+
+
+@query
+def x5_ingest(spark, d):
+    return _flags(_ingested(spark, d)["chunks"].select("doc_id", "idx", "text", "page", "para", "starts_para", "heading"))
+
+
+@query
+def x5_progress(spark, d):
+    rows = _ingested(spark, d)["progress"]
+    return rows.groupBy("stage").agg(F.round(F.max("fraction"), 6).alias("fraction"), F.max("page").alias("page"), F.max("page_count").alias("page_count"))
+
+
+@query
+def x3_highlights(spark, d):
+    said = H.spoken_words(_speech_samples(spark, d).withColumn("token_start", F.lit(0)))
+    doc = (F.col("event_id") % 150) * 1000 + F.col("event_id") % 9 + 1000
+    stream = P.event_stream(spark, d).select("event_id", F.when(F.col("user_id") % 2 == 0, -doc).otherwise(doc).alias("doc_id"), (F.col("event_id") % 401 - 3).cast("int").alias("at"))
+    return P.drain(H.highlights(stream, said), S.shared_folder(spark), "append")

@@ -12,6 +12,10 @@ LINES_A_PAGE = 40
 WIDTH, HEIGHT, WORDS, ROWS = 612.0, 792.0, 9, 32
 
 
+#: What follows a conversation's text in the samples that speech is tried on: its text, conv_id and turn fill it.
+DECORATED = "%1$s [%2$d, %3$d] in sec. %3$d.5%% of x%2$d² = y & z (est. %3$d° ) — cf. w%2$d[1–3], R&B vs. a@b%2$d.org , • www.place.org/%2$d approx. ± √%3$d ; etc. no.%3$d"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,6 +76,17 @@ def glyph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "page", (F.col("line_no") * 1000 + F.col("k")).alias("seq"), F.col("word").alias("text"), x0.alias("x0"), (x0 + F.length("word") * 5.0).alias("x1"), "y", "font_size")
 
 
+def glyph_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One box for each character of the typeset lines, spaces included, taller than its font by the leading."""
+    lines, _ = typeset(spark, sf_dir)
+    cut = lines.select("*", F.posexplode(F.split("text", "")).alias("k", "char")).where("char <> ''")
+    space = F.col("char") == " "
+    before = F.substring(F.col("text"), F.lit(1), F.col("k"))
+    blanks = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+    x0 = F.col("x0") + (F.col("k") - blanks) * 5.0 + blanks * 4.0
+    return cut.select("doc_id", "page", (F.col("line_no") * 10_000 + F.col("k")).alias("seq"), F.col("char").alias("text"), x0.alias("x0"), (x0 + F.when(space, 4.0).otherwise(5.0)).alias("x1"), "y", (F.col("font_size") * 1.2).alias("height"), "font_size")
+
+
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, title, author, added_at: one book for each document."""
     docs = read(spark, sf_dir, "documents")
