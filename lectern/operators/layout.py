@@ -89,14 +89,36 @@ def classify(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
 def gutters(lines: DataFrame) -> DataFrame:
     """doc_id, page, gutter: the candidate with fewest crossings, then most balance, then first; only near-empty ones
-    on pages of enough lines count. lines carry the page width."""
-    candidates = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("f")) for i, f in enumerate(gutter_fractions())])
-    tried = lines.select("doc_id", "page", "x0", "x1", "width", F.explode(candidates).alias("c")).withColumn("x", F.col("width") * F.col("c.f"))
-    cross, left = (F.col("x0") < F.col("x")) & (F.col("x1") > F.col("x")), F.col("x1") <= F.col("x")
-    counted = tried.groupBy("doc_id", "page", "c.i", "x").agg(F.count_if(cross).alias("crossings"), F.count_if(~cross & left).alias("l"), F.count("*").alias("n"))
-    balance = F.least(F.col("l"), F.col("n") - F.col("crossings") - F.col("l")) / F.col("n")
-    best = counted.groupBy("doc_id", "page").agg(F.min(F.struct("crossings", (-balance).alias("b"), "i", "x", "n")).alias("m"))
-    ok = (F.col("m.n") >= COLUMN_LINES) & (F.col("m.crossings") / F.col("m.n") <= CROSSING_MOST) & (-F.col("m.b") >= BALANCE_LEAST)
+    on pages of enough lines count. lines carry the page width.
+
+    A line crosses the candidates from the first one right of its start up to the first one at or right of its end, and
+    lies left of those after. Pages collect these two ends of each line, and two running sums over the candidates, up
+    at the ends of the one kind and down at the other, count all lines at once.
+    """
+    candidates = gutter_fractions()
+    places = [F.col("width") * f for f in candidates]
+    at_most = lambda edge, strict: sum((((x < edge) if strict else (x <= edge)).cast("int") for x in places[1:]), ((places[0] < edge) if strict else (places[0] <= edge)).cast("int"))
+    ends = lines.select("doc_id", "page", "width", at_most(F.col("x0"), False).alias("low"), at_most(F.col("x1"), True).alias("high"))
+    ends = ends.withColumn("low", F.least("low", "high")).groupBy("doc_id", "page", "low", "high").agg(F.count("*").alias("n"), F.max("width").alias("width"))
+    pages = ends.groupBy("doc_id", "page").agg(F.collect_list(F.struct("low", "high", "n")).alias("e"), F.sum("n").alias("n"), F.max("width").alias("width"))
+
+    def moved(at: Column, end: str) -> Column:
+        return F.aggregate(F.filter("e", lambda x: x[end] == at), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+
+    table = F.array(*[F.lit(f) for f in candidates])
+    zero = F.lit(0).cast("long")
+    kind = "struct<crossings:bigint,b:double,i:int,x:double>"
+    start = F.struct(zero.alias("crossings"), zero.alias("left"), F.lit(None).cast(kind).alias("best"))
+
+    def step(s: Column, i: Column) -> Column:
+        ended = moved(i, "high")
+        crossings, left = s["crossings"] + moved(i, "low") - ended, s["left"] + ended
+        balance = F.least(left, F.col("n") - crossings - left) / F.col("n")
+        now = F.struct(crossings.alias("crossings"), (-balance).alias("b"), i.alias("i"), (F.col("width") * F.get(table, i)).alias("x"))
+        return F.struct(crossings.alias("crossings"), left.alias("left"), F.least(s["best"], now).alias("best"))
+
+    best = pages.select("doc_id", "page", "n", F.aggregate(F.sequence(F.lit(0), F.lit(len(candidates) - 1)), start, step, lambda s: s["best"]).alias("m"))
+    ok = (F.col("n") >= COLUMN_LINES) & (F.col("m.crossings") / F.col("n") <= CROSSING_MOST) & (-F.col("m.b") >= BALANCE_LEAST)
     return best.where(ok).select("doc_id", "page", F.col("m.x").alias("gutter"))
 
 
@@ -123,11 +145,19 @@ def block_gaps(ordered: DataFrame) -> DataFrame:
     return lists.select("doc_id", "page", "band", "col", F.coalesce(F.get("g", F.floor(F.size("g") / 2).cast("int")), F.lit(0.0)).alias("gap"))
 
 
+def arranged(judged: DataFrame) -> DataFrame:
+    """The kept ones of classified lines in reading order, with page_width, the width of the page's text."""
+    page = Window.partitionBy("doc_id", "page")
+    return reading_order(judged.where("drop is null").withColumn("page_width", F.max("x1").over(page) - F.min("x0").over(page)))
+
+
 def paragraphs(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, para, text, page, heading: noise removed, columns in order, lines joined over columns and pages."""
-    kept = classify(lines, pages).where("drop is null")
-    page = Window.partitionBy("doc_id", "page")
-    ordered = reading_order(kept.withColumn("page_width", F.max("x1").over(page) - F.min("x0").over(page)))
+    return assembled(arranged(classify(lines, pages)))
+
+
+def assembled(ordered: DataFrame) -> DataFrame:
+    """The paragraphs of arranged lines. They are read twice; a plan that stores them first computes them once."""
     block = Window.partitionBy("doc_id", "page", "band", "col")
     rows = ordered.join(block_gaps(ordered), ["doc_id", "page", "band", "col"]).withColumn("left", F.min("x0").over(block)).withColumn("right", F.max("x1").over(block))
     rows = rows.withColumn("w", F.greatest(F.col("right") - F.col("left"), F.lit(1.0))).withColumn("i", F.row_number().over(block.orderBy("pos")) - 1)
@@ -155,7 +185,12 @@ def join_lines(lines: Column) -> Column:
 def clean_stats(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, body, margin_lines, footnote_lines, column_pages."""
     judged = classify(lines, pages)
-    ordered = reading_order(judged.where("drop is null")).groupBy("doc_id", "page").agg((F.countDistinct("band", "col") > 1).alias("several"), (F.max("col") > 0).alias("right"))
-    columns = ordered.groupBy("doc_id").agg(F.count_if(F.col("several") | F.col("right")).alias("column_pages"))
+    return stats_of(judged, arranged(judged))
+
+
+def stats_of(judged: DataFrame, ordered: DataFrame) -> DataFrame:
+    """The same from classified lines and the arranged ones among them."""
+    pages = ordered.groupBy("doc_id", "page").agg((F.countDistinct("band", "col") > 1).alias("several"), (F.max("col") > 0).alias("right"))
+    columns = pages.groupBy("doc_id").agg(F.count_if(F.col("several") | F.col("right")).alias("column_pages"))
     dropped = judged.groupBy("doc_id").agg(F.first("body").alias("body"), F.count_if(F.col("drop") == "margin").alias("margin_lines"), F.count_if(F.col("drop") == "footnote").alias("footnote_lines"))
     return dropped.join(columns, "doc_id", "left").na.fill({"column_pages": 0})

@@ -271,6 +271,32 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY band
 GAPS = """steps AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, page, band, col ORDER BY pos) - y AS d FROM ordered),
 gaps AS (
   SELECT doc_id, page, band, col, CAST(coalesce(g[len(g) // 2 + 1], 0.0) AS DOUBLE) AS gap FROM (SELECT doc_id, page, band, col, coalesce(list_sort(list(d) FILTER (d > 0)), []) AS g FROM steps GROUP BY ALL))"""
+HYPHENS = r"""regexp_replace(array_to_string(list_filter(list_transform(LINES, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)), '[‐-—-]' || chr(10) || '([a-z])', '\1', 'g')"""
+ASSEMBLED = f"""widths AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page) - min(x0) OVER (PARTITION BY doc_id, page) AS page_width FROM ordered),
+blocks AS (
+  SELECT *, min(x0) OVER b AS l, max(x1) OVER b AS r, row_number() OVER (PARTITION BY doc_id, page, band, col ORDER BY pos) - 1 AS i FROM widths JOIN gaps USING (doc_id, page, band, col) WINDOW b AS (PARTITION BY doc_id, page, band, col)),
+marked AS (
+  SELECT *, greatest(r - l, 1.0) AS w, regexp_matches(text, '[.!?]["'')\\]]?$') AS stops, length(text) <= 90 AND (regexp_matches(text, '(?i)^(chapter|part|section|appendix|prologue|epilogue)([^A-Za-z0-9_]|$)')
+         OR (font_size >= body * 1.18 AND x1 - x0 < page_width * 0.75 AND NOT regexp_matches(text, '[.!?]["'')\\]]?$'))) AS heading FROM blocks),
+flows AS (
+  SELECT *, lag(heading) OVER f AS ph, lag(spanning) OVER f AS ps, lag(x1) OVER f AS px1, lag(r) OVER f AS pr, lag(w) OVER f AS pw, lag(y) OVER f AS py, lag(stops) OVER f AS pstops, x0 - l > w * 0.03 AND x0 - l < w * 0.25 AS dent
+  FROM marked WINDOW f AS (PARTITION BY doc_id ORDER BY page, pos)),
+joins AS (
+  SELECT *, CASE WHEN ph IS NULL OR heading OR ph OR (i = 0 AND (spanning OR ps)) OR dent OR (i > 0 AND ((gap > 0 AND py - y > gap * 1.5) OR (pstops AND px1 < r - w * 0.12))) OR (i = 0 AND px1 < pr - pw * 0.12) THEN 1 ELSE 0 END AS begins FROM flows),
+paragraphed AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY page, pos) AS p FROM joins),
+page_texts AS (
+  SELECT doc_id, p, {squash(HYPHENS.replace("LINES", "list(text ORDER BY page, pos)"))} AS text, min(page) AS page, bool_or(heading) AS heading FROM paragraphed GROUP BY doc_id, p),
+set_paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS para, text, page, heading FROM page_texts WHERE text <> '')"""
+RUN_LINES = """word_runs AS (
+  SELECT doc_id, page, line_no * 1000 + k - 1 AS seq, w[k] AS text, spot AS x0, spot + length(w[k]) * 5.0 AS x1, y, font_size FROM (
+    SELECT *, x0 + coalesce(list_sum(list_transform(list_slice(w, 1, k - 1), lambda x: length(x) * 5.0 + 4.0)), 0) AS spot FROM (SELECT *, string_split(text, ' ') AS w FROM lines), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k))),
+run_steps AS (SELECT *, x0 - lag(x1) OVER o AS gap, lag(y) OVER o AS py FROM word_runs WINDOW o AS (PARTITION BY doc_id, page ORDER BY y DESC, x0, seq)),
+run_turns AS (SELECT *, CASE WHEN py = y AND gap < font_size * 3.5 THEN 0 ELSE 1 END AS t FROM run_steps),
+run_groups AS (SELECT *, sum(t) OVER (PARTITION BY doc_id, page ORDER BY y DESC, x0, seq) AS n FROM run_turns),
+run_lines AS (
+  SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY n) - 1 AS line_no, text, x0, x1, y, font_size FROM (
+    SELECT doc_id, page, n, SQUASHED AS text, min(x0) AS x0, max(x1) AS x1, max(y) AS y, max(font_size) AS font_size
+    FROM run_groups GROUP BY doc_id, page, n) WHERE text <> '')""".replace("SQUASHED", squash("string_agg(CASE WHEN t = 0 AND gap > font_size * 0.2 THEN ' ' ELSE '' END || text, '' ORDER BY x0, seq)"))
 SETTING = f"WITH {PARAS}, {SET}"
 VOICES = f"voices AS {rows(X.VOICES, 'pos, id, name, lang, is_default, local_service')}"
 TIER = rf"""{VOICES},
@@ -320,6 +346,23 @@ def oracle_sql() -> dict[str, str]:
         "s11_entities": f"SELECT page_id, md5({entities('t')}) AS decoded FROM (SELECT page_id, replace(html, '<', '&lt;') AS t FROM pages)",
         "s14_parse_voices": "SELECT * FROM (VALUES (0, 'alloy', 'Alloy', 'en-US'), (1, 'nova', 'Nova: bright', 'en-US'), (2, 'echo', 'echo', 'en-US')) AS t(pos, id, name, lang)",
         "s4_glyph_runs": f"{SETTING} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no, k) - 1 AS INTEGER) AS seq, w[k] AS text, round(spot, 3) AS x0, round(spot + length(w[k]) * 5.0, 3) AS x1, CAST(y AS DOUBLE) AS y, CAST(font_size AS DOUBLE) AS font_size FROM (SELECT *, x0 + coalesce(list_sum(list_transform(list_slice(w, 1, k - 1), lambda x: length(x) * 5.0 + 4.0)), 0) AS spot FROM (SELECT *, string_split(text, ' ') AS w FROM lines), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k))",
+        "s9_resolve_path": f"""WITH asked AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS base, {listed(A.HREFS)}[page_id % {len(A.HREFS)} + 1] AS href FROM pages),
+cut AS (SELECT *, split_part(href, '#', 1) AS path, list_filter(string_split(regexp_replace(base, '[^/]*$', '') || split_part(href, '#', 1), '/'), lambda p: p NOT IN ('', '.')) AS parts FROM asked)
+SELECT page_id, CASE WHEN path = '' THEN base WHEN path LIKE '/%' THEN path[2:] ELSE array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(parts, lambda p: [p])), lambda done, p: CASE WHEN p[1] = '..' THEN list_slice(done, 1, len(done) - 1) ELSE done || p END), '/') END AS path FROM cut""",
+        "l1_group_lines": f"{SETTING}, {RUN_LINES} SELECT doc_id, page, CAST(line_no AS INTEGER) AS line_no, text, round(x0, 3) AS x0, round(x1, 3) AS x1, CAST(y AS DOUBLE) AS y, CAST(font_size AS DOUBLE) AS font_size FROM run_lines",
+        "l11_paragraphs": f"{SETTING}, {ORDER}, {GAPS}, {ASSEMBLED} SELECT doc_id, para, text, page, CAST(heading AS INTEGER) AS heading FROM set_paras",
+        "c9_page_chunks": f"WITH RECURSIVE {PARAS}, {SET}, {ORDER}, {GAPS}, {ASSEMBLED}, {chunks('set_paras')} SELECT doc_id, idx, text, page, para, CAST(starts_para AS INTEGER) AS starts_para, CAST(heading AS INTEGER) AS heading FROM chunks",
+        "c9_page_ingest": f"""WITH RECURSIVE {PARAS}, {SET}, {ORDER}, {GAPS}, {ASSEMBLED}, {chunks('set_paras')}, {CHAPTERS},
+counted AS (SELECT doc_id, count(*) AS chunk_count, CAST(sum({n_words('text')}) AS BIGINT) AS word_count FROM chunks GROUP BY doc_id),
+noise AS (SELECT doc_id, count(*) FILTER (gone = 'margin') AS margin_lines, count(*) FILTER (gone = 'footnote') AS footnote_lines, count(DISTINCT page) AS page_count FROM judged GROUP BY doc_id),
+sided AS (SELECT doc_id, count(*) AS c FROM (SELECT doc_id, page FROM ordered GROUP BY doc_id, page HAVING count(DISTINCT (band, col)) > 1 OR max(col) > 0) GROUP BY doc_id)
+SELECT doc_id, chunk_count, word_count, page_count, (SELECT count(*) FROM chapters h WHERE h.doc_id = counted.doc_id) AS chapters, margin_lines, footnote_lines, coalesce(c, 0) AS column_pages FROM counted JOIN noise USING (doc_id) LEFT JOIN sided USING (doc_id)""",
+        "m5_toc_chapters": f"""{DOC_CHUNKS}, starts AS (SELECT doc_id, page, min(idx) AS chunk_idx, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks GROUP BY doc_id, page),
+listing AS (
+  SELECT doc_id, 100 - page AS k, 'Part ' || page AS title, chunk_idx, page FROM starts WHERE n >= 2
+  UNION ALL SELECT s.doc_id, -1, 'Beginning', 0, c.page FROM (SELECT doc_id, arg_max(chunk_idx, page) AS f FROM starts WHERE n >= 2 GROUP BY doc_id) s JOIN chunks c ON c.doc_id = s.doc_id AND c.idx = 0 WHERE f > 0
+  UNION ALL SELECT doc_id, -1, 'Beginning', 0, page FROM starts WHERE n = 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS seq, title, chunk_idx, page, 0 AS level FROM listing""",
         "l2_body_size": f"{SETTING} SELECT * FROM bodies",
         "l3_margins": f"{SETTING} SELECT * FROM repeated",
         "l4_margin_noise": f"{SETTING} SELECT doc_id, page, line_no, text FROM judged WHERE gone = 'margin'",

@@ -18,6 +18,7 @@ from lectern.operators import markup as M
 from lectern.operators import outline as O
 from lectern.operators import schedule as N
 from lectern.operators import voices as V
+from lectern.plans import ingest as E
 from lectern.sources import adapters as A
 from lectern.sources import archives as Z
 from lectern.streaming import highlight as H
@@ -78,9 +79,9 @@ def s8_package(spark, d):
 
 @query
 def s9_resolve_path(spark, d):
-    rows = spark.createDataFrame([(i, b, h) for i, (b, h) in enumerate(X.PATHS)], "id long, base string, href string")
-    urls = A.read(spark, d, "pages").select((F.col("page_id") + 1000).alias("id"), F.regexp_replace("url", "^https?://", "").alias("base"), F.lit("../x/./y.html#z").alias("href"))
-    return rows.union(urls).select("id", T.resolve_path(F.col("base"), F.col("href")).alias("path"))
+    href = F.get(F.array(*[F.lit(h) for h in A.HREFS]), (F.col("page_id") % len(A.HREFS)).cast("int"))
+    base = F.regexp_replace("url", "^https?://", "")
+    return A.read(spark, d, "pages").select("page_id", T.resolve_path(base, href).alias("path"))
 
 
 @query
@@ -163,7 +164,7 @@ def l8_block_gaps(spark, d):
 
 @query
 def l11_paragraphs(spark, d):
-    return _flags(L.paragraphs(*A.typeset(spark, d)))
+    return _flags(L.assembled(S.stored(L.arranged(S.stored(L.classify(*A.stored_typeset(spark, d)))))))
 
 
 @query
@@ -675,3 +676,15 @@ def x3_highlights(spark, d):
     doc = (F.col("event_id") % 150) * 1000 + F.col("event_id") % 9 + 1000
     stream = P.event_stream(spark, d).select("event_id", F.when(F.col("user_id") % 2 == 0, -doc).otherwise(doc).alias("doc_id"), (F.col("event_id") % 401 - 3).cast("int").alias("at"))
     return P.drain(H.highlights(stream, said), S.shared_folder(spark), "append")
+
+
+@query
+def c9_page_ingest(spark, d):
+    made = E.ingest_pages(*A.stored_typeset(spark, d))
+    counts = made["chapters"].groupBy("doc_id").agg(F.count("*").alias("chapters"))
+    return made["books"].join(counts, "doc_id").select("doc_id", "chunk_count", "word_count", "page_count", "chapters", "margin_lines", "footnote_lines", "column_pages")
+
+
+@query
+def c9_page_chunks(spark, d):
+    return _flags(E.ingest_pages(*A.stored_typeset(spark, d))["chunks"].select("doc_id", "idx", "text", "page", "para", "starts_para", "heading"))

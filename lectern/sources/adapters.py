@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import storage as S
 from lectern.functions import text as T
 
 LINES_A_PAGE = 40
@@ -16,6 +17,10 @@ WIDTH, HEIGHT, WORDS, ROWS = 612.0, 792.0, 9, 32
 DECORATED = "%1$s [%2$d, %3$d] in sec. %3$d.5%% of x%2$d² = y & z (est. %3$d° ) — cf. w%2$d[1–3], R&B vs. a@b%2$d.org , • www.place.org/%2$d approx. ± √%3$d ; etc. no.%3$d"
 
 
+#: References as books hold them, resolved against the addresses of pages.
+HREFS = ["../x/./y.html#z", "#top", "/root.xhtml", "notes//b/./c", "../../../../../../x.html", "part/two.xhtml?q=1#p1", ".", "up/../over/../here"]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,25 +51,33 @@ def typeset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     row = slot % ROWS
     x0 = F.when(slot >= ROWS, 320.0).otherwise(60.0) + F.when((F.col("k") == 0) & (F.col("doc_id") % 2 == 0), 14.0).otherwise(0.0)
     wide = F.when(two, 240.0).otherwise(490.0)
-    body = set_.select(
-        "doc_id",
-        (F.floor(F.col("g") / F.col("per")) + 1).cast("int").alias("page"),
-        (slot + 1).cast("int").alias("line_no"),
-        "text",
-        x0.alias("x0"),
-        F.least(x0 + F.length("text") * 8.0, F.when(slot >= ROWS, 320.0).otherwise(60.0) + wide).alias("x1"),
-        (700.0 - row * 15).alias("y"),
-        F.when((F.col("n") <= 3) & ~two, 14.0).otherwise(11.0).alias("font_size"),
-    )
-    pages = body.select("doc_id", "page").distinct().withColumn("width", F.lit(WIDTH)).withColumn("height", F.lit(HEIGHT))
+    page = (F.floor(F.col("g") / F.col("per")) + 1).cast("int")
+
+    def line(number, text, x0, x1, y, size):
+        return F.struct(number.cast("int").alias("line_no"), text.alias("text"), *[c.cast("double").alias(n) for n, c in (("x0", x0), ("x1", x1), ("y", y), ("font_size", size))])
+
+    def extra(number: int, text, x0: float, x1: float, y: float, size: float):
+        return line(F.lit(number), text, F.lit(x0), F.lit(x1), F.lit(y), F.lit(size))
+
+    base = F.when(slot >= ROWS, 320.0).otherwise(60.0)
+    body = line(slot + 1, F.col("text"), x0, F.least(x0 + F.length("text") * 8.0, base + wide), 700.0 - row * 15, F.when((F.col("n") <= 3) & ~two, 14.0).otherwise(11.0))
+    first = slot == 0  # a page's first line brings what stands around its text
+    header = F.when(first, extra(0, F.concat(F.lit("Running title "), F.col("doc_id").cast("string")), 72.0, 200.0, 750.0, 9.0))
+    number = F.when(first, extra(900, F.concat(F.lit("Page "), page.cast("string")), 290.0, 320.0, 30.0, 9.0))
+    note = F.when(first & (page % 3 == 0), extra(901, F.concat(F.lit("note "), page.cast("string"), F.lit(" see the sources")), 60.0, 200.0, 120.0, 7.0))
+    found = set_.select("doc_id", page.alias("page"), F.explode(F.array_compact(F.array(body, header, number, note))).alias("l")).select("doc_id", "page", "l.*")
+    return found, pages_of(found)
+
+
+def pages_of(lines: DataFrame) -> DataFrame:
+    """doc_id, page, width, height: the pages that hold a line."""
+    return lines.select("doc_id", "page").distinct().withColumn("width", F.lit(WIDTH)).withColumn("height", F.lit(HEIGHT))
 
-    def extra(line_no: int, text, x0: float, x1: float, y: float, size: float, where: str = "true") -> DataFrame:
-        return pages.where(where).select("doc_id", "page", F.lit(line_no).alias("line_no"), text.alias("text"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), F.lit(y).alias("y"), F.lit(size).alias("font_size"))
 
-    header = extra(0, F.concat(F.lit("Running title "), F.col("doc_id").cast("string")), 72.0, 200.0, 750.0, 9.0)
-    number = extra(900, F.concat(F.lit("Page "), F.col("page").cast("string")), 290.0, 320.0, 30.0, 9.0)
-    note = extra(901, F.concat(F.lit("note "), F.col("page").cast("string"), F.lit(" see the sources")), 60.0, 200.0, 120.0, 7.0, "page % 3 = 0")
-    return body.unionByName(header).unionByName(number).unionByName(note), pages
+def stored_typeset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same, set once and written, for plans that read the lines several times."""
+    lines = S.stored(typeset(spark, sf_dir)[0])
+    return lines, pages_of(lines)
 
 
 def glyph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
