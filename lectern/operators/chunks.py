@@ -56,13 +56,18 @@ def heading_chapters(chunked: DataFrame) -> DataFrame:
 
 
 def outline_chapters(chunked: DataFrame, outline: DataFrame) -> DataFrame:
-    """Outline entries at the chunk on their page that starts with their title, else the first there or on the next."""
+    """Outline entries at the chunk on their page that starts with their title, else the first there or on the next.
+
+    seq tells the entries of a document apart. Entries meet the chunks of their own page, and of the next page only its first.
+    """
     head = F.substring(T.match_title(F.col("title")), 1, 24)
     entries = outline.where(F.col("page").isNotNull()).select("doc_id", "seq", "title", F.col("page").alias("at"), "level", head.alias("head"))
-    met = entries.join(chunked.select("doc_id", "idx", "page", T.match_title(F.col("text")).alias("plain")), "doc_id").where("page between at and at + 1")
-    exact = F.min(F.when((F.col("page") == F.col("at")) & F.col("plain").startswith(F.col("head")), F.col("idx")))
-    found = met.groupBy("doc_id", "seq", "title", "at", "level").agg(F.coalesce(exact, F.min("idx")).alias("chunk_idx"))
-    return found.select("doc_id", "seq", "title", "chunk_idx", F.col("at").alias("page"), "level")
+    first = chunked.groupBy("doc_id", "page").agg(F.min("idx").alias("idx"))
+    near = entries.withColumn("page", F.explode(F.array("at", F.col("at") + 1))).join(first, ["doc_id", "page"])
+    near = near.groupBy("doc_id", "seq", "title", "at", "level").agg(F.min("idx").alias("near"))
+    plain = chunked.select("doc_id", "idx", F.col("page").alias("at"), T.match_title(F.col("text")).alias("plain"))
+    exact = entries.join(plain, ["doc_id", "at"]).where(F.col("plain").startswith(F.col("head"))).groupBy("doc_id", "seq").agg(F.min("idx").alias("exact"))
+    return near.join(exact, ["doc_id", "seq"], "left").select("doc_id", "seq", "title", F.coalesce("exact", "near").alias("chunk_idx"), F.col("at").alias("page"), "level")
 
 
 def chapters(chunked: DataFrame, outline: DataFrame | None = None) -> DataFrame:

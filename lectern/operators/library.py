@@ -69,16 +69,23 @@ def save_books(books: DataFrame, path: str, buckets: int = 16) -> None:
     """Writes book rows to a table partitioned by a bucket of book_id; saved books of the same id are replaced.
 
     Only buckets that hold a new book are rewritten, each from what it held and the new rows, by way of a folder
-    beside the table, so that a run that fails leaves the table as it was.
+    beside the table.
+    Of new rows that repeat a book_id the last added counts. The last step puts the buckets in place one after another;
+    a run that fails there leaves the rows in the folder beside the table, from where a second run brings them.
     """
     spark = books.sparkSession
-    new = books.withColumn("bucket", F.pmod(F.xxhash64("book_id"), F.lit(buckets)).cast("int"))
+    newest = Window.partitionBy("book_id").orderBy(F.desc("added_at"), *[F.col(c) for c in books.columns if c not in ("book_id", "added_at")])
+    one = books.withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k")
+    new = one.withColumn("bucket", F.pmod(F.xxhash64("book_id"), F.lit(buckets)).cast("int"))
     try:
         old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        merged = new
+    else:
         old = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("book_id"), "book_id", "left_anti")
         merged = old.unionByName(new)
-    except AnalysisException:
-        merged = new
     merged.write.mode("overwrite").parquet(f"{path}_next")
     spark.read.parquet(f"{path}_next").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
@@ -119,9 +126,16 @@ def chapter_step(active: DataFrame, chapters: DataFrame, step: int) -> DataFrame
 
 
 def bookmark_here(bookmarks: DataFrame, positions: DataFrame, near: int = NEAR_TOKENS) -> DataFrame:
-    """For each (book_id, chunk_idx, token_idx): the first bookmark of that chunk within near tokens."""
-    here = positions.withColumnRenamed("token_idx", "at")
-    met = here.join(bookmarks.select("id", "book_id", "chunk_idx", "token_idx"), ["book_id", "chunk_idx"]).where(F.abs(F.col("token_idx") - F.col("at")) <= near)
+    """For each (book_id, chunk_idx, token_idx): the first bookmark of that chunk within near tokens.
+
+    Tokens fall into bins of near; a bookmark that near lies in the position's bin or one beside it, so they meet by
+    bin, and bookmarks of one token count once.
+    """
+    bin_of = lambda token: F.floor(token / max(1, near)).cast("long")
+    firsts = bookmarks.groupBy("book_id", "chunk_idx", "token_idx").agg(F.min("id").alias("id")).withColumn("bin", bin_of(F.col("token_idx")))
+    here = positions.select("book_id", "chunk_idx", F.col("token_idx").alias("at")).distinct()
+    here = here.withColumn("bin", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: bin_of(F.col("at")) + k)))
+    met = here.join(firsts, ["book_id", "chunk_idx", "bin"]).where(F.abs(F.col("token_idx") - F.col("at")) <= near)
     return met.groupBy("book_id", "chunk_idx", F.col("at").alias("token_idx")).agg(F.min_by("id", F.struct("token_idx", "id")).alias("bookmark_id"))
 
 
@@ -134,9 +148,24 @@ def delete_keys(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
+#: The tables whose rows go with their book; a book's voice is a setting and stays.
+OF_A_BOOK = ("books", "files", "progress", "bookmarks")
+
+
 def delete_books(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """Every table of the library without the books gone (column book_id), their audio and their voices included."""
-    return {name: delete_keys(rows, gone, "book_id") for name, rows in tables.items()}
+    """The library's tables without the books gone (column book_id): rows of OF_A_BOOK by book_id, audio by the book part of its key.
+
+    Other tables stay as they are. A null book_id is never deleted.
+    """
+    ids = gone.select("book_id").distinct()
+    out = dict(tables)
+    for name in OF_A_BOOK:
+        if name in out:
+            out[name] = out[name].join(ids, "book_id", "left_anti")
+    if "audio" in out:
+        parts = ids.select(F.col("book_id").cast("string").alias("book_part"))
+        out["audio"] = out["audio"].withColumn("book_part", F.split_part("key", F.lit(":"), F.lit(1))).join(parts, "book_part", "left_anti").drop("book_part")
+    return out
 
 
 def merged_settings(stored: Column, defaults: dict[str, str]) -> Column:

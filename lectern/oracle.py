@@ -382,7 +382,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS IN
         "c4_chunks": f"{DOC_CHUNKS} SELECT doc_id, idx, text, page, para, CAST(starts_para AS INTEGER) AS starts_para, CAST(heading AS INTEGER) AS heading FROM chunks",
         "c5_chapters": f"{PAGE_CHUNKS}, {CHAPTERS} SELECT * FROM chapters",
         "c6_outline": rf"""{DOC_CHUNKS}, plain AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS p FROM chunks),
-o AS (SELECT doc_id, idx AS seq, left(text, 30) AS title, page, left(trim(regexp_replace(regexp_replace(lower(left(text, 30)), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), 24) AS head FROM chunks WHERE starts_para AND idx % 7 = 0 AND idx % 5 > 0)
+o AS (SELECT doc_id, idx AS seq, left(text, 30) AS title, page, left(trim(regexp_replace(regexp_replace(lower(left(text, 30)), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), 24) AS head FROM chunks WHERE starts_para AND idx % 5 > 0)
 SELECT o.doc_id, o.seq, o.title, coalesce(min(c.idx) FILTER (c.page = o.page AND starts_with(c.p, o.head)), min(c.idx)) AS chunk_idx, o.page, 0 AS level FROM o JOIN plain c ON c.doc_id = o.doc_id AND c.page BETWEEN o.page AND o.page + 1 GROUP BY ALL""",
         "c7_match_title": f"WITH {PARAS} SELECT doc_id, para, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM paras",
         "c8_heading_chapters": f"{PAGE_CHUNKS}, {CHAPTERS} SELECT doc_id, title, chunk_idx, page, level FROM useful",
@@ -413,7 +413,7 @@ SELECT doc_id, chunk_idx, token, unit, CASE WHEN hit THEN CAST(token - token_sta
         "n13_seek": f"{DOC_CHUNKS} SELECT doc_id, target, least(greatest(target, 0), last) AS chunk_idx, least(greatest(target / 2.0, 0.5), 3.0)::DOUBLE AS rate FROM (SELECT doc_id, max(idx) AS last FROM chunks GROUP BY doc_id), (VALUES (-3), (2), (9999)) AS p(target)",
         "n14_status": "SELECT event_id, CASE WHEN event_id & 1 = 0 THEN CASE WHEN event_id & 4 > 0 THEN 'ended' ELSE 'idle' END WHEN event_id & 2 > 0 THEN 'paused' ELSE 'playing' END AS status FROM events",
         "n9_player_states": f"WITH {PLAYER}",
-        "q1_transcript": f"{DOC_CHUNKS} SELECT doc_id, idx FROM chunks WHERE idx BETWEEN 28 AND 51",
+        "q1_transcript": f"{DOC_CHUNKS} SELECT doc_id, idx FROM chunks WHERE idx BETWEEN 30 AND 269",
         "q2_blocks": f"{PAGE_CHUNKS}, f AS (SELECT doc_id, idx, CASE WHEN heading OR starts_para OR coalesce(lag(heading) OVER w, true) OR lag(para) OVER w <> para THEN 1 ELSE 0 END AS n FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) SELECT doc_id, idx, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS INTEGER) AS block FROM f",
         "q3_active_chapter": f"{PAGE_CHUNKS}, {CHAPTERS}, {ACTIVE} SELECT a.doc_id, a.chunk_idx, a.seq, h.title FROM active a JOIN chapters h USING (doc_id, seq)",
         "q4_chapter_step": f"{PAGE_CHUNKS}, {CHAPTERS}, {ACTIVE}, goal AS (SELECT a.doc_id, a.chunk_idx AS from_chunk, least(a.seq + 1, (SELECT max(seq) FROM chapters h WHERE h.doc_id = a.doc_id)) AS seq FROM active a) SELECT g.doc_id, g.seq, from_chunk, title, chunk_idx FROM goal g JOIN chapters h ON h.doc_id = g.doc_id AND h.seq = g.seq",
@@ -440,7 +440,11 @@ SELECT doc_id, chunk_idx, token, unit, CASE WHEN hit THEN CAST(token - token_sta
         "v9_resolve": f"WITH {VOICES}, asks AS (SELECT * FROM (VALUES (0, 'karen', 'thomas'), (1, 'gone', 'thomas'), (2, 'gone', 'gone'), (3, NULL, NULL), (4, NULL, 'karen')) AS t(n, b, d)) SELECT n, CASE WHEN b IN (SELECT id FROM voices) THEN b WHEN d IN (SELECT id FROM voices) THEN d ELSE 'samantha' END AS voice_id, CASE WHEN b IN (SELECT id FROM voices) THEN 'book' WHEN d IN (SELECT id FROM voices) THEN 'default' ELSE 'auto' END AS source FROM asks",
         "v10_preferred": f"WITH {VOICES} SELECT id AS voice_id FROM voices ORDER BY CASE WHEN lower(lang) LIKE 'en%' AND is_default THEN 0 WHEN lower(lang) LIKE 'en%' THEN 1 ELSE 2 END, pos LIMIT 1",
         "v11_picker": f"WITH {TIER} {ordered_voices('(SELECT * FROM best ORDER BY score DESC, name, pos LIMIT 10)')}",
-        "k2_cascade": f"WITH {EV}, {LATEST} SELECT book_id, 'progress' AS kind FROM latest WHERE book_id % 10 <> 3 UNION ALL SELECT book_id, 'bookmark' FROM ev WHERE event_type = 'click' AND book_id % 10 <> 3",
+        "k2_cascade": f"""WITH {EV}, {LATEST}, left_books AS (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3)
+SELECT 'books' AS kind, CAST(doc_id AS VARCHAR) AS key FROM left_books UNION ALL SELECT 'files', CAST(doc_id AS VARCHAR) FROM left_books
+UNION ALL SELECT 'progress', CAST(book_id AS VARCHAR) FROM latest WHERE book_id % 10 <> 3 UNION ALL SELECT 'bookmarks', CAST(event_id AS VARCHAR) FROM ev WHERE event_type = 'click' AND book_id % 10 <> 3
+UNION ALL SELECT 'audio', doc_id || ':0:0:default' || s FROM left_books, (VALUES (''), ('-2')) AS t(s) UNION ALL SELECT 'voices', 'voice:' || doc_id FROM documents""",
+        "k7_synthesis": f"{PAGE_CHUNKS}, {UNIT_PAUSES}, {SPOKEN} SELECT cache_key || ':default' AS key, CASE WHEN unit % 2 = 0 THEN 'cached' WHEN length(speech) % 7 = 3 THEN 'failed' ELSE 'made' END AS first, CASE WHEN unit % 2 = 1 AND length(speech) % 7 = 3 THEN 'ValueError: refused' END AS error, CASE WHEN unit % 2 = 1 AND length(speech) % 7 = 3 THEN 'made' ELSE 'cached' END AS second, CAST(strlen(CASE WHEN unit % 2 = 0 THEN 'old:' ELSE 'default:' END || speech) AS INTEGER) AS bytes FROM utterances",
         "k3_progress": PROGRESS,
         "k4_delete_bookmark": f"WITH {EV} SELECT event_id AS id, book_id FROM ev WHERE event_type = 'click' AND event_id % 4 <> 0",
         "k5_settings": "SELECT * FROM (VALUES (0, 'rate', '1.5'), (0, 'provider', 'system'), (1, 'rate', '1'), (1, 'provider', 'system')) AS t(id, key, value)",

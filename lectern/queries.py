@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ from lectern.operators import outline as O
 from lectern.operators import schedule as N
 from lectern.operators import voices as V
 from lectern.plans import ingest as E
+from lectern.plans import synthesis as Y
 from lectern.sources import adapters as A
 from lectern.sources import archives as Z
 from lectern.streaming import highlight as H
@@ -243,7 +245,7 @@ def c5_chapters(spark, d):
 @query
 def c6_outline(spark, d):
     chunked = _chunks(spark, d)
-    outline = chunked.where("starts_para").select("doc_id", F.col("idx").alias("seq"), F.substring("text", 1, 30).alias("title"), F.when(F.col("idx") % 5 > 0, F.col("page")).alias("page"), F.lit(0).alias("level")).where("seq % 7 = 0")
+    outline = chunked.where("starts_para").select("doc_id", F.col("idx").alias("seq"), F.substring("text", 1, 30).alias("title"), F.when(F.col("idx") % 5 > 0, F.col("page")).alias("page"), F.lit(0).alias("level"))
     return C.outline_chapters(chunked, outline)
 
 
@@ -386,7 +388,7 @@ def n14_status(spark, d):
 # --- transcript, bookmarks, library ----------------------------------------------------------------------------------
 @query
 def q1_transcript(spark, d):
-    return B.transcript(_chunks(spark, d), 40, 12).select("doc_id", "idx")
+    return B.transcript(_chunks(spark, d), 150).select("doc_id", "idx")
 
 
 @query
@@ -542,9 +544,19 @@ def v11_picker(spark, d):
 # --- keyed state and streams -----------------------------------------------------------------------------------------
 @query
 def k2_cascade(spark, d):
-    gone = A.books(spark, d).where("book_id % 10 = 3")
-    left = B.delete_books({"progress": P.progress(A.positions(spark, d)), "bookmarks": _bookmarks(spark, d)}, gone)
-    return left["progress"].select("book_id", F.lit("progress").alias("kind")).union(left["bookmarks"].select("book_id", F.lit("bookmark")))
+    docs = A.read(spark, d, "documents")
+    tables = {
+        "books": A.books(spark, d),
+        "files": docs.select(F.col("doc_id").alias("book_id"), F.col("text").cast("binary").alias("file")),
+        "progress": P.progress(A.positions(spark, d)),
+        "bookmarks": _bookmarks(spark, d),
+        "audio": _cache(spark, d).union(_cache(spark, d).select(F.concat("key", F.lit("-2")), "blob")),
+        "voices": docs.select(F.concat(F.lit("voice:"), F.col("doc_id").cast("string")).alias("key")),
+    }
+    left = B.delete_books(tables, A.books(spark, d).where("book_id % 10 = 3"))
+    key = {"bookmarks": "id", "audio": "key", "voices": "key"}
+    parts = [rows.select(F.lit(name).alias("kind"), F.col(key.get(name, "book_id")).cast("string").alias("key")) for name, rows in left.items()]
+    return functools.reduce(DataFrame.union, parts)
 
 
 @query
@@ -688,3 +700,24 @@ def c9_page_ingest(spark, d):
 @query
 def c9_page_chunks(spark, d):
     return _flags(E.ingest_pages(*A.stored_typeset(spark, d))["chunks"].select("doc_id", "idx", "text", "page", "para", "starts_para", "heading"))
+
+
+def _engine(fails: bool) -> Callable:
+    """A speech engine that refuses some texts, as long as it fails."""
+
+    def speak(text, voice):
+        if fails and len(text) % 7 == 3:
+            raise ValueError("refused")
+        return f"{voice or 'default'}:{text}".encode()
+
+    return speak
+
+
+@query
+def k7_synthesis(spark, d):
+    said, path = S.stored(N.utterances(_page_chunks(spark, d)).select("cache_key", "speech", "voice_id", "unit")), S.new_folder(spark, "audio")
+    half = said.where("unit % 2 = 0").select(B.audio_key(F.col("cache_key"), F.col("voice_id")).alias("key"), F.concat(F.lit("old:"), "speech").cast("binary").alias("blob"))
+    half.write.parquet(path)
+    once = Y.get_or_synthesize(said, path, _engine(True)).select("key", F.col("status").alias("first"), "error")
+    again = Y.get_or_synthesize(said, path, _engine(False)).select("key", F.col("status").alias("second"), F.octet_length("blob").alias("bytes"))
+    return once.join(again, "key")
