@@ -5,7 +5,6 @@ Constants (patterns, tables, fixture rows) come from the same Python values as t
 
 from __future__ import annotations
 
-from lectern import fixtures as X
 from lectern.functions import text as T
 from lectern.operators import layout as L
 from lectern.operators import markup as M
@@ -298,7 +297,10 @@ run_lines AS (
     SELECT doc_id, page, n, SQUASHED AS text, min(x0) AS x0, max(x1) AS x1, max(y) AS y, max(font_size) AS font_size
     FROM run_groups GROUP BY doc_id, page, n) WHERE text <> '')""".replace("SQUASHED", squash("string_agg(CASE WHEN t = 0 AND gap > font_size * 0.2 THEN ' ' ELSE '' END || text, '' ORDER BY x0, seq)"))
 SETTING = f"WITH {PARAS}, {SET}"
-VOICES = f"voices AS {rows(X.VOICES, 'pos, id, name, lang, is_default, local_service')}"
+VOICES = f"""voices AS (
+  SELECT CAST(s_suppkey AS INTEGER) AS pos, 'v' || s_suppkey AS id, CASE WHEN s_suppkey % 11 = 0 THEN {listed(A.JOKES)}[s_suppkey % {len(A.JOKES)} + 1] ELSE upper(n_name[1]) || lower(n_name[2:]) || {listed(A.VOICE_ENDS)}[s_suppkey % {len(A.VOICE_ENDS)} + 1] END AS name,
+         {listed(A.VOICE_LANGUAGES)}[n_nationkey % {len(A.VOICE_LANGUAGES)} + 1] AS lang, s_suppkey % 13 = 0 AS is_default, CASE WHEN s_suppkey % 5 = 0 THEN false WHEN s_suppkey % 5 > 1 THEN true END AS local_service
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 TIER = rf"""{VOICES},
 tiers AS (
   SELECT *, CASE tier WHEN 'good' THEN 2 WHEN 'legacy' THEN 1 ELSE 0 END AS rank FROM (
@@ -309,7 +311,41 @@ usable AS (
     SELECT *, max(rank) OVER (PARTITION BY lower(lang[:2])) AS top FROM tiers WHERE tier <> 'novelty') WHERE rank = top) WHERE k = 1),
 best AS (
   SELECT *, CASE WHEN lower(replace(lang, '_', '-')) = 'en-us' THEN 30 WHEN lower(lang) LIKE 'en%' THEN 20 ELSE 0 END + 2 * rank + CASE WHEN is_default THEN 1 ELSE 0 END AS score FROM usable)"""
-STAR = f"CASE WHEN list_contains({listed(X.FAVOURITES)}, id) THEN list_position({listed(X.FAVOURITES)}, id) - 1 WHEN lower(lang) LIKE 'en%' AND is_default THEN 7 WHEN lower(lang) LIKE 'en%' THEN 8 ELSE 9 END"
+STARRED = ["v8", "gone", "v3", "v26"]
+STAR = f"CASE WHEN list_contains({listed(STARRED)}, id) THEN list_position({listed(STARRED)}, id) - 1 WHEN lower(lang) LIKE 'en%' AND is_default THEN 7 WHEN lower(lang) LIKE 'en%' THEN 8 ELSE 9 END"
+
+
+def filled(forms: list[str]) -> str:
+    """The Spark format strings of a document's property, by turns."""
+    cases = " ".join(f"WHEN {i} THEN " + lit(f).replace("%1$.1s", "' || source[1] || '").replace("%1$s", "' || source || '").replace("%2$d", "' || doc_id || '") for i, f in enumerate(forms))
+    return f"CASE doc_id % {len(forms)} {cases} END"
+
+
+#: The books that adapters make of ten pages each: their folder, reading order and contents entries.
+SHELVED = """spines AS (
+  SELECT page_id, page_id // 10 AS doc_id, CASE WHEN page_id // 10 % 2 = 0 THEN 'OEBPS/' ELSE '' END AS root, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id * 7 % 10) AS section FROM pages WHERE page_id % 10 <> 4),
+rooted AS (SELECT page_id, page_id // 10 AS doc_id, CASE WHEN page_id // 10 % 2 = 0 THEN 'OEBPS/' ELSE '' END AS root FROM pages),
+navs AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_id) - 1 AS INTEGER) AS seq, CASE WHEN page_id % 2 = 0 THEN 'Part ' ELSE 'Inner ' END || page_id AS title, root || 'text/p' || page_id || '.xhtml' AS href, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END AS level
+  FROM rooted WHERE doc_id % 3 <> 2 AND (page_id % 2 = 0 OR (page_id % 4 = 1 AND page_id % 10 >= 1))),
+ncxs AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_id) - 1 AS INTEGER) AS seq, CASE WHEN page_id % 3 = 0 THEN 'Section ' ELSE 'Sub ' END || page_id AS title, root || 'text/p' || page_id || '.xhtml' AS href, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END AS level
+  FROM rooted WHERE doc_id % 3 <> 0 AND (page_id % 3 = 0 OR (page_id % 3 = 1 AND page_id % 2 = 1 AND page_id % 10 >= 1))),
+tocs AS (SELECT * FROM navs UNION ALL SELECT * FROM ncxs WHERE doc_id % 3 = 2)"""
+BOOKED = f"""{SHELVED},
+bchunks AS (
+  SELECT s.doc_id, section AS page, row_number() OVER (PARTITION BY s.doc_id ORDER BY section, c.idx) - 1 AS idx, text, heading FROM chunks c JOIN spines s ON s.page_id = c.doc_id WHERE s.page_id % 7 <> 3),
+{CHAPTERS.replace("FROM chunks", "FROM bchunks")},
+bstarts AS (SELECT doc_id, page, min(idx) AS chunk_idx FROM bchunks GROUP BY ALL),
+bplaced AS (
+  SELECT t.doc_id, t.seq, t.title, b.chunk_idx, b.page, t.level, count(*) OVER (PARTITION BY t.doc_id) AS n
+  FROM tocs t JOIN spines s ON s.doc_id = t.doc_id AND t.href = s.root || 'text/p' || s.page_id || '.xhtml' JOIN bstarts b ON b.doc_id = t.doc_id AND b.page = s.section),
+blist AS (
+  SELECT doc_id, seq, title, chunk_idx, page, level FROM bplaced WHERE n >= 2
+  UNION ALL SELECT f.doc_id, -1, 'Beginning', 0, c.page, 0 FROM (SELECT doc_id, arg_min(chunk_idx, seq) AS at FROM bplaced WHERE n >= 2 GROUP BY doc_id) f JOIN bchunks c ON c.doc_id = f.doc_id AND c.idx = 0 WHERE f.at > 0),
+bchapters AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS seq, title, chunk_idx, page, level FROM blist
+  UNION ALL SELECT doc_id, seq, title, chunk_idx, page, level FROM chapters WHERE doc_id NOT IN (SELECT doc_id FROM blist))"""
 
 
 def ordered_voices(source: str) -> str:
@@ -338,14 +374,19 @@ def oracle_sql() -> dict[str, str]:
     found = {
         "s1_format": "SELECT page_id, CASE WHEN regexp_matches(CASE WHEN page_id % 3 = 0 THEN url || '.EPUB' ELSE url END, '(?i)\\.epub$') THEN 'epub' ELSE 'pdf' END AS format FROM pages",
         "s2_supported": "SELECT page_id FROM pages WHERE page_id % 3 < 2",
-        "s7_container": "SELECT 0 AS doc_id, 'OEBPS/content.opf' AS opf_path",
-        "s8_spine": "SELECT * FROM (VALUES (0, 0, 'OEBPS/text/c2.xhtml'), (0, 1, 'OEBPS/text/c1.xhtml')) AS t(doc_id, seq, path)",
-        "s8_package": "SELECT 0 AS doc_id, 'A Book' AS title, 'Jane & Co' AS author, 'OEBPS/nav.xhtml' AS nav_path, 'OEBPS/toc.ncx' AS ncx_path",
+        "s7_container": f"WITH {SHELVED} SELECT DISTINCT doc_id, root || 'b' || doc_id || '.opf' AS opf_path FROM rooted",
+        "s8_spine": f"WITH {SHELVED} SELECT doc_id, CAST(section - 1 AS INTEGER) AS seq, root || 'text/p' || page_id || '.xhtml' AS path FROM spines",
+        "s8_package": f"WITH {SHELVED} SELECT DISTINCT doc_id, 'Pages of ' || doc_id || ' & more' AS title, 'Site ' || (doc_id % 4) AS author, CASE WHEN doc_id % 3 <> 2 THEN root || 'nav.xhtml' END AS nav_path, CASE WHEN doc_id % 3 <> 0 THEN root || 'toc.ncx' END AS ncx_path FROM rooted",
+        "m2_nav": f"WITH {SHELVED} SELECT * FROM navs",
+        "m3_ncx": f"WITH {SHELVED} SELECT * FROM ncxs",
+        "m4_toc": f"WITH {SHELVED} SELECT * FROM tocs",
+        "m6_book_ingest": f"""{PAGE_CHUNKS}, {BOOKED}, counted AS (SELECT doc_id, count(*) AS chunk_count, CAST(sum({n_words('text')}) AS BIGINT) AS word_count FROM bchunks GROUP BY doc_id)
+SELECT doc_id, 'Pages of ' || doc_id || ' & more' AS title, 'Site ' || (doc_id % 4) AS author, (SELECT count(*) FROM spines s WHERE s.doc_id = counted.doc_id) AS page_count, chunk_count, word_count, (SELECT count(*) FROM bchapters b WHERE b.doc_id = counted.doc_id) AS chapters FROM counted""",
+        "m6_book_chapters": f"{PAGE_CHUNKS}, {BOOKED} SELECT * FROM bchapters",
         "s10_tokens": f"WITH {TOKENS} SELECT doc_id, kind, count(*) AS n, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars, max(pos) AS last_pos FROM tokens GROUP BY doc_id, kind",
         "s10_names": f"WITH {TOKENS} SELECT kind, name, count(*) AS n FROM tokens WHERE kind <> 'text' GROUP BY kind, name",
         "s11_entities": f"SELECT page_id, md5({entities('t')}) AS decoded FROM (SELECT page_id, replace(html, '<', '&lt;') AS t FROM pages)",
-        "s14_parse_voices": "SELECT * FROM (VALUES (0, 'alloy', 'Alloy', 'en-US'), (1, 'nova', 'Nova: bright', 'en-US'), (2, 'echo', 'echo', 'en-US')) AS t(pos, id, name, lang)",
-        "s4_glyph_runs": f"{SETTING} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no, k) - 1 AS INTEGER) AS seq, w[k] AS text, round(spot, 3) AS x0, round(spot + length(w[k]) * 5.0, 3) AS x1, CAST(y AS DOUBLE) AS y, CAST(font_size AS DOUBLE) AS font_size FROM (SELECT *, x0 + coalesce(list_sum(list_transform(list_slice(w, 1, k - 1), lambda x: length(x) * 5.0 + 4.0)), 0) AS spot FROM (SELECT *, string_split(text, ' ') AS w FROM lines), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k))",
+        "s14_parse_voices": f"WITH {VOICES} SELECT pos AS n, place, CASE place WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END || pos AS id, CASE place WHEN 0 THEN name WHEN 1 THEN name || ': bright' ELSE 'c' || pos END AS name, 'en-US' AS lang FROM voices, (VALUES (0), (1), (2)) AS p(place)",
         "s9_resolve_path": f"""WITH asked AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS base, {listed(A.HREFS)}[page_id % {len(A.HREFS)} + 1] AS href FROM pages),
 cut AS (SELECT *, split_part(href, '#', 1) AS path, list_filter(string_split(regexp_replace(base, '[^/]*$', '') || split_part(href, '#', 1), '/'), lambda p: p NOT IN ('', '.')) AS parts FROM asked)
 SELECT page_id, CASE WHEN path = '' THEN base WHEN path LIKE '/%' THEN path[2:] ELSE array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(parts, lambda p: [p])), lambda done, p: CASE WHEN p[1] = '..' THEN list_slice(done, 1, len(done) - 1) ELSE done || p END), '/') END AS path FROM cut""",
@@ -373,9 +414,6 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS IN
         "l12_join_lines": rf"SELECT doc_id, md5({squash('''regexp_replace(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)), '[‐-—-]' || chr(10) || '([a-z])', '\\1', 'g')''')}) AS joined FROM (SELECT doc_id, regexp_replace(text, '([a-z]{{4}})([a-z]{{4}})', '\1-' || chr(10) || '\2', 'g') AS t FROM documents)",
         "l13_stats": f"{SETTING}, {ORDER} SELECT doc_id, body, m AS margin_lines, f AS footnote_lines, coalesce(c, 0) AS column_pages FROM (SELECT doc_id, any_value(body) AS body, count(*) FILTER (gone = 'margin') AS m, count(*) FILTER (gone = 'footnote') AS f FROM judged GROUP BY doc_id) LEFT JOIN (SELECT doc_id, count(*) AS c FROM (SELECT doc_id, page FROM ordered GROUP BY doc_id, page HAVING count(DISTINCT (band, col)) > 1 OR max(col) > 0) GROUP BY doc_id) USING (doc_id)",
         "m1_paragraphs": f"WITH {PAGE_PARAS} SELECT doc_id, para, text, CAST(heading AS INTEGER) AS heading FROM page_paras",
-        "m2_nav": "SELECT * FROM (VALUES (0, 0, 'One', 'OEBPS/text/c1.xhtml', 0), (0, 1, 'Inner bold', 'OEBPS/text/c1.xhtml', 1), (0, 2, 'Two', 'OEBPS/text/c2.xhtml', 0)) AS t(doc_id, seq, title, href, level)",
-        "m3_ncx": "SELECT * FROM (VALUES (0, 0, 'One', 'OEBPS/text/c1.xhtml', 0), (0, 1, 'Inner', 'OEBPS/text/c1.xhtml', 1), (0, 2, 'Two', 'OEBPS/text/c2.xhtml', 0)) AS t(doc_id, seq, title, href, level)",
-        "m4_toc": "SELECT * FROM (VALUES (0, 0, 'One', 'OEBPS/text/c1.xhtml', 0), (0, 1, 'Inner', 'OEBPS/text/c1.xhtml', 1), (0, 2, 'Two', 'OEBPS/text/c2.xhtml', 0)) AS t(doc_id, seq, title, href, level)",
         "c1_sentences": f"WITH {PARAS}, {sentences('paras', 'doc_id, para', 'sents')} SELECT doc_id, para, sid, text FROM sents",
         "c2_pack_counts": f"{DOC_CHUNKS} SELECT doc_id, para, count(*) AS pieces, max(length(text)) AS longest FROM chunks GROUP BY doc_id, para",
         "c3_hard_split": f"{DOC_CHUNKS} SELECT doc_id, para, sid, part, text FROM hard",
@@ -387,8 +425,8 @@ SELECT o.doc_id, o.seq, o.title, coalesce(min(c.idx) FILTER (c.page = o.page AND
         "c7_match_title": f"WITH {PARAS} SELECT doc_id, para, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM paras",
         "c8_heading_chapters": f"{PAGE_CHUNKS}, {CHAPTERS} SELECT doc_id, title, chunk_idx, page, level FROM useful",
         "c10_word_count": f"SELECT doc_id, {n_words('text')} AS words FROM documents WHERE {n_words('text')} > 0",
-        "c11_titles": f"SELECT doc_id, CASE WHEN length(trim(text)) < 2 OR regexp_matches(trim(text), '(?i)^(untitled|unknown|document[0-9]*|microsoft word|pdf document)$|^microsoft word\\s*-|\\.(docx?|pdf|epub|indd|tex|pages|odt)$') THEN NULL ELSE trim(text) END AS title FROM {rows(list(enumerate(X.TITLES)), 'doc_id, text')}",
-        "c12_authors": f"SELECT doc_id, CASE WHEN trim(text) = '' OR regexp_matches(trim(text), '(?i)^(anonymous|unknown|user|administrator|owner)$') THEN NULL ELSE trim(text) END AS author FROM {rows(list(enumerate(X.AUTHORS)), 'doc_id, text')}",
+        "c11_titles": f"SELECT doc_id, CASE WHEN length(trim(text)) < 2 OR regexp_matches(trim(text), '(?i)^(untitled|unknown|document[0-9]*|microsoft word|pdf document)$|^microsoft word\\s*-|\\.(docx?|pdf|epub|indd|tex|pages|odt)$') THEN NULL ELSE trim(text) END AS title FROM (SELECT doc_id, regexp_replace({filled(A.TITLES)}, '^\\s+|\\s+$', '', 'g') AS text FROM documents)",
+        "c12_authors": f"SELECT doc_id, CASE WHEN trim(text) = '' OR regexp_matches(trim(text), '(?i)^(anonymous|unknown|user|administrator|owner)$') THEN NULL ELSE trim(text) END AS author FROM (SELECT doc_id, regexp_replace({filled(A.AUTHORS)}, '^\\s+|\\s+$', '', 'g') AS text FROM documents)",
         "t1_speak_tokens": f"WITH {TALK}, {speech('talk', 'doc_id')} SELECT doc_id, CAST(token AS INTEGER) AS token, array_to_string(sp, '|') AS spoken FROM said_tokens",
         "t4_speech": f"WITH {TALK}, {speech('talk', 'doc_id')} SELECT doc_id, said AS text, words FROM said",
         "t5_token_at": f"WITH {TALK}, {speech('talk', 'doc_id')} SELECT doc_id, spot AS \"at\", CAST(coalesce(arg_max(token, off) FILTER (NOT glue AND off <= spot), -1) AS INTEGER) AS token FROM talk CROSS JOIN (VALUES (-1), (0), (7), (40), (10000)) AS p(spot) LEFT JOIN said_words USING (doc_id) GROUP BY doc_id, spot",
@@ -435,9 +473,9 @@ SELECT doc_id, chunk_idx, token, unit, CASE WHEN hit THEN CAST(token - token_sta
         "v4_best": f"WITH {TIER} SELECT id, score FROM best ORDER BY score DESC, name, pos LIMIT 4",
         "v5_search": f"WITH {VOICES} SELECT id FROM voices WHERE contains(lower(name), 'en-') OR contains(lower(lang), 'en-')",
         "v6_ordered": f"WITH {VOICES} {ordered_voices('voices')}",
-        "v7_shortlist": f"WITH {VOICES} SELECT id, list_position({listed(X.FAVOURITES)}, id) - 1 AS place FROM voices WHERE list_contains({listed(X.FAVOURITES)}, id)",
-        "v8_toggle": "SELECT * FROM (VALUES ('a,b,c,d,e,f', 'a', 'b,c,d,e,f'), ('a,b,c,d,e,f', 'z', 'a,b,c,d,e,f'), ('a,b,c', 'a', 'b,c'), ('a,b,c', 'z', 'a,b,c,z'), ('', 'a', 'a'), ('', 'z', 'z')) AS t(before, voice, after)",
-        "v9_resolve": f"WITH {VOICES}, asks AS (SELECT * FROM (VALUES (0, 'karen', 'thomas'), (1, 'gone', 'thomas'), (2, 'gone', 'gone'), (3, NULL, NULL), (4, NULL, 'karen')) AS t(n, b, d)) SELECT n, CASE WHEN b IN (SELECT id FROM voices) THEN b WHEN d IN (SELECT id FROM voices) THEN d ELSE 'samantha' END AS voice_id, CASE WHEN b IN (SELECT id FROM voices) THEN 'book' WHEN d IN (SELECT id FROM voices) THEN 'default' ELSE 'auto' END AS source FROM asks",
+        "v7_shortlist": f"WITH {VOICES} SELECT id, list_position({listed(STARRED)}, id) - 1 AS place FROM voices WHERE list_contains({listed(STARRED)}, id)",
+        "v8_toggle": "SELECT c_custkey, voice, array_to_string(CASE WHEN list_contains(f, voice) THEN list_filter(f, lambda x: x <> voice) WHEN len(f) >= 6 THEN f ELSE f || [voice] END, ',') AS after FROM (SELECT c_custkey, 'v' || (c_custkey + c_custkey % 9) AS voice, list_transform(range(c_custkey, c_custkey + c_custkey % 7), lambda k: 'v' || k) AS f FROM customer)",
+        "v9_resolve": f"WITH {VOICES}, asks AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 3 > 0 THEN 'v' || (c_custkey % 150) END AS b, CASE WHEN c_custkey % 4 > 0 THEN 'v' || (c_custkey * 7 % 150) END AS d FROM customer), auto AS (SELECT id AS a FROM voices ORDER BY CASE WHEN lower(lang) LIKE 'en%' AND is_default THEN 0 WHEN lower(lang) LIKE 'en%' THEN 1 ELSE 2 END, pos LIMIT 1) SELECT n, CASE WHEN b IN (SELECT id FROM voices) THEN b WHEN d IN (SELECT id FROM voices) THEN d ELSE a END AS voice_id, CASE WHEN b IN (SELECT id FROM voices) THEN 'book' WHEN d IN (SELECT id FROM voices) THEN 'default' ELSE 'auto' END AS source FROM asks, auto",
         "v10_preferred": f"WITH {VOICES} SELECT id AS voice_id FROM voices ORDER BY CASE WHEN lower(lang) LIKE 'en%' AND is_default THEN 0 WHEN lower(lang) LIKE 'en%' THEN 1 ELSE 2 END, pos LIMIT 1",
         "v11_picker": f"WITH {TIER} {ordered_voices('(SELECT * FROM best ORDER BY score DESC, name, pos LIMIT 10)')}",
         "k2_cascade": f"""WITH {EV}, {LATEST}, left_books AS (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3)
@@ -447,8 +485,8 @@ UNION ALL SELECT 'audio', doc_id || ':0:0:default' || s FROM left_books, (VALUES
         "k7_synthesis": f"{PAGE_CHUNKS}, {UNIT_PAUSES}, {SPOKEN} SELECT cache_key || ':default' AS key, CASE WHEN unit % 2 = 0 THEN 'cached' WHEN length(speech) % 7 = 3 THEN 'failed' ELSE 'made' END AS first, CASE WHEN unit % 2 = 1 AND length(speech) % 7 = 3 THEN 'ValueError: refused' END AS error, CASE WHEN unit % 2 = 1 AND length(speech) % 7 = 3 THEN 'made' ELSE 'cached' END AS second, CAST(strlen(CASE WHEN unit % 2 = 0 THEN 'old:' ELSE 'default:' END || speech) AS INTEGER) AS bytes FROM utterances",
         "k3_progress": PROGRESS,
         "k4_delete_bookmark": f"WITH {EV} SELECT event_id AS id, book_id FROM ev WHERE event_type = 'click' AND event_id % 4 <> 0",
-        "k5_settings": "SELECT * FROM (VALUES (0, 'rate', '1.5'), (0, 'provider', 'system'), (1, 'rate', '1'), (1, 'provider', 'system')) AS t(id, key, value)",
-        "k6_book_voices": "SELECT '1' AS book_id, 'karen' AS voice_id, 5 AS updated_at",
+        "k5_settings": "WITH base AS (SELECT c_custkey, c_custkey % 3 AS kind, CAST(c_custkey % 5 / 2.0 AS VARCHAR) AS rate, c_mktsegment FROM customer) SELECT c_custkey, 'rate' AS key, CASE WHEN kind < 2 THEN rate ELSE '1' END AS value FROM base UNION ALL SELECT c_custkey, 'provider', 'system' FROM base UNION ALL SELECT c_custkey, 'theme', c_mktsegment FROM base WHERE kind = 1",
+        "k6_book_voices": "SELECT CAST(c_custkey AS VARCHAR) AS book_id, 'v' || c_custkey AS voice_id, c_custkey AS updated_at FROM customer WHERE c_custkey % 5 = 4",
         "k8_evict": "SELECT doc_id || ':0:0:default' AS key FROM documents WHERE doc_id <> 1",
         "k9_audio_bytes": "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents",
         "k11_lookup": f"WITH {BOOKS} SELECT book_id, title, author FROM books WHERE book_id = 7",
@@ -456,9 +494,7 @@ UNION ALL SELECT 'audio', doc_id || ':0:0:default' || s FROM left_books, (VALUES
         "x2_player_stream": f"WITH {PLAYER}",
         "x4_drop_stale": "SELECT book_id, seq, session FROM (SELECT *, max(session) OVER (PARTITION BY book_id ORDER BY seq) AS m FROM (SELECT user_id % 20 AS book_id, event_id AS seq, CAST(floor(value) AS INTEGER) AS session FROM events)) WHERE session = m",
     }
-    both, ncx = found["m2_nav"], found["m3_ncx"]
     return found | {
-        "m4_toc": f"SELECT * FROM ({both}) UNION ALL SELECT * REPLACE (1 AS doc_id) FROM ({ncx})",
         "t8_text_offsets": f"WITH {TOKENS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM tokens WHERE kind = 'text'",
         "s5_outline": OUTLINE,
         "n15_rates": "SELECT doc_id, round(least(greatest(s, 0.5), 4), 6)::DOUBLE AS web, round(CASE WHEN s <= 1 THEN greatest(s, 0.5) / 2 ELSE 0.5 + (least(s, 3) - 1) / 4 END, 6)::DOUBLE AS system FROM (SELECT doc_id, (doc_id % 500) / 100.0 AS s FROM documents)",

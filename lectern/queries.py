@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern import fixtures as X
 from lectern.functions import storage as S
 from lectern.functions import text as T
 from lectern.operators import chunks as C
@@ -64,19 +63,24 @@ def s2_supported(spark, d):
     return A.read(spark, d, "pages").where(Z.supported(name)).select("page_id")
 
 
+def _book_files(spark, d, like):
+    """The tokens of the books' files with such a name, and their paths."""
+    return M.tokens(A.book_files(spark, d).where(F.col("name").like(like)).withColumnRenamed("name", "opened"))
+
+
 @query
 def s7_container(spark, d):
-    return M.container_path(M.tokens(X.markup(spark, X.CONTAINER)), "doc_id")
+    return M.container_path(_book_files(spark, d, "META-INF/container.xml"), "doc_id")
 
 
 @query
 def s8_spine(spark, d):
-    return M.spine(M.tokens(X.markup(spark, X.PACKAGE)), "OEBPS/content.opf", "doc_id")
+    return M.spine(_book_files(spark, d, "%.opf"), F.col("opened"), "doc_id", "opened").drop("opened")
 
 
 @query
 def s8_package(spark, d):
-    return M.package_info(M.tokens(X.markup(spark, X.PACKAGE)), "OEBPS/content.opf", "doc_id")
+    return M.package_info(_book_files(spark, d, "%.opf"), F.col("opened"), "doc_id", "opened").drop("opened")
 
 
 @query
@@ -106,11 +110,9 @@ def s11_entities(spark, d):
 
 @query
 def s14_parse_voices(spark, d):
-    rows = spark.createDataFrame([("alloy:Alloy, nova:Nova: bright,,echo",)], "setting string")
-    return rows.select(F.posexplode(T_voices(F.col("setting"))).alias("pos", "v")).select("pos", "v.id", "v.name", "v.lang")
-
-
-T_voices = V.parse_voices
+    setting = F.format_string("a%1$d:%2$s, b%1$d:%2$s: bright,,c%1$d", "pos", "name")
+    rows = A.voices(spark, d).select("pos", setting.alias("setting"))
+    return rows.select(F.col("pos").alias("n"), F.posexplode(V.parse_voices(F.col("setting"))).alias("place", "v")).select("n", "place", "v.id", "v.name", "v.lang")
 
 
 @query
@@ -188,18 +190,29 @@ def m1_paragraphs(spark, d):
 
 @query
 def m2_nav(spark, d):
-    return M.nav_entries(M.tokens(X.markup(spark, X.NAV)), "OEBPS/nav.xhtml", "doc_id")
+    return M.nav_entries(_book_files(spark, d, "%nav.xhtml"), F.col("opened"), "doc_id", "opened").drop("opened")
 
 
 @query
 def m3_ncx(spark, d):
-    return M.ncx_entries(M.tokens(X.markup(spark, X.NCX)), "OEBPS/toc.ncx", "doc_id")
+    return M.ncx_entries(_book_files(spark, d, "%toc.ncx"), F.col("opened"), "doc_id", "opened").drop("opened")
 
 
 @query
 def m4_toc(spark, d):
-    ncx = m3_ncx(spark, d)  # book 0 has both, book 1 only this
-    return M.toc(m2_nav(spark, d), ncx.union(ncx.withColumn("doc_id", F.col("doc_id") + 1)), "doc_id")
+    return M.toc(m2_nav(spark, d), m3_ncx(spark, d), "doc_id")
+
+
+@query
+def m6_book_ingest(spark, d):
+    made = E.ingest_book_files(A.book_files(spark, d))
+    counts = made["chapters"].groupBy("doc_id").agg(F.count("*").alias("chapters"))
+    return made["books"].join(counts, "doc_id").select("doc_id", "title", "author", "page_count", "chunk_count", "word_count", "chapters")
+
+
+@query
+def m6_book_chapters(spark, d):
+    return E.ingest_book_files(A.book_files(spark, d))["chapters"]
 
 
 @query
@@ -266,12 +279,12 @@ def c10_word_count(spark, d):
 
 @query
 def c11_titles(spark, d):
-    return X.texts(spark, X.TITLES).select("doc_id", T.usable_title(F.col("text")).alias("title"))
+    return A.properties(spark, d).select("doc_id", T.usable_title(F.col("title")).alias("title"))
 
 
 @query
 def c12_authors(spark, d):
-    return X.texts(spark, X.AUTHORS).select("doc_id", T.usable_author(F.col("text")).alias("author"))
+    return A.properties(spark, d).select("doc_id", T.usable_author(F.col("author")).alias("author"))
 
 
 # --- speech ----------------------------------------------------------------------------------------------------------
@@ -487,58 +500,65 @@ def b10_percent(spark, d):
     return _chunks(spark, d).select("doc_id", "idx", B.percent_read(F.col("idx"), F.count("*").over(Window.partitionBy("doc_id"))).alias("percent"))
 
 
+#: A reader's starred voices; one of them is gone.
+STARRED = ["v8", "gone", "v3", "v26"]
+
+
 # --- voices ----------------------------------------------------------------------------------------------------------
 @query
 def v1_tiers(spark, d):
-    return V.tier(X.voices(spark)).select("id", "tier", "rank", V.base_name(F.col("name")).alias("base"))
+    return V.tier(A.voices(spark, d)).select("id", "tier", "rank", V.base_name(F.col("name")).alias("base"))
 
 
 @query
 def v3_usable(spark, d):
-    return V.usable(X.voices(spark)).select("id")
+    return V.usable(A.voices(spark, d)).select("id")
 
 
 @query
 def v4_best(spark, d):
-    return V.best(X.voices(spark), "en-US", 4).select("id", "score")
+    return V.best(A.voices(spark, d), "en-US", 4).select("id", "score")
 
 
 @query
 def v5_search(spark, d):
-    return V.search(X.voices(spark), " EN-").select("id")
+    return V.search(A.voices(spark, d), " EN-").select("id")
 
 
 @query
 def v6_ordered(spark, d):
-    return V.ordered(X.voices(spark), X.FAVOURITES, "en-US").select("id", "place")
+    return V.ordered(A.voices(spark, d), STARRED, "en-US").select("id", "place")
 
 
 @query
 def v7_shortlist(spark, d):
-    return V.shortlist(X.voices(spark), X.FAVOURITES).select("id", "place")
+    return V.shortlist(A.voices(spark, d), STARRED).select("id", "place")
 
 
 @query
 def v8_toggle(spark, d):
-    full = F.array(*[F.lit(x) for x in "abcdef"])
-    lists = spark.range(1).select(F.explode(F.array(full, F.slice(full, 1, 3), F.slice(full, 1, 0))).alias("f"))
-    return lists.select(F.array_join("f", ",").alias("before"), F.explode(F.array(F.lit("a"), F.lit("z"))).alias("voice"), "f").select("before", "voice", F.array_join(V.toggle_favourite(F.col("f"), F.col("voice")), ",").alias("after"))
+    key = F.col("c_custkey")
+    stars = F.slice(F.transform(F.sequence(key, key + 6), lambda k: F.concat(F.lit("v"), k.cast("string"))), F.lit(1), (key % 7).cast("int"))
+    lists = A.read(spark, d, "customer").select(key, stars.alias("f"), F.concat(F.lit("v"), (key + key % 9).cast("string")).alias("voice"))
+    return lists.select("c_custkey", "voice", F.array_join(V.toggle_favourite(F.col("f"), F.col("voice")), ",").alias("after"))
 
 
 @query
 def v9_resolve(spark, d):
-    asks = spark.createDataFrame([(0, "karen", "thomas"), (1, "gone", "thomas"), (2, "gone", "gone"), (3, None, None), (4, None, "karen")], "n int, book_voice_id string, default_voice_id string")
-    return V.resolve(asks, X.voices(spark), "en-US").select("n", "voice_id", "source")
+    key = F.col("c_custkey")
+    named = lambda n: F.concat(F.lit("v"), (n % 150).cast("string"))
+    asks = A.read(spark, d, "customer").select(key.alias("n"), F.when(key % 3 > 0, named(key)).alias("book_voice_id"), F.when(key % 4 > 0, named(key * 7)).alias("default_voice_id"))
+    return V.resolve(asks, A.voices(spark, d), "en-US").select("n", "voice_id", "source")
 
 
 @query
 def v10_preferred(spark, d):
-    return V.preferred(X.voices(spark), "en-US")
+    return V.preferred(A.voices(spark, d), "en-US")
 
 
 @query
 def v11_picker(spark, d):
-    return V.picker(X.voices(spark), X.FAVOURITES, "en-US").select("id", "place")
+    return V.picker(A.voices(spark, d), STARRED, "en-US").select("id", "place")
 
 
 # --- keyed state and streams -----------------------------------------------------------------------------------------
@@ -572,14 +592,20 @@ def k4_delete_bookmark(spark, d):
 
 @query
 def k5_settings(spark, d):
-    stored = spark.createDataFrame([(0, {"rate": "1.5"}), (1, {})], "id int, s map<string,string>")
-    return stored.select("id", F.explode(B.merged_settings(F.col("s"), {"rate": "1", "provider": "system"})).alias("key", "value"))
+    key = F.col("c_custkey")
+    rate, theme = F.create_map(F.lit("rate"), (key % 5 / 2.0).cast("string")), F.create_map(F.lit("theme"), F.col("c_mktsegment"))
+    stored = F.when(key % 3 == 0, rate).when(key % 3 == 1, F.map_concat(rate, theme)).otherwise(F.create_map().cast("map<string,string>"))
+    rows = A.read(spark, d, "customer").select("c_custkey", stored.alias("s"))
+    return rows.select("c_custkey", F.explode(B.merged_settings(F.col("s"), {"rate": "1", "provider": "system"})).alias("key", "value"))
 
 
 @query
 def k6_book_voices(spark, d):
-    rows = [("voice:1", '{"voiceId":"karen","updatedAt":5}'), ("voice:2", '{"voiceId":3'), ("rate", "1"), ("voice:3", '{"updatedAt":5}')]
-    return B.valid_book_voices(spark.createDataFrame(rows, "key string, value string"))
+    key = F.col("c_custkey").cast("string")
+    full = F.concat(F.lit('{"voiceId":"v'), key, F.lit('","updatedAt":'), key, F.lit("}"))
+    kind = F.col("c_custkey") % 5
+    value = F.when(kind == 0, "1").when(kind == 1, F.concat(F.lit('{"voiceId":'), key)).when(kind == 2, F.concat(F.lit('{"updatedAt":'), key, F.lit("}"))).otherwise(full)
+    return B.valid_book_voices(A.read(spark, d, "customer").select(F.concat(F.when(kind == 3, "rate:").otherwise("voice:"), key).alias("key"), value.alias("value")))
 
 
 def _cache(spark, d):

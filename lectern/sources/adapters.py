@@ -113,3 +113,81 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         (F.col("user_id") % n).alias("book_id"), (F.col("event_id") % 17).cast("int").alias("chunk_idx"), (F.col("event_id") % 23).cast("int").alias("token_idx"), "ts", "event_id", "event_type"
     )
+
+
+#: Pages of one synthetic book.
+BOOK_PAGES = 10
+
+
+def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, name, markup: the unpacked files of books, each made of ten consecutive web pages.
+
+    A book has a container, a package with its pages in another order than their ids (every tenth not linear, one
+    reference to an item that is not there), a navigation document, an NCX, or both, and a content document for each
+    page but every seventh, which the archive lacks.
+    """
+    pages = read(spark, sf_dir, "pages").select("page_id", "html")
+    book = F.floor(F.col("page_id") / BOOK_PAGES).cast("long")
+    shelf = pages.groupBy(book.alias("doc_id")).agg(F.sort_array(F.collect_list("page_id")).alias("ids")).withColumn("doc", F.col("doc_id").cast("string"))
+    root = F.when(F.col("doc_id") % 2 == 0, "OEBPS/").otherwise("")
+    has_nav, has_ncx = F.col("doc_id") % 3 != 2, F.col("doc_id") % 3 != 0
+    text = lambda *parts: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in parts])
+    each = lambda ids, f: F.array_join(F.transform(ids, f), "")
+    there = lambda i: F.array_contains("ids", i)
+
+    container = text('<?xml version="1.0"?><container><rootfiles><rootfile full-path="', root, "b", F.col("doc"), '.opf" media-type="application/oebps-package+xml"/><rootfile full-path="other.opf"/></rootfiles></container>')
+    items = each("ids", lambda i: text('<item id="p', i, '" href="text/p', i, '.xhtml"/>'))
+    order = F.transform(F.array_sort(F.transform("ids", lambda i: F.struct((i * 7 % BOOK_PAGES).alias("k"), i.alias("i")))), lambda x: x["i"])
+    refs = each(order, lambda i: text('<itemref idref="p', i, '"', F.when(i % BOOK_PAGES == 4, ' linear="no"').otherwise(""), "/>"))
+    package = text(
+        "<package><metadata><dc:title>  Pages \n of ", F.col("doc"), " &amp; more </dc:title><dc:title>Second</dc:title><dc:creator>Site ", F.col("doc_id") % 4, "</dc:creator></metadata><manifest>",
+        F.when(has_nav, '<item id="n" href="nav.xhtml" properties="nav x"/>').otherwise(""), F.when(has_ncx, '<item id="ncx" href="toc.ncx"/>').otherwise(""), items,
+        '</manifest><spine toc="ncx"><itemref idref="gone"/>', refs, "</spine></package>",
+    )
+    link = lambda i, mark, label: text('<a href="text/p', i, ".xhtml", mark, '">', label, " <b>", i, "</b></a>")
+    inner = lambda i: F.when((i % 4 == 0) & there(i + 1), text("<ol><li>", link(i + 1, "", "Inner"), "</li></ol>")).otherwise("")
+    listed = each(F.filter("ids", lambda i: i % 2 == 0), lambda i: text("<li>", link(i, "#s", "\n Part"), inner(i), "</li>"))
+    nav = text('<html><nav epub:type="landmarks"><ol><li><a href="x.xhtml">No</a></li></ol></nav><nav epub:type="toc"><ol>', listed, '<li><a href="e.xhtml"> </a></li></ol></nav></html>')
+    point = lambda i, label, more: text("<navPoint><navLabel><text>", label, " ", i, '</text></navLabel><content src="text/p', i, '.xhtml"/>', more, "</navPoint>")
+    below = lambda i: F.when((i % 2 == 0) & there(i + 1), point(i + 1, "Sub", "")).otherwise("")
+    points = each(F.filter("ids", lambda i: i % 3 == 0), lambda i: point(i, "Section", below(i)))
+    ncx = text("<ncx><docTitle><text>Title</text></docTitle><navMap>", points, "</navMap></ncx>")
+
+    file = lambda name, markup: F.struct(name.alias("name"), markup.alias("markup"))
+    parts = [
+        file(F.lit("META-INF/container.xml"), container), file(text(root, "b", F.col("doc"), ".opf"), package), F.when(has_nav, file(text(root, "nav.xhtml"), nav)), F.when(has_ncx, file(text(root, "toc.ncx"), ncx)),
+    ]
+    about = shelf.select("doc_id", F.explode(F.array_compact(F.array(*parts))).alias("f")).select("doc_id", "f.name", "f.markup")
+    content = pages.where("page_id % 7 <> 3").select(book.alias("doc_id"), F.concat(F.when(book % 2 == 0, "OEBPS/").otherwise(""), F.lit("text/p"), F.col("page_id").cast("string"), F.lit(".xhtml")).alias("name"), F.col("html").alias("markup"))
+    return about.unionByName(content)
+
+
+#: What a voice's name may end with, the languages of nations, and joke voices among the rest.
+VOICE_ENDS, VOICE_LANGUAGES, JOKES = ["", " (Premium)", " (Enhanced)", " Natural", "", " (Compact)", " Online"], ["en-US", "fr-FR", "de_DE", "en-GB", "es-ES", "en_AU"], ["Bells", "Zarvox", "Pipe organ"]
+
+
+def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos, id, name, lang, is_default, local_service: a voice for each supplier, named after its nation."""
+    met = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    key = F.col("s_suppkey")
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
+    plain = F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.expr("substring(n_name, 2)")), pick(VOICE_ENDS, key))
+    return met.select(
+        key.cast("int").alias("pos"),
+        F.concat(F.lit("v"), key.cast("string")).alias("id"),
+        F.when(key % 11 == 0, pick(JOKES, key)).otherwise(plain).alias("name"),
+        pick(VOICE_LANGUAGES, F.col("n_nationkey")).alias("lang"),
+        (key % 13 == 0).alias("is_default"),
+        F.when(key % 5 == 0, False).when(key % 5 > 1, True).alias("local_service"),
+    )
+
+
+#: Document properties as files carry them; %1$s is the source, %2$d the document.
+TITLES = ["Untitled", "Microsoft Word - %1$s %2$d.doc", "%1$s-%2$d.pdf", "  On %1$s, part %2$d ", "%1$.1s", "document%2$d", "The Document %2$d", "notes.EPUB", "Unknown %1$s"]
+AUTHORS = ["Administrator", " %1$s ", "", "owner", "Owner %1$s", "\t", "user %2$d"]
+
+
+def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, title, author: raw document properties, useful and useless ones."""
+    filled = lambda forms: F.coalesce(*[F.when(F.col("doc_id") % len(forms) == i, F.format_string(f, "source", "doc_id")) for i, f in enumerate(forms)])
+    return read(spark, sf_dir, "documents").select("doc_id", filled(TITLES).alias("title"), filled(AUTHORS).alias("author"))
