@@ -491,6 +491,7 @@ UNION ALL SELECT 'audio', doc_id || ':0:0:default' || s FROM left_books, (VALUES
         "k9_audio_bytes": "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents",
         "k11_lookup": f"WITH {BOOKS} SELECT book_id, title, author FROM books WHERE book_id = 7",
         "x1_progress_stream": PROGRESS,
+        "x2_beats": f"{PAGE_CHUNKS}, {UNIT_PAUSES} SELECT doc_id, chunk_idx, unit, pause_ms FROM unit_pauses",
         "x2_player_stream": f"WITH {PLAYER}",
         "x4_drop_stale": "SELECT book_id, seq, session FROM (SELECT *, max(session) OVER (PARTITION BY book_id ORDER BY seq) AS m FROM (SELECT user_id % 20 AS book_id, event_id AS seq, CAST(floor(value) AS INTEGER) AS session FROM events)) WHERE session = m",
     }

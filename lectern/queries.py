@@ -639,7 +639,17 @@ def x1_progress_stream(spark, d):
 
 @query
 def x2_player_stream(spark, d):
-    return P.drain(P.player_stream(_stream_positions(spark, d)), S.shared_folder(spark), "append")
+    events = P.in_time_order(A.positions(spark, d).drop("token_idx"), S.new_folder(spark, "player"))
+    return P.drain(P.player_stream(events), S.shared_folder(spark), "append")
+
+
+@query
+def x2_beats(spark, d):
+    asked = N.unit_pauses(_page_chunks(spark, d))
+    along = Window.partitionBy("doc_id").orderBy("chunk_idx", "unit")
+    ts = F.timestamp_millis(F.lit(1_700_000_000_000) + F.sum(F.col("token_count") * 360 + F.col("pause_ms")).over(along))
+    units = S.stored(asked.select("doc_id", "chunk_idx", F.col("unit").cast("int").alias("unit"), "pause_ms", ts.alias("ts")))
+    return P.drain(P.beats_stream(P.in_time_order(units, S.new_folder(spark, "beats"))), S.shared_folder(spark), "append").drop("starts_at")
 
 
 @query

@@ -1,23 +1,23 @@
-"""Reader events as streams: last-write-wins progress, and the player's state per book."""
+"""Reader events as streams: last-write-wins progress, the player's state per book, and the silences between units."""
 
 from __future__ import annotations
 
-import heapq
-import pickle
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: How event types drive the player.
 ACTIONS = {"view": "play", "click": "seek", "purchase": "pause", "error": "stop", "signup": "resume"}
-#: Rows of one book that are sorted in memory at once, and rows handed on at once.
-RUN, PIECE = 1 << 19, 1 << 13
+#: How long after a later event an event may still come, and the span whose events of one book are put in order at once.
+LATE, SPAN_MS = "1 minute", 86_400_000
 PLAYER = "event_id long, book_id long, status string, chunk_idx int"
+BEATS = "doc_id long, chunk_idx int, unit int, pause_ms int, starts_at timestamp"
+#: Later than any event, and a time that pandas can hold.
+END = "2200-01-01 00:00:00"
 
 
 def with_action(events: DataFrame) -> DataFrame:
@@ -44,69 +44,139 @@ def player_states(events: DataFrame) -> DataFrame:
     return acts.select("event_id", "book_id", status.alias("status"), at.alias("chunk_idx"))
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """(ts, event_id, action, chunk_idx) by ts, event_id: sorted runs go to files of the task and are merged."""
-
-    def sort(held):
-        return pd.concat(held).sort_values(["ts", "event_id"])
-
-    def spill(rows):
-        file = tempfile.TemporaryFile()
-        for i in range(0, len(rows), PIECE):
-            pickle.dump(rows.iloc[i : i + PIECE], file)
-        file.seek(0)
-        return file
-
-    def pieces(file):
-        with file:
-            while True:
-                try:
-                    yield pickle.load(file)
-                except EOFError:
-                    return
-
-    def tuples(frames):
-        for rows in frames:
-            yield from zip(rows["ts"], rows["event_id"], rows["action"], rows["chunk_idx"])
-
-    runs, held = [], []
-    for batch in batches:
-        held.append(batch)
-        if sum(map(len, held)) >= RUN:
-            runs.append(tuples(pieces(spill(sort(held)))))
-            held = []
-    if held:
-        runs.append(tuples([sort(held)]))
-    return runs[0] if len(runs) == 1 else heapq.merge(*runs, key=lambda r: r[:2])
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, at = state.get if state.exists else ("idle", 0)
-    out = []
-    for _, event, action, chunk in _in_order(batches):
-        if action == "play":
-            status = "playing"
-        elif action == "stop":
-            status = "idle"
-        elif action == "pause" and status == "playing":
-            status = "paused"
-        elif action == "resume" and status == "paused":
-            status = "playing"
-        if action in ("play", "seek"):
-            at = int(chunk)
-        out.append((event, key[0], status, at))
-        if len(out) == PIECE:
-            state.update((status, at))
-            yield pd.DataFrame(out, columns=["event_id", "book_id", "status", "chunk_idx"])
-            out = []
-    state.update((status, at))
-    yield pd.DataFrame(out, columns=["event_id", "book_id", "status", "chunk_idx"]).astype({"event_id": "int64", "book_id": "int64", "chunk_idx": "int32"} if not out else {})
-
-
-def player_stream(events: DataFrame) -> DataFrame:
-    """The same for a stream whose batches arrive in order; state is one row for each book."""
-    keyed = with_action(events).select("book_id", "event_id", "ts", "action", "chunk_idx")
-    return keyed.groupBy("book_id").applyInPandasWithState(_advance, PLAYER, "status string, chunk_idx int", "append", GroupStateTimeout.NoTimeout)
+class Waiting(StatefulProcessor):
+    """Rows of one key that wait in the state until their time has come, and are then taken in order.
+
+    waiting maps a time to its rows and a timer stands at each such time; timers fire in the order of time once the
+    watermark has passed them, so a batch hands on what is due and holds one span of one key at a time, however many
+    rows a key has. Rows are tuples that begin with what orders them inside their span.
+    """
+
+    ROW, OUT = "", ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "due long", f"rows array<struct<{self.ROW}>>")
+
+    def time(self, rows: pd.DataFrame) -> pd.Series:
+        """When the rows came about, in milliseconds; what the watermark has passed by then is dropped."""
+        raise NotImplementedError
+
+    def due(self, rows: pd.DataFrame) -> pd.Series:
+        raise NotImplementedError
+
+    def release(self, key: tuple, due: int, rows: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def nothing(self) -> pd.DataFrame:
+        kinds = {"long": "int64", "int": "int32", "timestamp": "datetime64[us]"}
+        return pd.DataFrame({n: pd.Series([], dtype=kinds.get(t, "object")) for n, t in (c.split(" ") for c in self.OUT.split(", "))})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = [c.split(" ")[0] for c in self.ROW.split(", ")]
+        passed = timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            batch = batch[self.time(batch) >= passed]
+            for due, part in batch.groupby(self.due(batch)):
+                due = int(due)
+                held = [tuple(r) for r in self.waiting.getValue((due,))[0]] if self.waiting.containsKey((due,)) else []
+                new = [tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in part[names].itertuples(index=False, name=None)]
+                self.waiting.updateValue((due,), (held + new,))
+                self.handle.registerTimer(due)
+        yield self.nothing()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        rows = [tuple(r) for r in self.waiting.getValue((due,))[0]]
+        self.waiting.removeKey((due,))
+        yield self.release(key, due, sorted(rows, key=lambda r: r[:2]))
+
+    def close(self) -> None:
+        pass
+
+
+class Player(Waiting):
+    """The player of one book: status and chunk after each of its events in the order of ts, event_id."""
+
+    ROW, OUT = "at long, event_id long, action string, chunk_idx int", PLAYER
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.now = handle.getValueState("now", "status string, chunk_idx int")
+
+    def time(self, rows: pd.DataFrame) -> pd.Series:
+        return rows["at"] // 1000
+
+    def due(self, rows: pd.DataFrame) -> pd.Series:
+        return (rows["at"] // 1000 // SPAN_MS + 1) * SPAN_MS
+
+    def release(self, key: tuple, due: int, rows: list[tuple]) -> pd.DataFrame:
+        status, at = self.now.get() if self.now.exists() else ("idle", 0)
+        out = []
+        for _, event, action, chunk in rows:
+            if action == "play":
+                status = "playing"
+            elif action == "stop":
+                status = "idle"
+            elif action == "pause" and status == "playing":
+                status = "paused"
+            elif action == "resume" and status == "paused":
+                status = "playing"
+            if action in ("play", "seek"):
+                at = int(chunk)
+            out.append((event, key[0], status, at))
+        self.now.update((status, at))
+        return pd.DataFrame(out, columns=list(self.nothing())).astype({"chunk_idx": "int32"})
+
+
+class Beats(Waiting):
+    """The beat of one document: a unit starts when the silence owed before it is over."""
+
+    ROW, OUT = "chunk_idx int, unit int, pause_ms int, asked_ms long", BEATS
+
+    def time(self, rows: pd.DataFrame) -> pd.Series:
+        return rows["asked_ms"]
+
+    def due(self, rows: pd.DataFrame) -> pd.Series:
+        return rows["asked_ms"] + rows["pause_ms"]
+
+    def release(self, key: tuple, due: int, rows: list[tuple]) -> pd.DataFrame:
+        out = [(key[0], chunk, unit, due - asked, pd.Timestamp(due, unit="ms")) for chunk, unit, _, asked in rows]
+        return pd.DataFrame(out, columns=list(self.nothing())).astype({"chunk_idx": "int32", "unit": "int32", "pause_ms": "int32"})
+
+
+def _with_timers(rows: DataFrame, key: str, processor: Waiting) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy(key).transformWithStateInPandas(processor, processor.OUT, "append", "EventTime").where(F.col(key).isNotNull())
+
+
+def player_stream(events: DataFrame, late: str = LATE) -> DataFrame:
+    """player_states for a stream: an event is answered once no earlier one can come, those later than late are dropped.
+
+    The last events of a stream that ends wait for a later one; in_time_order closes a table's with one. A null book_id
+    has no player.
+    """
+    keyed = with_action(events).select("book_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action", "chunk_idx").withWatermark("ts", late)
+    return _with_timers(keyed.withColumn("at", F.unix_micros("ts")), "book_id", Player())
+
+
+def beats_stream(units: DataFrame, late: str = LATE) -> DataFrame:
+    """units (doc_id, chunk_idx, unit, pause_ms, ts), each asked for at ts, as they start: a timer counts each one's silence."""
+    asked = units.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return _with_timers(asked.withColumn("asked_ms", F.unix_millis("ts")), "doc_id", Beats())
+
+
+def in_time_order(rows: DataFrame, folder: str, files: int = 3) -> DataFrame:
+    """A table as a stream of files in the order of its ts, one a batch, and a last row of nulls at END that lets all before it go."""
+    spark = rows.sparkSession
+    timed = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    edges = timed.select(F.percentile_approx(F.unix_micros("ts"), [k / files for k in range(1, files)], 10_000)).first()[0] or []
+    part = sum(((F.unix_micros("ts") > edge).cast("int") for edge in edges), F.lit(0))
+    for k in range(files):
+        timed.where(part == k).repartition(1).write.mode("append").parquet(folder)
+    end = [F.lit(END).cast("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in timed.schema]
+    spark.range(1).select(*end).repartition(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def drop_stale(callbacks: DataFrame) -> DataFrame:

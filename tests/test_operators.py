@@ -216,7 +216,6 @@ def test_stream_equals_table(spark, tmp_path):
     events = A.positions(spark, SMALL)
     n = A.read(spark, SMALL, "documents").count()
     stream = P.event_stream(spark, SMALL).select((F.col("user_id") % n).alias("book_id"), (F.col("event_id") % 17).cast("int").alias("chunk_idx"), "ts", "event_id", "event_type")
-    assert sorted(map(tuple, P.drain(P.player_stream(stream), str(tmp_path), "append").collect())) == sorted(map(tuple, P.player_states(events).collect()))
     assert sorted(map(tuple, P.drain(P.progress(stream), str(tmp_path), "complete").collect())) == sorted(map(tuple, P.progress(events).collect()))
 
 

@@ -1,43 +1,61 @@
-"""Streams keep their rows on disk, and the player advances in bounded pieces."""
+"""Streams keep their rows on disk; the player and the beats answer in the order of time, over several batches."""
 
+import datetime as dt
 import random
 
-import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.streaming import player as P
 
+EVENT = "book_id long, chunk_idx int, ts timestamp, event_id long, event_type string"
+START = dt.datetime(2024, 3, 1)
 
-class State:
-    exists, get = False, None
 
-    def update(self, value):
-        self.exists, self.get = True, value
+def rows(df, *columns):
+    return sorted(map(tuple, df.select(*columns or df.columns).collect()), key=str)
 
 
-def test_player_advances_in_pieces(monkeypatch):
-    rng = random.Random(1)
-    rows = [(rng.randrange(400), i, rng.choice(["play", "seek", "pause", "stop", "resume"]), i % 17) for i in range(1000)]
-    frames = [pd.DataFrame(rows[i : i + 30], columns=["ts", "event_id", "action", "chunk_idx"]) for i in range(0, 1000, 30)]
-    whole = pd.concat(P._advance((1,), iter(frames), State()))
-    monkeypatch.setattr(P, "RUN", 100)
-    monkeypatch.setattr(P, "PIECE", 50)
-    found = list(P._advance((1,), iter(frames), state := State()))
-    assert max(map(len, found)) <= 50 and state.get == tuple(whole.iloc[-1][["status", "chunk_idx"]])
-    assert pd.concat(found).values.tolist() == whole.values.tolist()
-    assert [r[1] for r in sorted(rows)] == whole["event_id"].tolist()
+def events(n, seed):
+    """Random events with ties of ts, most of them of one book."""
+    pick = random.Random(seed)
+    return [(pick.choice([1, 1, 1, 2, 3]), i % 17, START + dt.timedelta(minutes=pick.randrange(4000)), i, pick.choice([*P.ACTIONS, "other"])) for i in range(n)]
+
+
+def test_player_over_batches_equals_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "SPAN_MS", 3_600_000)
+    table = spark.createDataFrame(events(400, 1), EVENT)
+    found = P.drain(P.player_stream(P.in_time_order(table, str(tmp_path / "in"), 3)), str(tmp_path / "out"), "append")
+    assert rows(found, "event_id", "book_id", "status", "chunk_idx") == rows(P.player_states(table), "event_id", "book_id", "status", "chunk_idx")
+    batches = {f.split("/rows/")[1].split("/")[0] for f in found.where("book_id = 1").inputFiles()}
+    assert len(batches) > 2
+
+
+def test_late_events_are_dropped_and_open_ones_wait(spark, tmp_path):
+    folder, at = str(tmp_path / "in"), lambda m: START + dt.timedelta(minutes=m)
+    for part in ([(1, 4, at(0), 1, "view")], [(1, 5, at(5000), 2, "click")], [(1, 6, at(1), 3, "click"), (1, 7, at(5001), 4, "error")]):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = P.drain(P.player_stream(stream), str(tmp_path / "out"), "append")
+    assert rows(found) == [(1, 1, "playing", 4)]  # event 3 came too late, 2 and 4 wait for a later one
+
+
+def test_beats_start_when_their_silence_is_over(spark, tmp_path):
+    pick = random.Random(5)
+    units = [(d, i // 3, i % 3, pick.choice([0, 220, 460, 650, 900]), START + dt.timedelta(milliseconds=d + i * 1500)) for d in range(4) for i in range(40)]
+    table = spark.createDataFrame(units, "doc_id long, chunk_idx int, unit int, pause_ms int, ts timestamp")
+    found = P.drain(P.beats_stream(P.in_time_order(table, str(tmp_path / "in"))), str(tmp_path / "out"), "append")
+    want = table.select("doc_id", "chunk_idx", "unit", "pause_ms", F.timestamp_millis(F.unix_millis("ts") + F.col("pause_ms")).alias("starts_at"))
+    assert rows(found, *want.columns) == rows(want)
 
 
 @pytest.mark.parametrize("mode", ["append", "complete"])
 def test_drained_rows_lie_in_the_folder(spark, tmp_path, mode):
-    for i in range(2):
-        rows = [(b, 20 * i + b, "2024-01-01", 20 * i + b, "view") for b in range(20)]
-        spark.createDataFrame(rows, "book_id long, chunk_idx int, ts string, event_id long, event_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    table = spark.read.parquet(str(tmp_path / "in"))
-    made = P.player_stream if mode == "append" else P.progress
+    table = spark.createDataFrame(events(40, 2), EVENT)
+    stream = P.in_time_order(table, str(tmp_path / "in"), 2)
+    made = P.player_stream if mode == "append" else lambda s: P.progress(s).where("book_id is not null")
     want = P.player_states if mode == "append" else P.progress
     found = P.drain(made(stream), str(tmp_path / "out"), mode)
     assert found.inputFiles() and all(str(tmp_path / "out") in f for f in found.inputFiles())
-    columns = [c for c in found.columns if c != "status"]
-    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, want(table).select(columns).collect()))
+    columns = [c for c in found.columns if c != "updated_at"]
+    assert rows(found, *columns) == rows(want(table), *columns)
