@@ -15,11 +15,12 @@ TRANSCRIPT, NEAR_TOKENS = 120, 8
 def shelve(books: DataFrame, times: DataFrame, progress: DataFrame) -> DataFrame:
     """books with remaining_s, fraction, started, finished. books: book_id, …; times: a timeline by doc_id; progress:
     book_id, chunk_idx. A saved position beyond the ends is taken as the nearest chunk."""
-    whole = times.groupBy(F.col("doc_id").alias("book_id")).agg(F.sum("words").alias("words"), F.max("chunk_idx").alias("last"))
-    met = books.join(whole, "book_id", "left").join(progress.select("book_id", F.col("chunk_idx").alias("saved")), "book_id", "left")
-    at = F.least(F.greatest(F.coalesce("saved", F.lit(0)), F.lit(0)), F.coalesce("last", F.lit(0)))
-    placed = met.withColumn("at", at).join(times.select(F.col("doc_id").alias("book_id"), F.col("chunk_idx").alias("at"), "words_before"), ["book_id", "at"], "left")
-    done = F.coalesce("words_before", F.lit(0))
+    saved = progress.select("book_id", F.col("chunk_idx").alias("saved"))
+    chapters = times.withColumnRenamed("doc_id", "book_id").join(saved, "book_id", "left")
+    here = F.when(F.col("chunk_idx") == F.greatest("saved", F.lit(0)), F.col("words_before"))
+    whole = chapters.groupBy("book_id").agg(F.sum("words").alias("words"), F.max("chunk_idx").alias("last"), F.max(here).alias("here"), F.max_by("words_before", "chunk_idx").alias("at_last"))
+    placed = books.join(whole, "book_id", "left").join(saved, "book_id", "left").withColumn("at", F.greatest(F.coalesce("saved", F.lit(0)), F.lit(0)))
+    done = F.coalesce(F.when(F.col("saved").isNotNull(), F.coalesce("here", F.when(F.col("at") >= F.col("last"), F.col("at_last")))), F.lit(0))
     started = F.col("saved").isNotNull()
     return placed.select(
         *[F.col(c) for c in books.columns],

@@ -14,13 +14,14 @@ LOOKAHEAD = 3
 UNIT_END = "[.!?][\"')\\]”’]?$"
 
 
-def units(chunked: DataFrame) -> DataFrame:
-    """doc_id, chunk_idx, unit, text, token_start, token_count, ends_sentence: the sentences of each chunk."""
-    cut = chunked.select("doc_id", F.col("idx").alias("chunk_idx"), F.posexplode(T.sentences(T.squash(F.col("text")))).alias("unit", "text"))
+def units(chunked: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, chunk_idx, unit, text, token_start, token_count, ends_sentence: the sentences of each chunk, with the
+    chunk's columns named in carried."""
+    cut = chunked.select("doc_id", F.col("idx").alias("chunk_idx"), *carried, F.posexplode(T.sentences(T.squash(F.col("text")))).alias("unit", "text"))
     counted = cut.withColumn("token_count", T.count_words(F.col("text"))).where("token_count > 0")
     before = Window.partitionBy("doc_id", "chunk_idx").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("token_count").over(before), F.lit(0)).cast("int")
-    return counted.select("doc_id", "chunk_idx", "unit", "text", start.alias("token_start"), "token_count", F.col("text").rlike(UNIT_END).alias("ends_sentence"))
+    return counted.select("doc_id", "chunk_idx", "unit", "text", start.alias("token_start"), "token_count", F.col("text").rlike(UNIT_END).alias("ends_sentence"), *carried)
 
 
 def structural_pauses(chunked: DataFrame) -> DataFrame:
@@ -37,9 +38,8 @@ def unit_pauses(chunked: DataFrame) -> DataFrame:
     A new chunk's structural silence comes first; else a beat after a unit that ended a sentence; a sentence that is
     split over chunks is never broken.
     """
-    shape = structural_pauses(chunked).select("doc_id", F.col("idx").alias("chunk_idx"), "heading", F.col("pause_ms").alias("structural"))
     along = Window.partitionBy("doc_id").orderBy("chunk_idx", "unit")
-    all_units = units(chunked).join(shape, ["doc_id", "chunk_idx"])
+    all_units = units(structural_pauses(chunked).withColumnRenamed("pause_ms", "structural"), "heading", "structural")
     last = F.lag("chunk_idx").over(along)
     pause = (
         F.when(last.isNull(), 0)
