@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ LOOKAHEAD = 3
 UNIT_END = "[.!?][\"')\\]”’]?$"
 
 
+@dataclass(frozen=True)
+class Provider:
+    """What a speech engine can do: report word boundaries, play requests without a seam, and render silence itself."""
+
+    id: str = "web"
+    supports_boundaries: bool = True
+    supports_queueing: bool = True
+    honours_delays: bool = False
+
+
 def units(chunked: DataFrame, *carried: str) -> DataFrame:
     """doc_id, chunk_idx, unit, text, token_start, token_count, ends_sentence: the sentences of each chunk, with the
     chunk's columns named in carried."""
@@ -51,11 +63,13 @@ def unit_pauses(chunked: DataFrame) -> DataFrame:
     return all_units.select("*", pause.alias("pause_ms"), following["chunk_idx"].alias("next_chunk"), following["unit"].alias("next_unit")).drop("structural")
 
 
-def utterances(chunked: DataFrame, rate: float = 1.0, voice_id: str | None = None) -> DataFrame:
+def utterances(chunked: DataFrame, rate: float = 1.0, voice_id: str | None = None, provider: Provider = Provider()) -> DataFrame:
     """One row for each unit that has something to say, with speech text, rate, pause and breath group.
 
-    A silent unit is skipped and leaves the pause owed before it to the next spoken one. A breath group runs as long
-    as no pause is owed; up to LOOKAHEAD units of it may be queued ahead.
+    A silent unit is skipped and leaves the pause owed before it to the next spoken one. A unit is queued behind the one
+    before if the engine queues and either no pause is owed or the engine renders it, as pre_delay_ms; else a timer
+    waits timer_ms. A breath group runs as long as units are queued; up to LOOKAHEAD of it may be queued ahead.
+    highlight is word where the engine reports boundaries, else unit.
     """
     planned = unit_pauses(chunked).withColumn("speech", T.to_speech(F.col("text"))["text"])
     along = Window.partitionBy("doc_id").orderBy("chunk_idx", "unit")
@@ -63,8 +77,9 @@ def utterances(chunked: DataFrame, rate: float = 1.0, voice_id: str | None = Non
     grouped = planned.withColumn("grp", F.coalesce(F.sum(spoken.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = Window.partitionBy("doc_id", "grp").orderBy("chunk_idx", "unit")
     owed = grouped.withColumn("owed", F.when(F.col("grp") == 0, 0).otherwise(F.first("pause_ms").over(within))).where(spoken)
-    breath = F.sum(F.when(F.col("owed") > 0, 1).otherwise(0)).over(along)
-    out = owed.withColumn("breath_group", breath)
+    follows = F.lag("unit").over(along).isNotNull()
+    queued = follows & F.lit(provider.supports_queueing) & ((F.col("owed") == 0) | F.lit(provider.honours_delays))
+    out = owed.withColumn("queued", queued).withColumn("breath_group", F.sum((~F.col("queued")).cast("int")).over(along) - 1)
     place = F.row_number().over(Window.partitionBy("doc_id", "breath_group").orderBy("chunk_idx", "unit")) - 1
     return out.select(
         "doc_id",
@@ -77,6 +92,9 @@ def utterances(chunked: DataFrame, rate: float = 1.0, voice_id: str | None = Non
         F.concat_ws(":", "doc_id", "chunk_idx", "token_start").alias("cache_key"),
         "breath_group",
         F.least(place, F.lit(LOOKAHEAD)).alias("queued_behind"),
+        F.when(F.col("queued"), F.col("owed")).otherwise(0).alias("pre_delay_ms"),
+        F.when(F.col("queued"), 0).otherwise(F.col("owed")).alias("timer_ms"),
+        F.lit("word" if provider.supports_boundaries else "unit").alias("highlight"),
     )
 
 

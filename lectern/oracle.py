@@ -434,6 +434,13 @@ SELECT o.doc_id, o.seq, o.title, coalesce(min(c.idx) FILTER (c.page = o.page AND
         "x5_ingest": f"{PAGE_CHUNKS} SELECT doc_id, idx, text, page, para, CAST(starts_para AS INTEGER) AS starts_para, CAST(heading AS INTEGER) AS heading FROM chunks",
         "x5_progress": "SELECT stage, fraction::DOUBLE AS fraction, CASE WHEN stage = 'reading' THEN 0 ELSE n END AS page, n AS page_count FROM (SELECT count(*) + count(*) FILTER (page_id % 5 = 0) AS n FROM pages), (VALUES ('reading', 0), ('extracting', 0.9), ('cleaning', 0.92), ('done', 1)) AS t(stage, fraction)",
         "n6_utterances": f"{PAGE_CHUNKS}, {UNIT_PAUSES}, {SPOKEN} SELECT doc_id, chunk_idx, unit, speech, round(CASE WHEN heading THEN 0.94 ELSE 1 END, 6)::DOUBLE AS rate, owed AS pause_ms, cache_key FROM utterances",
+        "s3_page_scan": f"""{SETTING}, {RUN_LINES}, counted AS (SELECT doc_id, page, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM run_lines GROUP BY ALL),
+named AS (SELECT doc_id, regexp_replace({filled(A.TITLES)}, '^\\s+|\\s+$', '', 'g') AS title, nullif(regexp_replace({filled(A.AUTHORS)}, '^\\s+|\\s+$', '', 'g'), '') AS author FROM documents)
+SELECT p.doc_id, p.page, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, coalesce(lines, 0) AS lines, coalesce(chars, 0) AS chars, title, author, count(*) OVER (PARTITION BY p.doc_id) AS page_count FROM pgs p LEFT JOIN counted c ON c.doc_id = p.doc_id AND c.page = p.page JOIN named n ON n.doc_id = p.doc_id""",
+        "u1_provider_plans": f"""{PAGE_CHUNKS}, {UNIT_PAUSES}, {SPOKEN}, engines AS (SELECT * FROM (VALUES ('web', true, true, false), ('http', false, false, false), ('system', true, true, true), ('plain', true, false, true)) AS t(provider, bounds, queues, delays)),
+planned2 AS (SELECT provider, bounds, doc_id, chunk_idx, unit, owed, row_number() OVER w > 1 AND queues AND (owed = 0 OR delays) AS q FROM utterances, engines WINDOW w AS (PARTITION BY provider, doc_id ORDER BY chunk_idx, unit)),
+grouped2 AS (SELECT *, sum(CASE WHEN q THEN 0 ELSE 1 END) OVER (PARTITION BY provider, doc_id ORDER BY chunk_idx, unit) - 1 AS g FROM planned2)
+SELECT provider, doc_id, chunk_idx, unit, CAST(g AS INTEGER) AS breath_group, CAST(least(row_number() OVER (PARTITION BY provider, doc_id, g ORDER BY chunk_idx, unit) - 1, 3) AS INTEGER) AS queued_behind, CASE WHEN q THEN owed ELSE 0 END AS pre_delay_ms, CASE WHEN q THEN 0 ELSE owed END AS timer_ms, CASE WHEN bounds THEN 'word' ELSE 'unit' END AS highlight FROM grouped2""",
         "n8_breath_groups": f"{PAGE_CHUNKS}, {UNIT_PAUSES}, {SPOKEN} SELECT doc_id, chunk_idx, unit, CAST(breath_group AS INTEGER) AS breath_group, CAST(least(row_number() OVER (PARTITION BY doc_id, breath_group ORDER BY chunk_idx, unit) - 1, 3) AS INTEGER) AS queued_behind FROM utterances",
         "t6_token_index": f"SELECT conv_id, turn, spot AS \"at\", CASE WHEN spot <= 0 THEN 0 ELSE greatest(0, {n_words('left(text, spot + 1)')} - 1) END AS token FROM conversations, (VALUES (-1), (0), (2), (30), (9999)) AS p(spot)",
         "t7_seconds": f"SELECT doc_id, round({n_words('text')} / (165 * 1.25) * 60, 6) AS seconds FROM documents",

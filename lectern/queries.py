@@ -22,6 +22,7 @@ from lectern.plans import ingest as E
 from lectern.plans import synthesis as Y
 from lectern.sources import adapters as A
 from lectern.sources import archives as Z
+from lectern.sources import pages as K
 from lectern.streaming import highlight as H
 from lectern.streaming import ingest as I
 from lectern.streaming import player as P
@@ -757,3 +758,18 @@ def k7_synthesis(spark, d):
     once = Y.get_or_synthesize(said, path, _engine(True)).select("key", F.col("status").alias("first"), "error")
     again = Y.get_or_synthesize(said, path, _engine(False)).select("key", F.col("status").alias("second"), F.octet_length("blob").alias("bytes"))
     return once.join(again, "key")
+
+
+@query
+def s3_page_scan(spark, d):
+    made = K.scan(A.glyph_runs(spark, d), A.typeset(spark, d)[1], A.properties(spark, d))
+    counts = made["lines"].groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
+    return made["pages"].join(counts, ["doc_id", "page"], "left").na.fill(0, ["lines", "chars"]).join(made["about"], "doc_id")
+
+
+@query
+def u1_provider_plans(spark, d):
+    chunked = S.stored(_page_chunks(spark, d))
+    engines = [N.Provider(), N.Provider("http", False, False), N.Provider("system", honours_delays=True), N.Provider("plain", True, False, True)]
+    plans = [N.utterances(chunked, provider=p).select(F.lit(p.id).alias("provider"), "doc_id", "chunk_idx", "unit", F.col("breath_group").cast("int").alias("breath_group"), "queued_behind", "pre_delay_ms", "timer_ms", "highlight") for p in engines]
+    return functools.reduce(DataFrame.union, plans)

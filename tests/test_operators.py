@@ -14,6 +14,7 @@ from lectern.operators import voices as V
 from lectern.plans import ingest, synthesis
 from lectern.sources import adapters as A
 from lectern.sources import archives as Z
+from lectern.sources import pages as K
 from lectern.streaming import player as P
 
 SMALL = "/root/testdata/sf0.001"
@@ -234,3 +235,26 @@ def test_outline_keeps_what_stands_under_a_blank_title(spark):
     nodes = spark.createDataFrame([(1, 1, None, 0, " One ", 3), (1, 2, 1, 0, " ", 4), (1, 3, 2, 0, "Deep\n down", None), (1, 4, None, 1, "Two", 9), (1, 5, 99, 0, "lost", 1)], "doc_id long, node int, parent int, place int, title string, page int")
     got = [tuple(r) for r in O.walk_outline(nodes).orderBy("seq").collect()]
     assert got == [(1, 0, "One", 3, 0), (1, 1, "Deep down", None, 2), (1, 2, "Two", 9, 0)]
+
+
+def test_provider_flags_steer_the_plan(spark):
+    made = chunk_rows(spark, [("One. Two", 1, True, False), ("and goes on.", 1, False, False), ("[3]", 1, True, False), ("Next para.", 1, False, False)])
+
+    def plan(**flags):
+        rows = N.utterances(made, provider=N.Provider("x", **flags)).orderBy("chunk_idx", "unit").collect()
+        return [(r["pre_delay_ms"], r["timer_ms"], r["queued_behind"], r["breath_group"]) for r in rows], {r["highlight"] for r in rows}
+
+    # a beat before "Two", none before its continuation, and the silent paragraph leaves its pause to the next
+    assert plan() == ([(0, 0, 0, 0), (0, 220, 0, 1), (0, 0, 1, 1), (0, 460, 0, 2)], {"word"})
+    assert plan(supports_boundaries=False, supports_queueing=False) == ([(0, 0, 0, 0), (0, 220, 0, 1), (0, 0, 0, 2), (0, 460, 0, 3)], {"unit"})
+    assert plan(honours_delays=True) == ([(0, 0, 0, 0), (220, 0, 1, 0), (0, 0, 2, 0), (460, 0, 3, 0)], {"word"})
+    assert plan(supports_queueing=False, honours_delays=True)[0] == plan(supports_queueing=False)[0]
+
+
+def test_page_scan(spark):
+    runs = spark.createDataFrame([(1, 1, 0, "Reeds", 10.0, 40.0, 700.0, 10.0), (1, 1, 1, None, 0.0, 0.0, 0.0, 1.0), (1, 1, 2, "bend", 44.0, 60.0, 700.0, 10.0), (1, 9, 0, "off", 1.0, 2.0, 3.0, 4.0)], "doc_id long, page int, seq int, text string, x0 double, x1 double, y double, font_size double")
+    pages = spark.createDataFrame([(1, 1, 612.0, 792.0), (1, 2, 595.0, 842.0), (2, 1, 100.0, 100.0)], "doc_id long, page int, width double, height double")
+    made = K.scan(runs, pages, spark.createDataFrame([(1, " The Bend \n", " \t"), (3, "x", "y")], "doc_id long, title string, author string"))
+    assert [(r["page"], r["text"], r["x1"]) for r in made["lines"].collect()] == [(1, "Reeds bend", 60.0)]
+    assert sorted(map(tuple, made["about"].collect())) == [(1, "The Bend", None, 2), (2, "", None, 1)]
+    assert made["pages"].count() == 3
