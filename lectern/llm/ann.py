@@ -132,6 +132,11 @@ def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near one: cosines stay the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None]) if x.size else x
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for each query by cosine, nearest first.
 
@@ -152,7 +157,7 @@ def search_dimension(vectors: DataFrame, queries: DataFrame, k: int, dim: int, n
     known = usable(vectors).where(F.col("dim") == dim).select("vec_id", "x")
     asked = usable(queries).where(F.col("dim") == dim).select("vec_id", "x").distinct()
     sample = known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toArrow()["x"].to_pylist()
-    fitted = fit(np.array(sample, np.float64), n_rows, k)
+    fitted = fit(scaled(np.array(sample, np.float64)), n_rows, k)
     sent = vectors.sparkSession.sparkContext.broadcast(fitted)
     row_blocks, query_blocks = (max(1, -(-n * 8 * dim // size)) for n, size in ((n_rows, ROW_BYTES), (asked.count(), QUERY_BYTES)))
 
@@ -162,11 +167,13 @@ def search_dimension(vectors: DataFrame, queries: DataFrame, k: int, dim: int, n
         if len(rows) and len(questions):
             ids, x = matrix(rows)
             by = np.argsort(ids, kind="stable")
-            ids, x = ids[by], x[by]
+            ids, x = ids[by], scaled(x[by])
             size = np.sqrt((x * x).sum(axis=1))
             index = Index(encode(x, turn), width)
             asked_ids, q = matrix(questions)
-            for query, v, code in zip(asked_ids.tolist(), q, encode(q, turn)):
+            named = [xxhash.xxh64_intdigest(v.tobytes()) >> 1 for v in q]
+            q = scaled(q)
+            for query, name, v, code in zip(asked_ids.tolist(), named, q, encode(q, turn)):
                 at = index.within(code, radius)
                 at = at[ids[at] != query]
                 if len(at) < k:
@@ -174,7 +181,7 @@ def search_dimension(vectors: DataFrame, queries: DataFrame, k: int, dim: int, n
                     at = np.sort(other[np.argsort(distances(index.codes[other], code), kind="stable")[:k]])
                 score = (x[at] * v).sum(axis=1) / (size[at] * np.sqrt((v * v).sum()))
                 top = np.argsort(-score, kind="stable")[:k]
-                out.append((np.full(len(top), xxhash.xxh64_intdigest(v.tobytes()) >> 1), np.full(len(top), query), ids[at[top]], score[top]))
+                out.append((np.full(len(top), name), np.full(len(top), query), ids[at[top]], score[top]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], ["question", "query_id", "vec_id", "score"])
 
     left = known.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(row_blocks)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "vec_id", "x")
