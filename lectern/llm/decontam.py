@@ -58,24 +58,30 @@ def meetings(docs: DataFrame, windows: DataFrame, size: int = WINDOW) -> DataFra
     Columns: row, doc_id, text_key, n_words, start, len, items. Up to BROADCAST_WINDOWS windows are sent to the tasks;
     beyond, document words travel to their anchors with the words around them.
     """
-    closing = [F.lit(END if f.name == "anchor" else None).cast(f.dataType).alias(f.name) for f in windows.schema]
-    anchors = windows.union(windows.sparkSession.range(1).select(*closing))
     few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
     counted = split.select("row", "doc_id", "text_key", count_of(F.col("w")).alias("n_words"), "w", (F.size("w")).alias("n"))
-    dealt = counted.select("*", F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("pos", "word"))
     if few:
+        closing = [F.lit(END if f.name == "anchor" else None).cast(f.dataType).alias(f.name) for f in windows.schema]
+        anchors = windows.union(windows.sparkSession.range(1).select(*closing))
+        dealt = counted.select("*", F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("pos", "word"))
         met = dealt.join(F.broadcast(anchors), F.lower("word") == F.col("anchor"))
         here, origin = F.col("w"), F.lit(0)
     else:
+        # rows are numbered once, and the row without a start comes beside the join: joined to END all of them would meet
+        counted = cut(counted)
         lead = F.greatest(F.col("pos") - size + 1, F.lit(0))
-        near = dealt.withColumn("origin", lead).withColumn("w", F.slice("w", lead + 1, F.lit(2 * size - 1)))
-        met = near.join(anchors, F.lower("word") == F.col("anchor"))
+        near = counted.select("*", F.posexplode("w").alias("pos", "word")).withColumn("origin", lead).withColumn("w", F.slice("w", lead + 1, F.lit(2 * size - 1)))
+        met = near.join(windows, F.lower("word") == F.col("anchor"))
         here, origin = F.col("w"), F.col("origin")
     start = F.col("pos") - F.col("place")
     fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
     found = F.when(fits, lower_ascii(F.array_join(F.slice(here, start - origin + 1, F.col("len")), " ")) == F.col("window"))
-    return met.where((F.col("word") == END) | F.coalesce(found, F.lit(False))).select("row", "doc_id", "text_key", "n_words", F.when(F.col("word") != END, start).alias("start"), "len", "items")
+    places = met.where((F.col("word") == END) | F.coalesce(found, F.lit(False))).select("row", "doc_id", "text_key", "n_words", F.when(F.col("word") != END, start).alias("start"), "len", "items")
+    if few:
+        return places
+    nowhere = [F.lit(None).cast(places.schema[c].dataType).alias(c) for c in ("start", "len", "items")]
+    return places.unionByName(counted.select("row", "doc_id", "text_key", "n_words", *nowhere))
 
 
 def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
