@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from lectern.operators import glyphs as G
 from lectern.operators import layout as L
 from lectern.operators import outline as O
@@ -65,9 +63,9 @@ def test_random_pages_equal_the_rule(spark):
 
 def test_lines_of_boxes_equal_lines_of_words(spark):
     columns = ["doc_id", "page", "line_no", "text", "x0", "x1", "y", "font_size"]
-    one = L.group_lines(G.text_runs(A.glyph_boxes(spark, SMALL))).select(*columns)
-    two = L.group_lines(A.glyph_runs(spark, SMALL)).select(*columns)
-    assert one.exceptAll(two).count() == 0 and one.count() == two.count() > 1000
+    one = L.group_lines(G.text_runs(A.glyph_boxes(spark, SMALL).where("doc_id < 25"))).select(*columns).collect()
+    two = L.group_lines(A.glyph_runs(spark, SMALL).where("doc_id < 25")).select(*columns).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and len(one) > 300
 
 
 def test_no_boxes(spark):
@@ -94,6 +92,6 @@ def test_random_outlines_equal_recursion(spark):
                 yield (title.strip(), level)
             yield from walk(d, node, level + 1)
 
-    got = O.walk_outline(spark.createDataFrame(nodes, "doc_id long, node int, parent int, place int, title string, page int"))
-    for d in range(20):
-        assert [tuple(r) for r in got.where(F.col("doc_id") == d).orderBy("seq").select("title", "level").collect()] == list(walk(d, None, 0))
+    made = O.walk_outline(spark.createDataFrame(nodes, "doc_id long, node int, parent int, place int, title string, page int"))
+    got = [tuple(r) for r in made.orderBy("doc_id", "seq").select("doc_id", "title", "level").collect()]
+    assert got == [(d, *entry) for d in range(20) for entry in walk(d, None, 0)]

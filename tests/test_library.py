@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import storage as S
 from lectern.operators import chunks as C
 from lectern.operators import layout as L
 from lectern.operators import library as B
@@ -107,7 +108,8 @@ def test_gutters_equal_counting_every_candidate(spark):
 
 
 def test_page_ingest_reads_its_lines_once_for_all_outputs(spark):
-    lines, pages = A.stored_typeset(spark, SMALL)
+    lines = S.stored(A.typeset(spark, SMALL)[0].where("doc_id < 30"))
+    pages = A.pages_of(lines)
     made = ingest.ingest_pages(lines, pages)
     for name in ("books", "chunks", "chapters", "stats", "paragraphs"):
         assert not any("documents.parquet" in f for f in made[name].inputFiles())
