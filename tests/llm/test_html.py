@@ -2,7 +2,6 @@
 
 import itertools
 import math
-import random
 import re
 from html import unescape
 
@@ -145,6 +144,6 @@ def test_awkward_rows(spark, field):
     assert html.extract(table, nothing).where("text <> ''").count() == 0
 
 
-def test_repeatable(spark, field):
-    again = html.train(html_samples.labelled_pages(spark).orderBy(random.choice(["html"])))
-    assert again.weights == field.weights and again.steps == field.steps
+def test_repeatable(spark):
+    one, two = (html.train(rows) for rows in (html_samples.labelled_pages(spark, 60), html_samples.labelled_pages(spark, 60).orderBy("html")))
+    assert one.weights == two.weights and one.steps == two.steps and len(one.weights) > 50
