@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,9 +14,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 ACTIONS = {"view": "play", "click": "seek", "purchase": "pause", "error": "stop", "signup": "resume"}
 #: How long after a later event an event may still come, and the span whose events of one book are put in order at once.
 LATE, SPAN_MS = "1 minute", 86_400_000
+#: Rows of one key that wait in one list.
+FEW = 2000
 PLAYER = "event_id long, book_id long, status string, chunk_idx int"
-BEATS = "doc_id long, chunk_idx int, unit int, pause_ms int, starts_at timestamp"
-#: Later than any event, and a time that pandas can hold.
+BEATS = "doc_id long, chunk_idx int, unit int, pause_ms int, starts_ms long"
+#: Later than any event.
 END = "2200-01-01 00:00:00"
 
 
@@ -47,49 +49,81 @@ def player_states(events: DataFrame) -> DataFrame:
 class Waiting(StatefulProcessor):
     """Rows of one key that wait in the state until their time has come, and are then taken in order.
 
-    waiting maps a time to its rows and a timer stands at each such time; timers fire in the order of time once the
-    watermark has passed them, so a batch hands on what is due and holds one span of one key at a time, however many
-    rows a key has. Rows are tuples that begin with what orders them inside their span.
+    Up to few rows of a key wait in one list with one timer at the earliest time, so that a key with some rows costs a
+    few calls a batch however many spans they fall into. What is beyond waits by span: waiting maps a time to its rows
+    and a timer stands at each such time; then one span of one key is held at a time, however many rows a key has.
+    Timers fire in the order of time once the watermark has passed them. Rows are tuples that begin with what orders
+    them inside their span.
     """
 
-    ROW, OUT = "", ""
+    ROW = ""
+
+    def __init__(self, few: int = FEW) -> None:
+        self.most = few
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.few = handle.getListState("few", self.ROW)
+        self.count = handle.getValueState("count", "rows int, next long")
         self.waiting = handle.getMapState("waiting", "due long", f"rows array<struct<{self.ROW}>>")
 
-    def time(self, rows: pd.DataFrame) -> pd.Series:
-        """When the rows came about, in milliseconds; what the watermark has passed by then is dropped."""
+    def time(self, row: tuple) -> int | None:
+        """When the row came about, in milliseconds; what the watermark has passed by then is dropped."""
         raise NotImplementedError
 
-    def due(self, rows: pd.DataFrame) -> pd.Series:
+    def due(self, row: tuple) -> int | None:
         raise NotImplementedError
 
-    def release(self, key: tuple, due: int, rows: list[tuple]) -> pd.DataFrame:
+    def release(self, key: tuple, rows: list[tuple]) -> Iterator[Row]:
         raise NotImplementedError
 
-    def nothing(self) -> pd.DataFrame:
-        kinds = {"long": "int64", "int": "int32", "timestamp": "datetime64[us]"}
-        return pd.DataFrame({n: pd.Series([], dtype=kinds.get(t, "object")) for n, t in (c.split(" ") for c in self.OUT.split(", "))})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         names = [c.split(" ")[0] for c in self.ROW.split(", ")]
         passed = timerValues.getCurrentWatermarkInMs()
-        for batch in rows:
-            batch = batch[self.time(batch) >= passed]
-            for due, part in batch.groupby(self.due(batch)):
-                due = int(due)
-                held = [tuple(r) for r in self.waiting.getValue((due,))[0]] if self.waiting.containsKey((due,)) else []
-                new = [tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in part[names].itertuples(index=False, name=None)]
-                self.waiting.updateValue((due,), (held + new,))
+        dated = ((self.due(row), row) for row in (tuple(r[n] for n in names) for r in rows) if self.time(row) is not None and self.time(row) >= passed)
+        came = (x for x in dated if x[0] is not None)
+        held, earliest = self.count.get() if self.count.exists() else (0, None)
+        new = list(itertools.islice(came, self.most - held))
+        more = list(itertools.islice(came, self.most))
+        if new:
+            first = min(due for due, _ in new)
+            self.few.appendList([row for _, row in new])
+            if earliest is None or first < earliest:
+                self.handle.registerTimer(first)
+                earliest = first
+            self.count.update((held + len(new), earliest))
+        if more or self.waiting.exists():  # beside spans, every time in the list has a timer of its own
+            for due in {self.due(tuple(r)) for r in self.few.get()}:
+                self.handle.registerTimer(due)
+        while more:
+            for due, part in itertools.groupby(sorted(more, key=lambda x: x[0]), lambda x: x[0]):
+                old = [tuple(r) for r in self.waiting.getValue((due,))[0]] if self.waiting.containsKey((due,)) else []
+                self.waiting.updateValue((due,), (old + [row for _, row in part],))
                 self.handle.registerTimer(due)
-        yield self.nothing()
+            more = list(itertools.islice(came, self.most))
+        return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """The rows up to this time; where none waits by span, all that the watermark has passed."""
         due = expiredTimerInfo.getExpiryTimeInMs()
-        rows = [tuple(r) for r in self.waiting.getValue((due,))[0]]
-        self.waiting.removeKey((due,))
-        yield self.release(key, due, sorted(rows, key=lambda r: r[:2]))
+        spans = self.waiting.exists()
+        past = due if spans else max(due, timerValues.getCurrentWatermarkInMs())
+        ready = []
+        if self.count.exists() and self.count.get()[1] <= past:
+            held = [tuple(r) for r in self.few.get()]
+            ready, left = [r for r in held if self.due(r) <= past], [r for r in held if self.due(r) > past]
+            if left:
+                following = min(map(self.due, left))
+                self.few.put(left)
+                self.count.update((len(left), following))
+                self.handle.registerTimer(following)
+            else:
+                self.few.clear()
+                self.count.clear()
+        if spans and self.waiting.containsKey((due,)):
+            ready += [tuple(r) for r in self.waiting.getValue((due,))[0]]
+            self.waiting.removeKey((due,))
+        return self.release(key, sorted(ready, key=lambda r: (self.due(r), *r[:2]))) if ready else iter([])
 
     def close(self) -> None:
         pass
@@ -104,13 +138,13 @@ class Player(Waiting):
         super().init(handle)
         self.now = handle.getValueState("now", "status string, chunk_idx int")
 
-    def time(self, rows: pd.DataFrame) -> pd.Series:
-        return rows["at"] // 1000
+    def time(self, row: tuple) -> int | None:
+        return None if row[0] is None else row[0] // 1000
 
-    def due(self, rows: pd.DataFrame) -> pd.Series:
-        return (rows["at"] // 1000 // SPAN_MS + 1) * SPAN_MS
+    def due(self, row: tuple) -> int:
+        return (row[0] // 1000 // SPAN_MS + 1) * SPAN_MS
 
-    def release(self, key: tuple, due: int, rows: list[tuple]) -> pd.DataFrame:
+    def release(self, key: tuple, rows: list[tuple]) -> Iterator[Row]:
         status, at = self.now.get() if self.now.exists() else ("idle", 0)
         out = []
         for _, event, action, chunk in rows:
@@ -123,10 +157,10 @@ class Player(Waiting):
             elif action == "resume" and status == "paused":
                 status = "playing"
             if action in ("play", "seek"):
-                at = int(chunk)
-            out.append((event, key[0], status, at))
+                at = chunk
+            out.append(Row(event_id=event, book_id=key[0], status=status, chunk_idx=at))
         self.now.update((status, at))
-        return pd.DataFrame(out, columns=list(self.nothing())).astype({"chunk_idx": "int32"})
+        return iter(out)
 
 
 class Beats(Waiting):
@@ -134,36 +168,37 @@ class Beats(Waiting):
 
     ROW, OUT = "chunk_idx int, unit int, pause_ms int, asked_ms long", BEATS
 
-    def time(self, rows: pd.DataFrame) -> pd.Series:
-        return rows["asked_ms"]
+    def time(self, row: tuple) -> int | None:
+        return row[3]
 
-    def due(self, rows: pd.DataFrame) -> pd.Series:
-        return rows["asked_ms"] + rows["pause_ms"]
+    def due(self, row: tuple) -> int | None:
+        return None if row[2] is None else row[3] + row[2]
 
-    def release(self, key: tuple, due: int, rows: list[tuple]) -> pd.DataFrame:
-        out = [(key[0], chunk, unit, due - asked, pd.Timestamp(due, unit="ms")) for chunk, unit, _, asked in rows]
-        return pd.DataFrame(out, columns=list(self.nothing())).astype({"chunk_idx": "int32", "unit": "int32", "pause_ms": "int32"})
+    def release(self, key: tuple, rows: list[tuple]) -> Iterator[Row]:
+        for chunk, unit, pause, asked in rows:
+            yield Row(doc_id=key[0], chunk_idx=chunk, unit=unit, pause_ms=pause, starts_ms=asked + pause)
 
 
 def _with_timers(rows: DataFrame, key: str, processor: Waiting) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy(key).transformWithStateInPandas(processor, processor.OUT, "append", "EventTime").where(F.col(key).isNotNull())
+    return rows.groupBy(key).transformWithState(processor, processor.OUT, "append", "EventTime").where(F.col(key).isNotNull())
 
 
-def player_stream(events: DataFrame, late: str = LATE) -> DataFrame:
+def player_stream(events: DataFrame, late: str = LATE, few: int = FEW) -> DataFrame:
     """player_states for a stream: an event is answered once no earlier one can come, those later than late are dropped.
 
     The last events of a stream that ends wait for a later one; in_time_order closes a table's with one. A null book_id
     has no player.
     """
     keyed = with_action(events).select("book_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action", "chunk_idx").withWatermark("ts", late)
-    return _with_timers(keyed.withColumn("at", F.unix_micros("ts")), "book_id", Player())
+    return _with_timers(keyed.withColumn("at", F.unix_micros("ts")), "book_id", Player(few))
 
 
-def beats_stream(units: DataFrame, late: str = LATE) -> DataFrame:
+def beats_stream(units: DataFrame, late: str = LATE, few: int = FEW) -> DataFrame:
     """units (doc_id, chunk_idx, unit, pause_ms, ts), each asked for at ts, as they start: a timer counts each one's silence."""
     asked = units.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return _with_timers(asked.withColumn("asked_ms", F.unix_millis("ts")), "doc_id", Beats())
+    started = _with_timers(asked.withColumn("asked_ms", F.unix_millis("ts")), "doc_id", Beats(few))
+    return started.select("doc_id", "chunk_idx", "unit", "pause_ms", F.timestamp_millis("starts_ms").alias("starts_at"))
 
 
 def in_time_order(rows: DataFrame, folder: str, files: int = 3) -> DataFrame:

@@ -31,6 +31,37 @@ def test_player_over_batches_equals_the_table(spark, tmp_path, monkeypatch):
     assert len(batches) > 2
 
 
+@pytest.mark.parametrize("few", [3, 50])
+def test_a_book_of_many_events_waits_by_span(spark, tmp_path, few):
+    table = spark.createDataFrame(events(300, 7), EVENT)
+    found = P.drain(P.player_stream(P.in_time_order(table, str(tmp_path / "in"), 3), few=few), str(tmp_path / "out"), "append")
+    assert rows(found, "event_id", "book_id", "status", "chunk_idx") == rows(P.player_states(table), "event_id", "book_id", "status", "chunk_idx")
+
+
+def test_waiting_rows_of_a_book_cost_few_calls(monkeypatch):
+    """60 events on 30 days: one timer and one append, however many spans they fall into."""
+    calls = []
+
+    class State:
+        def __init__(self, *_):
+            self.held = None
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (False if name in ("exists", "containsKey") else None)
+
+    class Handle(State):
+        getListState = getMapState = getValueState = State
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    player = P.Player()
+    player.init(Handle())
+    came = [{"at": (d * P.SPAN_MS + k) * 1000, "event_id": 2 * d + k, "action": "play", "chunk_idx": 1} for d in range(1, 31) for k in range(2)]
+    assert list(player.handleInputRows((1,), iter(came), Times())) == []
+    assert calls.count("registerTimer") == 1 and calls.count("appendList") == 1 and len(calls) < 8
+
+
 def test_late_events_are_dropped_and_open_ones_wait(spark, tmp_path):
     folder, at = str(tmp_path / "in"), lambda m: START + dt.timedelta(minutes=m)
     for part in ([(1, 4, at(0), 1, "view")], [(1, 5, at(5000), 2, "click")], [(1, 6, at(1), 3, "click"), (1, 7, at(5001), 4, "error")]):
