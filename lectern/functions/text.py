@@ -63,10 +63,19 @@ def _ends_sentence(word: Column, following: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """The sentences of a squashed text: each word decides from itself and the next one whether it ends a sentence."""
-    words = F.split(text, " ")
-    marked = F.transform(words, lambda w, i: F.when(_ends_sentence(w, F.get(words, i + 1)), F.concat(w, F.lit("\u0001"))).otherwise(w))
-    return F.filter(F.split(F.array_join(marked, " "), "\u0001 ?"), lambda s: s != "")
+    """The sentences of a squashed text.
+
+    It is cut behind every word that ends in a mark or a closer; of such a part the last word and the next part's first
+    one decide whether a sentence ends there. The parts are bound to a name, so that the text is cut once and not again
+    for each word.
+    """
+    last, first = (lambda s: F.substring_index(s, " ", -1)), (lambda s: F.substring_index(s, " ", 1))
+
+    def marked(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda s, i: F.when(_ends_sentence(last(s), first(F.get(parts, i + 1))), F.concat(s, F.lit("\u0001"))).otherwise(s)), " ")
+
+    bound = F.transform(F.array(F.split(text, f"(?<=[.!?]|{CLOSERS}) ")), marked)
+    return F.filter(F.split(bound[0], "\u0001 ?"), lambda s: s != "")
 
 
 def packed(pieces: Column, limit: int) -> Column:

@@ -29,11 +29,16 @@ class Provider:
 def units(chunked: DataFrame, *carried: str) -> DataFrame:
     """doc_id, chunk_idx, unit, text, token_start, token_count, ends_sentence: the sentences of each chunk, with the
     chunk's columns named in carried."""
-    cut = chunked.select("doc_id", F.col("idx").alias("chunk_idx"), *carried, F.posexplode(T.sentences(T.squash(F.col("text")))).alias("unit", "text"))
-    counted = cut.withColumn("token_count", T.count_words(F.col("text"))).where("token_count > 0")
-    before = Window.partitionBy("doc_id", "chunk_idx").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("token_count").over(before), F.lit(0)).cast("int")
-    return counted.select("doc_id", "chunk_idx", "unit", "text", start.alias("token_start"), "token_count", F.col("text").rlike(UNIT_END).alias("ends_sentence"), *carried)
+    found = F.transform(T.sentences(T.squash(F.col("text"))), lambda t, i: F.struct(i.alias("unit"), t.alias("text"), T.count_words(t).alias("token_count")))
+    start = F.struct(F.array().cast("array<struct<unit:int,text:string,token_start:int,token_count:int>>").alias("out"), F.lit(0).alias("words"))
+
+    def add(s: Column, x: Column) -> Column:
+        row = F.struct(x["unit"].alias("unit"), x["text"].alias("text"), s["words"].alias("token_start"), x["token_count"].alias("token_count"))
+        return F.struct(F.concat(s["out"], F.array(row)).alias("out"), (s["words"] + x["token_count"]).alias("words"))
+
+    placed = F.aggregate(F.filter(found, lambda x: x["token_count"] > 0), start, add, lambda s: s["out"])
+    cut = chunked.select("doc_id", F.col("idx").alias("chunk_idx"), *carried, F.explode(placed).alias("u"))
+    return cut.select("doc_id", "chunk_idx", "u.unit", "u.text", "u.token_start", "u.token_count", F.col("u.text").rlike(UNIT_END).alias("ends_sentence"), *carried)
 
 
 def structural_pauses(chunked: DataFrame) -> DataFrame:
