@@ -52,12 +52,19 @@ def group_lines(runs: DataFrame) -> DataFrame:
     return cut.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("n")) - 1).drop("n")
 
 
+def _weight() -> Column:
+    return F.greatest(F.lit(1), F.floor(F.length("text") / 10 + 0.5))
+
+
+def _median_size(sizes: DataFrame) -> DataFrame:
+    """sizes (doc_id, font_size, w, of a size one row or several) with c, the weight up to a row's size, and all."""
+    along = Window.partitionBy("doc_id").orderBy("font_size")
+    return sizes.withColumn("c", F.sum("w").over(along)).withColumn("all", F.sum("w").over(Window.partitionBy("doc_id")))
+
+
 def body_size(lines: DataFrame) -> DataFrame:
     """doc_id, body: the upper median font size, each line weighted by its length."""
-    weight = F.greatest(F.lit(1), F.floor(F.length("text") / 10 + 0.5))
-    sizes = lines.groupBy("doc_id", "font_size").agg(F.sum(weight).alias("w"))
-    along = Window.partitionBy("doc_id").orderBy("font_size")
-    run = sizes.withColumn("c", F.sum("w").over(along)).withColumn("all", F.sum("w").over(Window.partitionBy("doc_id")))
+    run = _median_size(lines.groupBy("doc_id", "font_size").agg(F.sum(_weight()).alias("w")))
     return run.where(F.col("c") > F.floor(F.col("all") / 2)).groupBy("doc_id").agg(F.min("font_size").alias("body"))
 
 
@@ -69,22 +76,40 @@ def in_margin() -> Column:
     return (F.col("y") > F.col("height") * TOP) | (F.col("y") < F.col("height") * BOTTOM)
 
 
+def _least_pages(n: Column) -> Column:
+    """On how many of n pages a margin text must stand to count as repeated."""
+    return F.when(n <= 4, 2).otherwise(F.greatest(F.lit(3), F.ceil(n * 0.25)))
+
+
 def repeated_margins(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, key: margin texts, digits masked, on enough of a document's pages."""
     key = margin_key(F.col("text"))
-    keys = lines.join(pages.select("doc_id", "page", "height"), ["doc_id", "page"]).where(in_margin()).select("doc_id", "page", key.alias("key")).where("key <> ''").distinct()
+    keys = lines.join(pages.select("doc_id", "page", "height").hint("shuffle_hash"), ["doc_id", "page"]).where(in_margin()).select("doc_id", "page", key.alias("key")).where("key <> ''").distinct()
     n = pages.groupBy("doc_id").agg(F.count("*").alias("n"))
-    least = F.when(F.col("n") <= 4, 2).otherwise(F.greatest(F.lit(3), F.ceil(F.col("n") * 0.25)))
-    return keys.groupBy("doc_id", "key").count().join(n, "doc_id").where(F.col("count") >= least).select("doc_id", "key")
+    return keys.groupBy("doc_id", "key").count().join(n, "doc_id").where(F.col("count") >= _least_pages(F.col("n"))).select("doc_id", "key")
+
+
+def _judgement(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, body and keys, the repeated margins of a document, from one reading of its lines.
+
+    Lines shrink first to a row for each page, size and margin text, and only those rows are sorted.
+    """
+    n = pages.groupBy("doc_id").agg(F.count("*").alias("n")).hint("shuffle_hash")
+    key = F.nullif(F.when(in_margin(), margin_key(F.col("text"))), F.lit(""))
+    met = lines.join(pages.hint("shuffle_hash"), ["doc_id", "page"], "left").select("doc_id", "page", "font_size", key.alias("key"), _weight().alias("w"))
+    few = met.groupBy("doc_id", "page", "font_size", "key").agg(F.sum("w").alias("w")).join(n, "doc_id", "left")
+    first = F.row_number().over(Window.partitionBy("doc_id", "key", "page").orderBy("font_size")) == 1
+    seen = few.withColumn("first", first.cast("int")).withColumn("on", F.sum("first").over(Window.partitionBy("doc_id", "key")))
+    body = F.min(F.when(F.col("c") > F.floor(F.col("all") / 2), F.col("font_size")))
+    return _median_size(seen).groupBy("doc_id").agg(body.alias("body"), F.collect_set(F.when(F.col("on") >= _least_pages(F.col("n")), F.col("key"))).alias("keys"))
 
 
 def classify(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """lines with width, height, body and drop: margin, footnote or null; margins are judged first."""
-    marked = repeated_margins(lines, pages).withColumn("repeats", F.lit(True))
-    met = lines.join(pages, ["doc_id", "page"]).withColumn("key", margin_key(F.col("text"))).join(marked, ["doc_id", "key"], "left").join(body_size(lines), "doc_id", "left")
-    noise = in_margin() & (F.col("text").rlike(PAGE_NUMBER) | F.col("repeats").isNotNull())
+    met = lines.join(pages.hint("shuffle_hash"), ["doc_id", "page"]).join(_judgement(lines, pages).hint("shuffle_hash"), "doc_id", "left")
+    noise = in_margin() & (F.col("text").rlike(PAGE_NUMBER) | F.array_contains("keys", margin_key(F.col("text"))))
     small = (F.col("font_size") <= F.col("body") * FOOTNOTE_SIZE) & (F.col("y") < F.col("height") * FOOTNOTE_ZONE)
-    return met.withColumn("drop", F.when(noise, "margin").when(small, "footnote")).drop("key", "repeats")
+    return met.withColumn("drop", F.when(noise, "margin").when(small, "footnote")).drop("keys")
 
 
 def gutters(lines: DataFrame) -> DataFrame:
@@ -127,7 +152,7 @@ def reading_order(lines: DataFrame) -> DataFrame:
 
     Bands are runs of lines that span the gutter or do not; in a band of columns the left one comes first.
     """
-    met = lines.join(gutters(lines), ["doc_id", "page"], "left")
+    met = lines.join(gutters(lines).hint("shuffle_hash"), ["doc_id", "page"], "left")
     span = F.coalesce((F.col("x0") < F.col("gutter")) & (F.col("x1") > F.col("gutter")), F.lit(False))
     down = Window.partitionBy("doc_id", "page").orderBy(F.desc("y"), "x0", "line_no")
     rows = met.withColumn("spanning", span).withColumn("turn", F.coalesce((F.col("spanning") != F.lag("spanning").over(down)).cast("int"), F.lit(0)))
@@ -159,7 +184,7 @@ def paragraphs(lines: DataFrame, pages: DataFrame) -> DataFrame:
 def assembled(ordered: DataFrame) -> DataFrame:
     """The paragraphs of arranged lines. They are read twice; a plan that stores them first computes them once."""
     block = Window.partitionBy("doc_id", "page", "band", "col")
-    rows = ordered.join(block_gaps(ordered), ["doc_id", "page", "band", "col"]).withColumn("left", F.min("x0").over(block)).withColumn("right", F.max("x1").over(block))
+    rows = ordered.join(block_gaps(ordered).hint("shuffle_hash"), ["doc_id", "page", "band", "col"]).withColumn("left", F.min("x0").over(block)).withColumn("right", F.max("x1").over(block))
     rows = rows.withColumn("w", F.greatest(F.col("right") - F.col("left"), F.lit(1.0))).withColumn("i", F.row_number().over(block.orderBy("pos")) - 1)
     big = (F.col("font_size") >= F.col("body") * HEADING_SIZE) & (F.col("x1") - F.col("x0") < F.col("page_width") * HEADING_WIDTH) & ~F.col("text").rlike(LINE_END)
     rows = rows.withColumn("heading", (F.length("text") <= HEADING_CHARS) & (F.col("text").rlike(HEADING_WORDS) | big))

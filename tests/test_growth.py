@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import layout as L
 from lectern.operators import schedule as N
 from lectern.sources import adapters as A
 
@@ -28,3 +29,11 @@ def test_units_and_lines_need_no_window(spark):
 def test_listed_pages_are_those_that_hold_a_line(spark):
     lines, pages = A.typeset(spark, SMALL)
     assert sorted(map(tuple, pages.collect())) == sorted(map(tuple, A.pages_of(lines).collect()))
+
+
+def test_lines_are_read_once_to_judge_their_document(spark):
+    lines, pages = A.typeset(spark, SMALL)
+    assert plan(L.classify(lines, pages)).count("Relation [") <= 5
+    judged = {r["doc_id"]: r for r in L._judgement(lines, pages).collect()}
+    assert {d: r["body"] for d, r in judged.items()} == {r["doc_id"]: r["body"] for r in L.body_size(lines).collect()}
+    assert {(d, k) for d, r in judged.items() for k in r["keys"]} == set(map(tuple, L.repeated_margins(lines, pages).collect()))
