@@ -2,57 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
 # How far from a run's first baseline, in its height, a box may stand; how far it may step back and ahead,
-# in its own height; the size of a run that has none.
-BASELINE, LEAST_BASELINE, BACK, AHEAD, SIZE = 0.4, 1.0, 0.5, 0.6, 10.0
+# in its own height.
+BASELINE, LEAST_BASELINE, BACK, AHEAD = 0.4, 1.0, 0.5, 0.6
+#: A box's extent; the texts that are white space.
+BOX = ("x0", "x1", "y", "height")
+BLANK = re.compile(f"{T.SPACE}*", re.ASCII)
 
 
 def text_runs(boxes: DataFrame) -> DataFrame:
-    """boxes (doc_id, page, seq, text, x0, x1, y, height, font_size) to runs (doc_id, page, seq, text, x0, x1, y, font_size).
+    """boxes (doc_id, page, seq, text, x0, x1, y, height, font_size), one row each, to the runs of page_runs.
+
+    Pages are packed first, which sorts a row for each character; a source that has its boxes page by page gives them
+    to page_runs as they are.
+    """
+    box = F.struct("seq", "text", *[F.col(c).cast("double").alias(c) for c in BOX], F.coalesce(F.col("font_size").cast("double"), F.lit(0.0)).alias("font_size"))
+    return page_runs(boxes.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(box)).alias("boxes")))
+
+
+def page_runs(pages: DataFrame) -> DataFrame:
+    """pages (doc_id, page, boxes), boxes being an array of (text, x0, x1, y, height, font_size) in the order of the text,
+    to runs (doc_id, page, seq, text, x0, x1, y, font_size), without a shuffle.
 
     White space and boxes without a finite extent end a run and are dropped. Any other box goes on with the run if it
     stands on its first baseline, within the run's height so far, and next to its right edge so far. A run's size is the
-    greatest declared one, else its height. An ordered fold over each page finds where runs begin; a page holds some
-    thousands of characters.
+    greatest declared one, else its height.
     """
-    finite = lambda c: F.abs(F.coalesce(c, F.lit(float("inf")))) < float("inf")
-    usable = finite(F.col("x0")) & finite(F.col("x1")) & finite(F.col("y")) & finite(F.col("height")) & (F.col("height") > 0) & (F.col("x1") >= F.col("x0"))
-    inked = usable & F.coalesce(~F.col("text").rlike(f"^{T.SPACE}*$"), F.lit(False))
-    box = F.struct("seq", "text", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y", "height")], F.coalesce(F.col("font_size").cast("double"), F.lit(0.0)).alias("size"), inked.alias("inked"))
-    pages = boxes.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(box)).alias("b"))
-
-    zero = F.lit(0.0)
-    start = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("i"), F.lit(False).alias("open"), zero.alias("base"), zero.alias("tall"), zero.alias("right"))
-
-    def step(s: Column, x: Column) -> Column:
-        near = F.abs(x["y"] - s["base"]) <= F.greatest(F.lit(LEAST_BASELINE), s["tall"] * BASELINE)
-        goes_on = s["open"] & near & (x["x0"] >= s["right"] - x["height"] * BACK) & (x["x0"] - s["right"] < x["height"] * AHEAD)
-        fresh = x["inked"] & ~goes_on
-        return F.struct(
-            F.when(fresh, F.concat(s["begins"], F.array(s["i"]))).otherwise(s["begins"]).alias("begins"),
-            (s["i"] + 1).alias("i"),
-            x["inked"].alias("open"),
-            F.when(fresh, x["y"]).otherwise(s["base"]).alias("base"),
-            F.when(fresh, x["height"]).when(x["inked"], F.greatest(s["tall"], x["height"])).otherwise(s["tall"]).alias("tall"),
-            F.when(fresh, x["x1"]).when(x["inked"], F.greatest(s["right"], x["x1"])).otherwise(s["right"]).alias("right"),
-        )
-
-    cut = pages.select("doc_id", "page", "b", F.aggregate("b", start, step, lambda s: s["begins"]).alias("begins"))
-    part = F.transform("begins", lambda at, k: F.filter(F.slice("b", at + 1, F.coalesce(F.get("begins", k + 1), F.size("b")) - at), lambda x: x["inked"]))
-    runs = cut.select("doc_id", "page", F.posexplode(part).alias("seq", "r"))
-    declared, tall = F.array_max(F.transform("r", lambda x: x["size"])), F.array_max(F.transform("r", lambda x: x["height"]))
-    return runs.select(
-        "doc_id",
-        "page",
-        "seq",
-        F.array_join("r.text", "").alias("text"),
-        F.array_min("r.x0").alias("x0"),
-        F.array_max("r.x1").alias("x1"),
-        F.col("r")[0]["y"].alias("y"),
-        F.when(declared > 0, declared).when(tall > 0, tall).otherwise(SIZE).alias("font_size"),
-    )
+    kept = F.transform("boxes", lambda b: F.struct(b["text"].alias("text"), *[b[c].cast("double").alias(c) for c in (*BOX, "font_size")]))
+    kinds = pages.schema
+    schema = f"doc_id {kinds['doc_id'].dataType.simpleString()}, page {kinds['page'].dataType.simpleString()}, seq int, text string, x0 double, x1 double, y double, font_size double"
+    return pages.select("doc_id", "page", kept.alias("boxes")).mapInArrow(_runs_of_batches, schema)
+
+
+def _runs_of_batches(batches):
+    for batch in batches:
+        lists = batch.column("boxes")
+        boxes = lists.flatten()
+        page = pc.list_parent_indices(lists).to_numpy()
+        text = boxes.field("text")
+        x0, x1, y, tall = (pc.fill_null(boxes.field(c), np.nan).to_numpy(zero_copy_only=False) for c in BOX)
+        size = pc.fill_null(boxes.field("font_size"), 0.0).to_numpy(zero_copy_only=False)
+        words = text.dictionary_encode()
+        blank = np.array([w is None or BLANK.fullmatch(w) is not None for w in words.dictionary.to_pylist()] + [True])
+        inked = ~blank[pc.fill_null(words.indices, len(blank) - 1).to_numpy(zero_copy_only=False)]
+        inked &= np.isfinite(x0) & np.isfinite(x1) & np.isfinite(y) & np.isfinite(tall) & (tall > 0) & (x1 >= x0)
+        at = np.flatnonzero(inked)
+        page, x0, x1, y, tall, size = (c[at] for c in (page, x0, x1, y, tall, size))
+        parted = np.ones(len(at), bool)
+        parted[1:] = (np.diff(at) > 1) | (np.diff(page) > 0)
+        first = np.flatnonzero(_begins(parted, x0, x1, y, tall))
+        ends = np.append(first, len(at)).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), text.take(pa.array(at))), "")
+        of = page[first]
+        seq = np.arange(len(first)) - np.searchsorted(of, of)
+        least, most, declared, height = (f.reduceat(c, first) if len(first) else c for f, c in ((np.minimum, x0), (np.maximum, x1), (np.maximum, size), (np.maximum, tall)))
+        declared = np.where((declared > 0) | np.isnan(declared), declared, height)
+        keys = [batch.column(c).take(pa.array(of)) for c in ("doc_id", "page")]
+        yield pa.record_batch([*keys, pa.array(seq, pa.int32()), joined, *[pa.array(c, pa.float64()) for c in (least, most, y[first], declared)]], ["doc_id", "page", "seq", "text", "x0", "x1", "y", "font_size"])
+
+
+def _begins(parted, x0, x1, y, tall):
+    """Which boxes begin a run. No run goes over a parted box, so all parts advance together, a box a round, each with
+    its run's first baseline, height and right edge so far."""
+    begins = parted.copy()
+    starts = np.flatnonzero(parted)
+    lengths = np.diff(np.append(starts, len(parted)))
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    base, high, right = y[starts], tall[starts], x1[starts]
+    for k in range(1, lengths[0] if len(lengths) else 0):
+        n = np.searchsorted(-lengths, -k, "left")  # the parts that have more than k boxes
+        i = starts[:n] + k
+        b, h, r = base[:n], high[:n], right[:n]
+        near = np.abs(y[i] - b) <= np.maximum(LEAST_BASELINE, h * BASELINE)
+        fresh = ~(near & (x0[i] >= r - tall[i] * BACK) & (x0[i] - r < tall[i] * AHEAD))
+        begins[i] = fresh
+        base[:n] = np.where(fresh, y[i], b)
+        high[:n] = np.where(fresh, tall[i], np.maximum(h, tall[i]))
+        right[:n] = np.where(fresh, x1[i], np.maximum(r, x1[i]))
+    return begins

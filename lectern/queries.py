@@ -118,7 +118,7 @@ def s14_parse_voices(spark, d):
 
 @query
 def s4_glyph_runs(spark, d):
-    runs = G.text_runs(A.glyph_boxes(spark, d))
+    runs = G.page_runs(A.glyph_pages(spark, d))
     return runs.select("doc_id", "page", "seq", "text", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "y", "font_size")
 
 
