@@ -29,9 +29,21 @@ def gutter_fractions() -> list[float]:
 
 
 def group_lines(runs: DataFrame) -> DataFrame:
-    """Glyph runs (doc_id, page, seq, text, x0, x1, y, font_size) to lines (doc_id, page, line_no, text, x0, x1, y,
-    font_size): an ordered fold over each page, since a line's baseline is that of its first run."""
-    run = F.struct((-F.col("y")).alias("k"), "x0", "seq", "text", "x1", "y", "font_size")
+    """Glyph runs (doc_id, page, seq, text, x0, x1, y, font_size), one row each, to the lines of page_lines."""
+    return page_lines(packed_runs(runs))
+
+
+def packed_runs(runs: DataFrame) -> DataFrame:
+    """doc_id, page, runs: the runs of each page in one row. It sorts a row for each run; a source that has its runs
+    page by page needs none of it."""
+    run = F.struct("seq", "text", "x0", "x1", "y", "font_size")
+    return runs.where(F.length("text") > 0).groupBy("doc_id", "page").agg(F.collect_list(run).alias("runs"))
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """pages (doc_id, page, runs), runs being an array of (seq, text, x0, x1, y, font_size), to lines (doc_id, page,
+    line_no, text, x0, x1, y, font_size), without a shuffle: an ordered fold over each page, since a line's baseline is
+    that of its first run."""
     line = "struct<text:string,x0:double,x1:double,y:double,font_size:double>"
     start = F.struct(F.array().cast(f"array<{line}>").alias("out"), F.lit(None).cast(line).alias("now"), F.lit(0.0).alias("last"))
 
@@ -46,10 +58,12 @@ def group_lines(runs: DataFrame) -> DataFrame:
         out = F.when(same | now.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(now)))
         return F.struct(out.alias("out"), F.when(same, joined).otherwise(fresh).alias("now"), r["x1"].alias("last"))
 
-    pages = runs.where(F.length("text") > 0).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(run)).alias("runs"))
-    lines = F.aggregate("runs", start, add, lambda s: F.concat(s["out"], F.array(s["now"])))
-    cut = pages.select("doc_id", "page", F.posexplode(lines).alias("n", "l")).select("doc_id", "page", "n", T.squash(F.col("l.text")).alias("text"), "l.x0", "l.x1", "l.y", "l.font_size").where("text <> ''")
-    return cut.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("n")) - 1).drop("n")
+    run = lambda r: F.struct((-r["y"]).alias("k"), *[r[c].alias(c) for c in ("x0", "seq", "text", "x1", "y", "font_size")])
+    runs = F.array_sort(F.transform(F.filter("runs", lambda r: F.length(r["text"]) > 0), run))
+    lines = F.aggregate(runs, start, add, lambda s: F.concat(s["out"], F.when(s["now"].isNotNull(), F.array(s["now"])).otherwise(F.array().cast(f"array<{line}>"))))
+    clean = F.transform(lines, lambda x: F.struct(T.squash(x["text"]).alias("text"), *[x[c].alias(c) for c in ("x0", "x1", "y", "font_size")]))
+    cut = pages.select("doc_id", "page", F.posexplode(F.filter(clean, lambda x: x["text"] != "")).alias("line_no", "l"))
+    return cut.select("doc_id", "page", "line_no", "l.*")
 
 
 def _weight() -> Column:

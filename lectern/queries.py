@@ -125,7 +125,7 @@ def s4_glyph_runs(spark, d):
 # --- layout ----------------------------------------------------------------------------------------------------------
 @query
 def l1_group_lines(spark, d):
-    lines = L.group_lines(A.glyph_runs(spark, d))
+    lines = L.page_lines(A.run_pages(spark, d))
     return lines.select("doc_id", "page", F.col("line_no").cast("int").alias("line_no"), "text", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "y", "font_size")
 
 
@@ -762,7 +762,7 @@ def k7_synthesis(spark, d):
 
 @query
 def s3_page_scan(spark, d):
-    made = K.scan(A.glyph_runs(spark, d), A.typeset(spark, d)[1], A.properties(spark, d))
+    made = K.scan_pages(A.run_pages(spark, d), A.typeset(spark, d)[1], A.properties(spark, d))
     counts = made["lines"].groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
     return made["pages"].join(counts, ["doc_id", "page"], "left").na.fill(0, ["lines", "chars"]).join(made["about"], "doc_id")
 

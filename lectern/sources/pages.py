@@ -17,9 +17,15 @@ def scan(runs: DataFrame, pages: DataFrame, properties: DataFrame) -> dict[str,
     lines are the runs grouped on their pages; about has every document that has a page, with its trimmed title (empty
     where it has none), its trimmed author (null where it has none) and page_count. Runs on a page that is not listed go.
     """
+    return scan_pages(L.packed_runs(runs), pages, properties)
+
+
+def scan_pages(run_pages: DataFrame, pages: DataFrame, properties: DataFrame) -> dict[str, DataFrame]:
+    """The same where the runs come page by page: run_pages has doc_id, page and runs, an array."""
     sizes = pages.groupBy("doc_id", "page").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    items = runs.where(F.col("text").isNotNull()).join(sizes.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+    # lines, not runs, meet the listed pages, since they are smaller; a semi join would sink below the grouping of runs
+    lines = L.page_lines(run_pages).join(sizes.select("doc_id", "page").hint("shuffle_hash"), ["doc_id", "page"])
     named = properties.groupBy("doc_id").agg(F.max(T.trimmed(F.col("title"))).alias("title"), F.max(T.trimmed(F.col("author"))).alias("author"))
     counts = sizes.groupBy("doc_id").agg(F.count("*").alias("page_count"))
     about = counts.join(named, "doc_id", "left").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.nullif("author", F.lit("")).alias("author"), "page_count")
-    return {"lines": L.group_lines(items), "pages": sizes, "about": about}
+    return {"lines": lines, "pages": sizes, "about": about}

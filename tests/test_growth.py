@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from lectern import queries as Q
 from lectern.functions import text as T
+from lectern.operators import glyphs as G
 from lectern.operators import layout as L
 from lectern.operators import schedule as N
 from lectern.sources import adapters as A
@@ -37,3 +39,20 @@ def test_lines_are_read_once_to_judge_their_document(spark):
     judged = {r["doc_id"]: r for r in L._judgement(lines, pages).collect()}
     assert {d: r["body"] for d, r in judged.items()} == {r["doc_id"]: r["body"] for r in L.body_size(lines).collect()}
     assert {(d, k) for d, r in judged.items() for k in r["keys"]} == set(map(tuple, L.repeated_margins(lines, pages).collect()))
+
+
+def test_characters_and_words_are_not_sorted_to_meet_on_their_page(spark):
+    for name, most in (("s4_glyph_runs", 2), ("l1_group_lines", 3)):  # the explodes: typeset has two, the lines of a page are a third
+        assert plan(Q.REGISTRY[name](spark, SMALL)).count("Generate ") == most
+    scanned = plan(Q.REGISTRY["s3_page_scan"](spark, SMALL))
+    assert "LeftSemi" not in scanned and "Window" not in scanned
+
+
+def test_pages_of_boxes_and_runs_hold_the_rows(spark):
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=repr)
+
+    few = "doc_id < 12"
+    assert rows(G.page_runs(A.glyph_pages(spark, SMALL).where(few))) == rows(G.text_runs(A.glyph_boxes(spark, SMALL).where(few)))
+    assert rows(L.page_lines(A.run_pages(spark, SMALL).where(few))) == rows(L.group_lines(A.glyph_runs(spark, SMALL).where(few)))
+    assert G.page_runs(A.glyph_pages(spark, SMALL).where("false")).count() == 0
