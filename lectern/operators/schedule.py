@@ -76,15 +76,27 @@ def utterances(chunked: DataFrame, rate: float = 1.0, voice_id: str | None = Non
     waits timer_ms. A breath group runs as long as units are queued; up to LOOKAHEAD of it may be queued ahead.
     highlight is word where the engine reports boundaries, else unit.
     """
-    planned = unit_pauses(chunked).withColumn("speech", T.to_speech(F.col("text"))["text"])
+    return planned(spoken_units(chunked), rate, voice_id, provider)
+
+
+def spoken_units(chunked: DataFrame) -> DataFrame:
+    """doc_id, chunk_idx, unit, token_start, heading, speech, and owed, the pause before each unit that has something to
+    say: what is alike for every rate, voice and engine."""
+    units = unit_pauses(chunked).withColumn("speech", T.to_speech(F.col("text"))["text"])
     along = Window.partitionBy("doc_id").orderBy("chunk_idx", "unit")
     spoken = F.col("speech") != ""
-    grouped = planned.withColumn("grp", F.coalesce(F.sum(spoken.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    grouped = units.withColumn("grp", F.coalesce(F.sum(spoken.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = Window.partitionBy("doc_id", "grp").orderBy("chunk_idx", "unit")
     owed = grouped.withColumn("owed", F.when(F.col("grp") == 0, 0).otherwise(F.first("pause_ms").over(within))).where(spoken)
+    return owed.select("doc_id", "chunk_idx", "unit", "token_start", "heading", "speech", "owed")
+
+
+def planned(told: DataFrame, rate: float = 1.0, voice_id: str | None = None, provider: Provider = Provider()) -> DataFrame:
+    """The utterances of spoken units for one engine."""
+    along = Window.partitionBy("doc_id").orderBy("chunk_idx", "unit")
     follows = F.lag("unit").over(along).isNotNull()
     queued = follows & F.lit(provider.supports_queueing) & ((F.col("owed") == 0) | F.lit(provider.honours_delays))
-    out = owed.withColumn("queued", queued).withColumn("breath_group", F.sum((~F.col("queued")).cast("int")).over(along) - 1)
+    out = told.withColumn("queued", queued).withColumn("breath_group", F.sum((~F.col("queued")).cast("int")).over(along) - 1)
     place = F.row_number().over(Window.partitionBy("doc_id", "breath_group").orderBy("chunk_idx", "unit")) - 1
     return out.select(
         "doc_id",

@@ -769,7 +769,7 @@ def s3_page_scan(spark, d):
 
 @query
 def u1_provider_plans(spark, d):
-    chunked = S.stored(_page_chunks(spark, d))
+    told = S.stored(N.spoken_units(_page_chunks(spark, d)))
     engines = [N.Provider(), N.Provider("http", False, False), N.Provider("system", honours_delays=True), N.Provider("plain", True, False, True)]
-    plans = [N.utterances(chunked, provider=p).select(F.lit(p.id).alias("provider"), "doc_id", "chunk_idx", "unit", F.col("breath_group").cast("int").alias("breath_group"), "queued_behind", "pre_delay_ms", "timer_ms", "highlight") for p in engines]
+    plans = [N.planned(told, provider=p).select(F.lit(p.id).alias("provider"), "doc_id", "chunk_idx", "unit", F.col("breath_group").cast("int").alias("breath_group"), "queued_behind", "pre_delay_ms", "timer_ms", "highlight") for p in engines]
     return functools.reduce(DataFrame.union, plans)
