@@ -9,6 +9,8 @@ from lectern.functions import text as T
 
 #: Characters that a chunk aims at, and that a sentence may have before it is cut.
 TARGET, MOST = 320, 480
+#: Characters of a heading that make a chapter's title.
+TITLE = 120
 #: Heading chunks beyond which only those that name a chapter count.
 MANY_HEADINGS = 80
 CHAPTER_WORDS = r"(?i)^(chapter|part|section|book|appendix|prologue|epilogue|introduction|conclusion|preface|foreword)(?![A-Za-z0-9_])"
@@ -52,7 +54,7 @@ def heading_chapters(chunked: DataFrame) -> DataFrame:
     """doc_id, title, chunk_idx, page, level of heading chunks; of very many, only those that name a chapter."""
     named = F.col("text").rlike(CHAPTER_WORDS)
     marked = chunked.where("heading").withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).where((F.col("n") <= MANY_HEADINGS) | named)
-    return marked.select("doc_id", F.substring("text", 1, 120).alias("title"), F.col("idx").alias("chunk_idx"), "page", F.when(named, 0).otherwise(1).alias("level"))
+    return marked.select("doc_id", F.substring("text", 1, TITLE).alias("title"), F.col("idx").alias("chunk_idx"), "page", F.when(named, 0).otherwise(1).alias("level"))
 
 
 def outline_chapters(chunked: DataFrame, outline: DataFrame) -> DataFrame:

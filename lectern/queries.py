@@ -410,16 +410,21 @@ def q2_blocks(spark, d):
     return B.transcript_blocks(_page_chunks(spark, d)).select("doc_id", "idx", F.col("block").cast("int").alias("block"))
 
 
+def _placed_chunks(spark, d):
+    """The chunks that chapters and positions need, made once and written; of a text its start, which gives the title."""
+    return S.stored(_page_chunks(spark, d).select("doc_id", "idx", F.substring("text", 1, C.TITLE).alias("text"), "page", "heading"))
+
+
 @query
 def q3_active_chapter(spark, d):
-    chunked = _page_chunks(spark, d)
+    chunked = _placed_chunks(spark, d)
     return B.active_chapter(C.chapters(chunked), chunked.select("doc_id", F.col("idx").alias("chunk_idx")))
 
 
 @query
 def q4_chapter_step(spark, d):
-    chunked = _page_chunks(spark, d)
-    listed = C.chapters(chunked)
+    chunked = _placed_chunks(spark, d)
+    listed = S.stored(C.chapters(chunked))
     return B.chapter_step(B.active_chapter(listed, chunked.select("doc_id", F.col("idx").alias("chunk_idx"))), listed, 1)
 
 

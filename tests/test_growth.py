@@ -56,3 +56,9 @@ def test_pages_of_boxes_and_runs_hold_the_rows(spark):
     assert rows(G.page_runs(A.glyph_pages(spark, SMALL).where(few))) == rows(G.text_runs(A.glyph_boxes(spark, SMALL).where(few)))
     assert rows(L.page_lines(A.run_pages(spark, SMALL).where(few))) == rows(L.group_lines(A.glyph_runs(spark, SMALL).where(few)))
     assert G.page_runs(A.glyph_pages(spark, SMALL).where("false")).count() == 0
+
+
+def test_chunks_and_speech_are_made_once(spark):
+    for name in ("q3_active_chapter", "q4_chapter_step"):
+        assert "regexp_extract_all" not in plan(Q.REGISTRY[name](spark, SMALL))  # markup is not cut again for each reader
+    assert "lambda" not in plan(Q.REGISTRY["u1_provider_plans"](spark, SMALL))  # nor speech made again for each engine
