@@ -120,7 +120,9 @@ def _judgement(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
 def classify(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """lines with width, height, body and drop: margin, footnote or null; margins are judged first."""
-    met = lines.join(pages.hint("shuffle_hash"), ["doc_id", "page"]).join(_judgement(lines, pages).hint("shuffle_hash"), "doc_id", "left")
+    # pages get what is known of their document first, so that lines move once
+    about = pages.join(_judgement(lines, pages).hint("shuffle_hash"), "doc_id", "left")
+    met = lines.join(about.hint("shuffle_hash"), ["doc_id", "page"])
     noise = in_margin() & (F.col("text").rlike(PAGE_NUMBER) | F.array_contains("keys", margin_key(F.col("text"))))
     small = (F.col("font_size") <= F.col("body") * FOOTNOTE_SIZE) & (F.col("y") < F.col("height") * FOOTNOTE_ZONE)
     return met.withColumn("drop", F.when(noise, "margin").when(small, "footnote")).drop("keys")
@@ -181,7 +183,12 @@ def block_gaps(ordered: DataFrame) -> DataFrame:
     block = Window.partitionBy("doc_id", "page", "band", "col").orderBy("pos")
     steps = ordered.select("doc_id", "page", "band", "col", (F.lag("y").over(block) - F.col("y")).alias("d"))
     lists = steps.groupBy("doc_id", "page", "band", "col").agg(F.array_sort(F.collect_list(F.when(F.col("d") > 0, F.col("d")))).alias("g"))
-    return lists.select("doc_id", "page", "band", "col", F.coalesce(F.get("g", F.floor(F.size("g") / 2).cast("int")), F.lit(0.0)).alias("gap"))
+    return lists.select("doc_id", "page", "band", "col", _block_gap(F.col("g")).alias("gap"))
+
+
+def _block_gap(distances: Column) -> Column:
+    """The upper median of a block's sorted positive line distances, zero without any."""
+    return F.coalesce(F.get(distances, F.floor(F.size(distances) / 2).cast("int")), F.lit(0.0))
 
 
 def arranged(judged: DataFrame) -> DataFrame:
@@ -196,9 +203,11 @@ def paragraphs(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def assembled(ordered: DataFrame) -> DataFrame:
-    """The paragraphs of arranged lines. They are read twice; a plan that stores them first computes them once."""
+    """The paragraphs of arranged lines, dealt by document once: blocks and pages lie inside these parts."""
     block = Window.partitionBy("doc_id", "page", "band", "col")
-    rows = ordered.join(block_gaps(ordered).hint("shuffle_hash"), ["doc_id", "page", "band", "col"]).withColumn("left", F.min("x0").over(block)).withColumn("right", F.max("x1").over(block))
+    down = F.lag("y").over(block.orderBy("pos")) - F.col("y")
+    rows = ordered.repartition("doc_id").withColumn("d", down).withColumn("g", F.collect_list(F.when(F.col("d") > 0, F.col("d"))).over(block))
+    rows = rows.withColumn("gap", _block_gap(F.array_sort("g"))).drop("d", "g").withColumn("left", F.min("x0").over(block)).withColumn("right", F.max("x1").over(block))
     rows = rows.withColumn("w", F.greatest(F.col("right") - F.col("left"), F.lit(1.0))).withColumn("i", F.row_number().over(block.orderBy("pos")) - 1)
     big = (F.col("font_size") >= F.col("body") * HEADING_SIZE) & (F.col("x1") - F.col("x0") < F.col("page_width") * HEADING_WIDTH) & ~F.col("text").rlike(LINE_END)
     rows = rows.withColumn("heading", (F.length("text") <= HEADING_CHARS) & (F.col("text").rlike(HEADING_WORDS) | big))

@@ -62,3 +62,9 @@ def test_chunks_and_speech_are_made_once(spark):
     for name in ("q3_active_chapter", "q4_chapter_step"):
         assert "regexp_extract_all" not in plan(Q.REGISTRY[name](spark, SMALL))  # markup is not cut again for each reader
     assert "lambda" not in plan(Q.REGISTRY["u1_provider_plans"](spark, SMALL))  # nor speech made again for each engine
+
+
+def test_arranged_lines_move_once_to_become_paragraphs(spark):
+    made = spark.createDataFrame([(1, 1, 0, "One line.", 60.0, 140.0, 700.0, 11.0, 11.0, 0, 0, False, 0, 80.0)], "doc_id long, page int, line_no int, text string, x0 double, x1 double, y double, font_size double, body double, band int, col int, spanning boolean, pos int, page_width double")
+    assert "Join" not in plan(L.assembled(made)) and plan(L.assembled(made)).count("Repartition") == 1
+    assert [(r["doc_id"], r["para"], r["text"]) for r in L.assembled(made).collect()] == [(1, 0, "One line.")]
