@@ -37,6 +37,20 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), "^ | $", "")
 
 
+#: Where white space other than single spaces may stand: strings, and the bytes that such characters begin with.
+ODD_SPACE, ODD_BYTES = ("  ", "\t", "\n", "\x0b", "\f", "\r"), ("C285", "C2A0", "E19A80", "E280", "E2819F", "E38080", "EFBBBF")
+
+
+def squash_bound(text: Column) -> Column:
+    """The same for a bound value, which is named often here: plain searches spare most texts the pattern."""
+    odd = text.startswith(" ") | text.endswith(" ")
+    for s in ODD_SPACE:
+        odd = odd | text.contains(s)
+    for b in ODD_BYTES:
+        odd = odd | F.contains(text.cast("binary"), F.expr(f"X'{b}'"))
+    return F.when(odd, squash(text)).otherwise(text)
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 

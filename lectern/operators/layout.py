@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import arrow as W
 from lectern.functions import text as T
 
 # The layout rules' thresholds.
@@ -17,6 +24,12 @@ PAGE_NUMBER = r"(?i)^(page\s+)?[ivxlcdm\d]{1,6}$"
 HEADING_WORDS = "(?i)^(chapter|part|section|appendix|prologue|epilogue)(?![A-Za-z0-9_])"
 LINE_END = "[.!?][\"')\\]]?$"
 HYPHEN = "[‐-—-]"
+# White space, and that around a text as T.squash has it: Java's end of a text may stand before a last U+0085.
+SPACES, SPACE_BEGINS, SPACE_ENDS = re.compile(f"{T.SPACE}+", re.ASCII), re.compile(f"^{T.SPACE}", re.ASCII), re.compile(f"{T.SPACE}\\Z", re.ASCII)
+SPACE_AROUND = re.compile("^ | (?=\u0085?\\Z)")
+SPACE_BYTES = np.array([SPACE_BEGINS.match(chr(b)) is not None for b in range(128)] + [False] * 128)
+#: Where white space other than single spaces between words may stand.
+ODD_SPACE = "  |^ | $| \u0085|[\t-\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def gutter_fractions() -> list[float]:
@@ -40,32 +53,165 @@ def packed_runs(runs: DataFrame) -> DataFrame:
     return runs.where(F.length("text") > 0).groupBy("doc_id", "page").agg(F.collect_list(run).alias("runs"))
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
+def page_lines(pages: DataFrame, runs: Callable[[pa.RecordBatch], dict] | None = None) -> DataFrame:
     """pages (doc_id, page, runs), runs being an array of (seq, text, x0, x1, y, font_size), to lines (doc_id, page,
-    line_no, text, x0, x1, y, font_size), without a shuffle: an ordered fold over each page, since a line's baseline is
-    that of its first run."""
-    line = "struct<text:string,x0:double,x1:double,y:double,font_size:double>"
-    start = F.struct(F.array().cast(f"array<{line}>").alias("out"), F.lit(None).cast(line).alias("now"), F.lit(0.0).alias("last"))
-
-    def add(s: Column, r: Column) -> Column:
-        now, gap = s["now"], r["x0"] - s["last"]
-        same = now.isNotNull() & (F.abs(now["y"] - r["y"]) <= F.greatest(F.lit(1.5), r["font_size"] * 0.4)) & (gap < r["font_size"] * COLUMN_GAP_EM)
-        space = (gap > r["font_size"] * 0.2) & ~now["text"].rlike(f"{T.SPACE}$") & ~r["text"].rlike(f"^{T.SPACE}")
-        joined = F.struct(
-            F.concat(now["text"], F.when(space, " ").otherwise(""), r["text"]).alias("text"), now["x0"].alias("x0"), F.greatest(now["x1"], r["x1"]).alias("x1"), now["y"].alias("y"), F.greatest(now["font_size"], r["font_size"]).alias("font_size")
-        )
-        fresh = F.struct(r["text"].alias("text"), r["x0"].alias("x0"), r["x1"].alias("x1"), r["y"].alias("y"), r["font_size"].alias("font_size"))
-        out = F.when(same | now.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(now)))
-        return F.struct(out.alias("out"), F.when(same, joined).otherwise(fresh).alias("now"), r["x1"].alias("last"))
-
-    run = lambda r: F.struct((-r["y"]).alias("k"), *[r[c].alias(c) for c in ("x0", "seq", "text", "x1", "y", "font_size")])
-    runs = F.array_sort(F.transform(F.filter("runs", lambda r: F.length(r["text"]) > 0), run))
-    lines = F.aggregate(runs, start, add, lambda s: F.concat(s["out"], F.when(s["now"].isNotNull(), F.array(s["now"])).otherwise(F.array().cast(f"array<{line}>"))))
-    clean = F.transform(lines, lambda x: F.struct(T.squash(x["text"]).alias("text"), *[x[c].alias(c) for c in ("x0", "x1", "y", "font_size")]))
-    cut = pages.select("doc_id", "page", F.posexplode(F.filter(clean, lambda x: x["text"] != "")).alias("line_no", "l"))
+    line_no, text, x0, x1, y, font_size), without a shuffle."""
+    cut = paged_lines(pages, runs).select("doc_id", "page", F.posexplode("lines").alias("line_no", "l"))
     return cut.select("doc_id", "page", "line_no", "l.*")
 
 
+def paged_lines(pages: DataFrame, runs: Callable[[pa.RecordBatch], dict] | None = None) -> DataFrame:
+    """The same lines as an array for each page: doc_id, page, lines.
+
+    Runs follow one another down the page and from left to right. One goes on with the line if it stands on the baseline
+    of the line's first run and no column gap right of the run before it. A source that has its runs inside the task
+    gives a function from a batch of its pages, whose texts lie in lists named lines, to columns of runs, with page, the
+    batch's row; then no run passes between the JVM and Python.
+    """
+    kinds = pages.schema
+    schema = f"doc_id {kinds['doc_id'].dataType.simpleString()}, page {kinds['page'].dataType.simpleString()}, lines array<struct<text:string,x0:double,x1:double,y:double,font_size:double>>"
+    held, read = ("runs", _held_runs) if runs is None else ("lines", runs)
+
+    def lines(batches):
+        for batch in batches:
+            for part in W.parts(batch, held):
+                keys = [part.column(c) for c in ("doc_id", "page")]
+                yield pa.record_batch([*keys, _lines_of_runs(part.num_rows, **read(part))], ["doc_id", "page", "lines"])
+
+    return pages.select("doc_id", "page", held).mapInArrow(lines, schema)
+
+
+def _held_runs(batch: pa.RecordBatch) -> dict:
+    lists = batch.column("runs")
+    runs = lists.flatten()
+    return {"page": pc.list_parent_indices(lists).to_numpy(), **{c: runs.field(c) for c in ("seq", "text", "x0", "x1", "y", "font_size")}}
+
+
+def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a < b as Spark has it, NaN being the greatest number."""
+    return (a < b) | (np.isnan(b) & ~np.isnan(a))
+
+
+def _down_the_page(page: np.ndarray, runs: dict) -> np.ndarray:
+    """The places of the runs by page, from the top, from the left and by seq, nulls first; then by what else they hold,
+    so that the order never depends on that of the input."""
+    keys = []
+    for c in ("font_size", "y", "x1", "text", "seq", "x0", "y"):
+        column = runs[c]
+        if c == "text":
+            column = pc.rank(column, tiebreaker="dense")
+        values = column.cast(pa.float64() if c != "seq" else pa.int64())
+        numbers = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+        keys.append(-numbers if c == "y" else numbers)
+        if values.null_count:
+            keys.append(~values.is_null().to_numpy(zero_copy_only=False))
+    return np.lexsort([*keys, page])
+
+
+def _lines_of_runs(pages: int, page, **runs) -> pa.Array:
+    """The lines of so many pages, a list for each."""
+    offsets, _ = W.pieces(runs["text"])
+    kept = np.flatnonzero(np.diff(offsets) > 0)
+    if len(kept) < len(page):
+        page, runs = page[kept], {c: v.take(pa.array(kept)) for c, v in runs.items()}
+    if not _in_order(page, runs):
+        order = _down_the_page(page, runs)
+        page, runs = page[order], {c: v.take(pa.array(order)) for c, v in runs.items()}
+    x0, x1, y, size = (W.numbers(runs[c].cast(pa.float64())) for c in ("x0", "x1", "y", "font_size"))
+    there = {c: ~runs[c].is_null().to_numpy(zero_copy_only=False) if runs[c].null_count else np.ones(len(page), bool) for c in ("x0", "x1", "y", "font_size")}
+    gap = np.full(len(page), np.nan)
+    gap[1:] = x0[1:] - x1[:-1]
+    measured = there["x0"] & there["font_size"]
+    measured[1:] &= there["x1"][:-1]
+    parted = ~(measured & _less(gap, size * COLUMN_GAP_EM))
+    parted[1:] |= np.diff(page) > 0
+    parted[:1] = True
+    begins = _new_baselines(parted, y, there["y"], size)
+    first = np.flatnonzero(begins)
+    space = ~begins & _less(size * 0.2, gap)
+    offsets, data = W.pieces(runs["text"])
+    if space.any():
+        ends, starts = _spaced(runs["text"], offsets, data)
+        space &= ~starts
+        space[1:] &= ~ends[:-1]
+    # a line's text: the bytes of its runs, moved on by the spaces before them
+    moved = np.cumsum(space)
+    out = np.full(len(data) + (moved[-1] if len(moved) else 0), 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(moved, np.diff(offsets))] = data
+    text = _squashed(W.strings(np.append(offsets[first] + moved[first], len(out)), out))
+    wide = _greatest(x1, there["x1"], first)
+    tall = _greatest(size, there["font_size"], first)
+    left, base = (pa.array(c[first], mask=~there[n][first]) for c, n in ((x0, "x0"), (y, "y")))
+    shown = pc.not_equal(text, "")
+    columns = [c.filter(shown) for c in (text, left, wide, base, tall)]
+    counts = np.bincount(page[first][shown.to_numpy(zero_copy_only=False)], minlength=pages)
+    return pa.ListArray.from_arrays(pa.array(W.summed(counts), pa.int32()), pa.StructArray.from_arrays(columns, ["text", "x0", "x1", "y", "font_size"]))
+
+
+def _in_order(page: np.ndarray, runs: dict) -> bool:
+    """Whether the runs stand strictly in order already, as an extractor mostly gives them."""
+    if any(runs[c].null_count for c in ("seq", "x0", "y")):
+        return False
+    x0, y, seq = W.numbers(runs["x0"]), W.numbers(runs["y"]), runs["seq"].to_numpy(zero_copy_only=False)
+    right = (x0[1:] > x0[:-1]) | ((x0[1:] == x0[:-1]) & (seq[1:] > seq[:-1]))
+    return bool(np.all((page[1:] > page[:-1]) | ((page[1:] == page[:-1]) & ((y[1:] < y[:-1]) | ((y[1:] == y[:-1]) & right)))))
+
+
+def _new_baselines(parted: np.ndarray, y: np.ndarray, there: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which runs begin a line; no line goes over a parted run.
+
+    A run as high and as tall as the one before it stands on the same line. Of the others each needs the line's first
+    run: all parts advance together, one such run a round.
+    """
+    begins = parted.copy()
+    alike = np.zeros(len(y), bool)
+    alike[1:] = (y[1:] == y[:-1]) & (size[1:] == size[:-1]) & np.isfinite(y[1:]) & ~parted[1:]
+    at = np.flatnonzero(~alike)
+    starts = np.flatnonzero(parted[at])
+    lengths = np.diff(np.append(starts, len(at)))
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    base = at[starts]
+    for k in range(1, lengths[0] if len(lengths) else 0):
+        n = np.searchsorted(-lengths, -k, "left")  # the parts that have more than k such runs
+        i, b = at[starts[:n] + k], base[:n]
+        near = np.where(np.isnan(size[i]), np.nan, np.maximum(1.5, size[i] * 0.4))
+        fresh = ~(there[i] & there[b] & ~_less(near, np.abs(y[b] - y[i])))
+        begins[i] = fresh
+        base[:n] = np.where(fresh, i, b)
+    return begins
+
+
+def _spaced(text: pa.Array, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts end, and which begin, with white space; none is empty."""
+    ends, starts = SPACE_BYTES[data[offsets[1:] - 1]], SPACE_BYTES[data[offsets[:-1]]]
+    odd = np.flatnonzero((data[offsets[1:] - 1] > 127) | (data[offsets[:-1]] > 127))
+    words = text.take(pa.array(odd)).dictionary_encode()
+    known, of = words.dictionary.to_pylist(), words.indices.to_numpy()
+    for found, rule in ((ends, SPACE_ENDS), (starts, SPACE_BEGINS)):
+        found[odd] = np.array([rule.search(w) is not None for w in known], bool)[of]
+    return ends, starts
+
+
+def _squashed(text: pa.Array) -> pa.Array:
+    """White space runs become one space; none stays at the ends."""
+    odd = np.flatnonzero(pc.match_substring_regex(text, ODD_SPACE).to_numpy(zero_copy_only=False))
+    if not len(odd):
+        return text
+    mended = [SPACE_AROUND.sub("", SPACES.sub(" ", t)) for t in text.take(pa.array(odd)).to_pylist()]
+    mask = np.zeros(len(text), bool)
+    mask[odd] = True
+    return pc.replace_with_mask(text, pa.array(mask), pa.array(mended, pa.string()))
+
+
+def _greatest(values: np.ndarray, there: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The greatest value of each line, nulls left out, NaN being the greatest number."""
+    if not len(first):
+        return pa.array([], pa.float64())
+    none = ~np.logical_or.reduceat(there, first)
+    return pa.array(np.maximum.reduceat(np.where(there, values, -np.inf), first), mask=none)
+
+
 def _weight() -> Column:
     return F.greatest(F.lit(1), F.floor(F.length("text") / 10 + 0.5))
 

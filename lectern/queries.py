@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import storage as S
@@ -22,6 +22,7 @@ from lectern.plans import ingest as E
 from lectern.plans import synthesis as Y
 from lectern.sources import adapters as A
 from lectern.sources import archives as Z
+from lectern.sources import extractor as X
 from lectern.sources import pages as K
 from lectern.streaming import highlight as H
 from lectern.streaming import ingest as I
@@ -52,6 +53,11 @@ def _flags(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast("int").alias(f.name) if f.dataType.simpleString() == "boolean" else F.col(f.name) for f in df.schema])
 
 
+def _thousandths(c: str) -> Column:
+    """Rounded to three places; whole numbers, which most are, need no decimal arithmetic."""
+    return F.when(F.col(c) == F.rint(c), F.col(c)).otherwise(F.round(c, 3)).alias(c)
+
+
 # --- sources ---------------------------------------------------------------------------------------------------------
 @query
 def s1_format(spark, d):
@@ -125,8 +131,8 @@ def s4_glyph_runs(spark, d):
 # --- layout ----------------------------------------------------------------------------------------------------------
 @query
 def l1_group_lines(spark, d):
-    lines = L.page_lines(A.run_pages(spark, d))
-    return lines.select("doc_id", "page", F.col("line_no").cast("int").alias("line_no"), "text", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "y", "font_size")
+    lines = L.page_lines(A.set_pages(spark, d), X.runs)
+    return lines.select("doc_id", "page", F.col("line_no").cast("int").alias("line_no"), "text", _thousandths("x0"), _thousandths("x1"), "y", "font_size")
 
 
 @query
@@ -767,9 +773,8 @@ def k7_synthesis(spark, d):
 
 @query
 def s3_page_scan(spark, d):
-    made = K.scan_pages(A.run_pages(spark, d), A.typeset(spark, d)[1], A.properties(spark, d))
-    counts = made["lines"].groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
-    return made["pages"].join(counts, ["doc_id", "page"], "left").na.fill(0, ["lines", "chars"]).join(made["about"], "doc_id")
+    made = K.scan_pages(A.set_pages(spark, d), A.typeset(spark, d)[1], A.properties(spark, d), X.runs)
+    return made["pages"].join(made["counts"], ["doc_id", "page"], "left").na.fill(0, ["lines", "chars"]).join(made["about"], "doc_id")
 
 
 @query

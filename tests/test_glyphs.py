@@ -95,3 +95,36 @@ def test_random_outlines_equal_recursion(spark):
     made = O.walk_outline(spark.createDataFrame(nodes, "doc_id long, node int, parent int, place int, title string, page int"))
     got = [tuple(r) for r in made.orderBy("doc_id", "seq").select("doc_id", "title", "level").collect()]
     assert got == [(d, *entry) for d in range(20) for entry in walk(d, None, 0)]
+
+
+def brute_lines(runs):
+    """One page's lines: a run at a time, with the line so far at hand."""
+    lines, last = [], None
+    for _, _, _, text, x0, x1, y, size in sorted((r for r in runs if r[3]), key=lambda r: (-r[6], r[4], r[2])):
+        gap = x0 - last if lines else 0.0
+        if lines and abs(lines[-1][3] - y) <= max(1.5, size * 0.4) and gap < size * 3.5:
+            before = lines[-1]
+            space = " " if gap > size * 0.2 and not before[0][-1].isspace() and not text[0].isspace() else ""
+            lines[-1] = (before[0] + space + text, before[1], max(before[2], x1), before[3], max(before[4], size))
+        else:
+            lines.append((text, x0, x1, y, size))
+        last = x1
+    squashed = [(" ".join(n[0].split()), *n[1:]) for n in lines]
+    return [n for n in squashed if n[0]]
+
+
+def test_lines_of_random_runs_equal_the_rule(spark):
+    pick = random.Random(4)
+    made = []
+    for page in range(80):
+        x = 0.0
+        for i in range(pick.randrange(0, 40)):
+            x += pick.choice([0, 4, 5, 9, 12, 40, -30])
+            made.append((page % 3, page, i, pick.choice(["a", "bc", "\u00e9", "a ", " b", "", " ", "two words", "\u3000y", None]), x, x + pick.choice([5.0, 11.0, -1.0]), pick.choice([100.0, 100.0, 101.0, 102.5, 105.0, 90.0]), pick.choice([6.0, 10.0, 10.0, 14.0])))
+    pages = sorted({(r[0], r[1]) for r in made})
+    want = [(*key, i, *n) for key in pages for i, n in enumerate(brute_lines([r for r in made if r[:2] == key]))]
+    pick.shuffle(made)
+    got = L.group_lines(spark.createDataFrame(made, "doc_id long, page int, seq int, text string, x0 double, x1 double, y double, font_size double"))
+    assert [tuple(r) for r in got.orderBy("doc_id", "page", "line_no").collect()] == want
+    holed = spark.createDataFrame([(1, 1, 0, "a", None, 5.0, 9.0, 10.0), (1, 1, 1, "b", 6.0, None, 9.0, 10.0), (1, 1, 2, "c", 12.0, 17.0, 9.0, None), (1, 1, 3, "d", 17.0, 20.0, 9.0, 8.0)], "doc_id long, page int, seq int, text string, x0 double, x1 double, y double, font_size double")
+    assert [(r["text"], r["x1"]) for r in L.group_lines(holed).orderBy("line_no").collect()] == [("ab", 5.0), ("cd", 20.0)]  # nulls end a line, and are no greatest value

@@ -1,13 +1,16 @@
 """What keeps the work in proportion to the input: how often a text is cut, and what is sorted or sent."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern import queries as Q
+from lectern.functions import arrow as W
 from lectern.functions import text as T
 from lectern.operators import glyphs as G
 from lectern.operators import layout as L
 from lectern.operators import schedule as N
 from lectern.sources import adapters as A
+from lectern.sources import extractor as X
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -68,3 +71,36 @@ def test_arranged_lines_move_once_to_become_paragraphs(spark):
     made = spark.createDataFrame([(1, 1, 0, "One line.", 60.0, 140.0, 700.0, 11.0, 11.0, 0, 0, False, 0, 80.0)], "doc_id long, page int, line_no int, text string, x0 double, x1 double, y double, font_size double, body double, band int, col int, spanning boolean, pos int, page_width double")
     assert "Join" not in plan(L.assembled(made)) and plan(L.assembled(made)).count("Repartition") == 1
     assert [(r["doc_id"], r["para"], r["text"]) for r in L.assembled(made).collect()] == [(1, 0, "One line.")]
+
+
+def test_no_character_or_word_passes_between_the_jvm_and_python(spark):
+    for name, column in (("s3_page_scan", "runs"), ("l1_group_lines", "runs")):
+        made = plan(Q.REGISTRY[name](spark, SMALL))
+        assert "MapInArrow" in made and f"{column}#" not in made
+
+
+def test_no_line_moves_to_be_counted(spark):
+    assert "Generate posexplode(lines" not in plan(Q.REGISTRY["s3_page_scan"](spark, SMALL))
+
+
+def test_the_extractor_gives_the_rows_of_boxes_and_runs(spark):
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=repr)
+
+    few = "doc_id < 12"
+    set_ = A.set_pages(spark, SMALL).where(few)
+    assert rows(L.page_lines(set_, X.runs)) == rows(L.group_lines(A.glyph_runs(spark, SMALL).where(few)))
+    assert L.page_lines(set_.where("false"), X.runs).count() == 0
+
+
+def test_a_batch_is_worked_on_in_parts_of_bounded_size():
+    lists = [["é" * 10], [], ["a" * 5, "b" * 5], ["c" * 100], None, ["d"]]
+    batch = pa.record_batch({"n": range(6), "lines": pa.array([x if x is None else [{"text": t} for t in x] for x in lists], pa.list_(pa.struct({"text": pa.string()})))})
+    made = list(W.parts(batch.slice(1), "lines", 12))
+    assert [p.column("n").to_pylist() for p in made] == [[1, 2], [3], [4, 5]]
+
+
+def test_white_space_is_squashed_alike(spark):
+    odd = ["a", "a b", " a", "a ", "a  b", "a\tb", "a b", "a b", "a \u0085", "﻿a", "— é", "", "a　", " "]
+    made = spark.createDataFrame([(t,) for t in odd], "t string").select(F.transform(F.array("t"), T.squash_bound)[0], T.squash(F.col("t")))
+    assert all(a == b for a, b in made.collect()) and made.count() == len(odd)
