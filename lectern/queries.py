@@ -124,8 +124,8 @@ def s14_parse_voices(spark, d):
 
 @query
 def s4_glyph_runs(spark, d):
-    runs = G.page_runs(A.glyph_pages(spark, d))
-    return runs.select("doc_id", "page", "seq", "text", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "y", "font_size")
+    runs = G.page_runs(A.set_pages(spark, d), X.boxes)
+    return runs.select("doc_id", "page", "seq", "text", _thousandths("x0"), _thousandths("x1"), "y", "font_size")
 
 
 # --- layout ----------------------------------------------------------------------------------------------------------

@@ -74,7 +74,7 @@ def test_arranged_lines_move_once_to_become_paragraphs(spark):
 
 
 def test_no_character_or_word_passes_between_the_jvm_and_python(spark):
-    for name, column in (("s3_page_scan", "runs"), ("l1_group_lines", "runs")):
+    for name, column in (("s4_glyph_runs", "boxes"), ("s3_page_scan", "runs"), ("l1_group_lines", "runs")):
         made = plan(Q.REGISTRY[name](spark, SMALL))
         assert "MapInArrow" in made and f"{column}#" not in made
 
@@ -89,8 +89,9 @@ def test_the_extractor_gives_the_rows_of_boxes_and_runs(spark):
 
     few = "doc_id < 12"
     set_ = A.set_pages(spark, SMALL).where(few)
+    assert rows(G.page_runs(set_, X.boxes)) == rows(G.text_runs(A.glyph_boxes(spark, SMALL).where(few)))
     assert rows(L.page_lines(set_, X.runs)) == rows(L.group_lines(A.glyph_runs(spark, SMALL).where(few)))
-    assert L.page_lines(set_.where("false"), X.runs).count() == 0
+    assert G.page_runs(set_.where("false"), X.boxes).count() == L.page_lines(set_.where("false"), X.runs).count() == 0
 
 
 def test_a_batch_is_worked_on_in_parts_of_bounded_size():
