@@ -50,6 +50,17 @@ def chunks(paragraphs: DataFrame) -> DataFrame:
     return cut.select("doc_id", (F.row_number().over(order) - 1).alias("idx"), "text", "page", "para", (F.col("piece") == 0).alias("starts_para"), "heading")
 
 
+def document_chunks(documents: DataFrame) -> DataFrame:
+    """The chunks of doc_id and paragraphs, an array of (text, page, heading) for each document, without a shuffle."""
+
+    def pieces(p: Column, para: Column) -> Column:
+        cut = F.when(p["heading"], F.array(p["text"])).otherwise(pack_sentences(T.sentences(p["text"])))
+        return F.transform(cut, lambda t, k: F.struct(t.alias("text"), p["page"].alias("page"), para.alias("para"), (k == 0).alias("starts_para"), p["heading"].alias("heading")))
+
+    cut = F.flatten(F.transform("paragraphs", pieces))
+    return documents.select("doc_id", F.posexplode(cut).alias("idx", "c")).select("doc_id", "idx", "c.*")
+
+
 def heading_chapters(chunked: DataFrame) -> DataFrame:
     """doc_id, title, chunk_idx, page, level of heading chunks; of very many, only those that name a chapter."""
     named = F.col("text").rlike(CHAPTER_WORDS)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import storage as S
 from lectern.functions import text as T
+from lectern.operators import assembly as D
 from lectern.operators import chunks as C
-from lectern.operators import layout as L
 from lectern.operators import markup as M
 from lectern.sources.archives import entries
 
@@ -21,16 +21,13 @@ def book_rows(chunked: DataFrame) -> DataFrame:
 def ingest_pages(lines: DataFrame, pages: DataFrame, outline: DataFrame | None = None) -> dict[str, DataFrame]:
     """paragraphs, chunks, chapters, stats and books of positioned lines; documents without text have no rows.
 
-    Classified lines, arranged lines and chunks are written to the shared folder: each has several readers, and the
-    lines themselves, which may be dear to make, are read once for judging and once for their margins and sizes.
+    Documents with their paragraphs, and chunks, are written to the shared folder: each has several readers. The lines,
+    which may be dear to make, are read once and not written; those that are dealt by doc_id do not move.
     """
-    judged = S.stored(L.classify(lines, pages))
-    ordered = S.stored(L.arranged(judged))
-    paragraphs = L.assembled(ordered)
-    chunked = S.stored(C.chunks(paragraphs))
-    counts = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"))
-    stats = L.stats_of(judged, ordered).join(counts, "doc_id")
-    return {"paragraphs": paragraphs, "chunks": chunked, "chapters": C.chapters(chunked, outline), "stats": stats, "books": book_rows(chunked).join(stats, "doc_id")}
+    documents = S.stored(D.documents(lines, pages))
+    chunked = S.stored(C.document_chunks(documents))
+    stats = documents.drop("paragraphs")
+    return {"paragraphs": D.paragraphs(documents), "chunks": chunked, "chapters": C.chapters(chunked, outline), "stats": stats, "books": book_rows(chunked).join(stats, "doc_id")}
 
 
 def ingest_markup(documents: DataFrame) -> dict[str, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import storage as S
 from lectern.functions import text as T
+from lectern.operators import assembly as D
 from lectern.operators import chunks as C
 from lectern.operators import glyphs as G
 from lectern.operators import layout as L
@@ -175,7 +176,7 @@ def l8_block_gaps(spark, d):
 
 @query
 def l11_paragraphs(spark, d):
-    return _flags(L.assembled(S.stored(L.arranged(S.stored(L.classify(*A.stored_typeset(spark, d)))))))
+    return _flags(D.paragraphs(D.documents(*A.typeset(spark, d))))
 
 
 @query
@@ -740,14 +741,14 @@ def x3_highlights(spark, d):
 
 @query
 def c9_page_ingest(spark, d):
-    made = E.ingest_pages(*A.stored_typeset(spark, d))
+    made = E.ingest_pages(*A.typeset(spark, d))
     counts = made["chapters"].groupBy("doc_id").agg(F.count("*").alias("chapters"))
     return made["books"].join(counts, "doc_id").select("doc_id", "chunk_count", "word_count", "page_count", "chapters", "margin_lines", "footnote_lines", "column_pages")
 
 
 @query
 def c9_page_chunks(spark, d):
-    return _flags(E.ingest_pages(*A.stored_typeset(spark, d))["chunks"].select("doc_id", "idx", "text", "page", "para", "starts_para", "heading"))
+    return _flags(E.ingest_pages(*A.typeset(spark, d))["chunks"].select("doc_id", "idx", "text", "page", "para", "starts_para", "heading"))
 
 
 def _engine(fails: bool) -> Callable:
