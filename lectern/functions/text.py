@@ -11,7 +11,7 @@ SPACE = r"[\s   -     　﻿]"
 # Words before a full stop that do not end a sentence.
 SENTENCE_ABBREVIATIONS = "mr mrs ms dr prof st sr jr vs etc al fig figs eq no vol pp ed eds cf e.g i.e approx inc ltd co".split()
 CLOSERS = "[\"')\\]”’]"
-OPENS_SENTENCE = "^[\"'(“‘—]?[A-Z0-9]"
+OPENS_SENTENCE = "[\"'(“‘—]?[A-Z0-9]"
 
 # Abbreviations that are read out as words.
 SPOKEN_ABBREVIATIONS = {
@@ -65,30 +65,35 @@ def count_words(text: Column) -> Column:
 
 
 def _ends_sentence(word: Column, following: Column) -> Column:
+    """Whether a sentence ends at a word that the end of the text or an opening word follows."""
+
+    def spared(stem: Column) -> Column:
+        return (
+            F.regexp_replace(stem, "[^a-z.]", "").isin(SENTENCE_ABBREVIATIONS)
+            | stem.rlike("^[a-z]$")
+            | (stem.rlike("[0-9]$") & F.coalesce(following.rlike("^[0-9]"), F.lit(False)))
+        )
+
     stem = F.lower(F.regexp_extract(word, f"([^(]*)[.!?]{CLOSERS}*$", 1))
     dotted = word.rlike(rf"\.{CLOSERS}*$")
-    spared = (
-        F.regexp_replace(stem, "[^a-z.]", "").isin(SENTENCE_ABBREVIATIONS)
-        | stem.rlike("^[a-z]$")
-        | (stem.rlike("[0-9]$") & F.coalesce(following.rlike("^[0-9]"), F.lit(False)))
-    )
-    opens = following.isNull() | following.rlike(OPENS_SENTENCE)
-    return F.when(word.rlike(f"[.!?]{CLOSERS}*$"), F.when(opens, ~(dotted & spared)).otherwise(False)).otherwise(False)
+    return word.rlike(f"[.!?]{CLOSERS}*$") & ~(dotted & F.exists(F.array(stem), spared))
 
 
 def sentences(text: Column) -> Column:
     """The sentences of a squashed text.
 
-    It is cut behind every word that ends in a mark or a closer; of such a part the last word and the next part's first
-    one decide whether a sentence ends there. The parts are bound to a name, so that the text is cut once and not again
-    for each word.
+    It is cut behind every word that ends in a mark or a closer where the next one may open a sentence; of such a part
+    the last word and the next part's first one decide whether a sentence ends there. The parts are bound to a name, so that the text is cut once and not again
+    for each word; so are the two words and the stem.
     """
     last, first = (lambda s: F.substring_index(s, " ", -1)), (lambda s: F.substring_index(s, " ", 1))
 
     def marked(parts: Column) -> Column:
-        return F.array_join(F.transform(parts, lambda s, i: F.when(_ends_sentence(last(s), first(F.get(parts, i + 1))), F.concat(s, F.lit("\u0001"))).otherwise(s)), " ")
+        ends = lambda s, i: F.exists(F.array(F.struct(last(s).alias("word"), first(F.get(parts, i + 1)).alias("next"))), lambda at: _ends_sentence(at["word"], at["next"]))
+        return F.array_join(F.transform(parts, lambda s, i: F.when(ends(s, i), F.concat(s, F.lit("\u0001"))).otherwise(s)), " ")
 
-    bound = F.transform(F.array(F.split(text, f"(?<=[.!?]|{CLOSERS}) ")), marked)
+    # the space stands first in the pattern, since few places hold one
+    bound = F.transform(F.array(F.split(text, f" (?<=(?:[.!?]|{CLOSERS}) )(?={OPENS_SENTENCE})")), marked)
     return F.filter(F.split(bound[0], "\u0001 ?"), lambda s: s != "")
 
 

@@ -83,3 +83,11 @@ def test_titles_and_authors(spark):
     nobody, somebody = ["ANONYMOUS", "user", "Owner", " "], ["Ann User", "x", "Owners"]
     rows = spark.createDataFrame([(f"\t{a} ",) for a in nobody + somebody], "t string").select(T.usable_author(F.col("t"))).collect()
     assert [r[0] for r in rows] == [None] * len(nobody) + somebody
+
+
+def test_a_text_is_cut_only_where_a_sentence_may_open(spark):
+    made = spark.createDataFrame([('He said (no.) twice. "Yes." she said. Then Mr. Ox left at 3.5. 4 came.',)], "t string").select(T.sentences(F.col("t")).alias("s"))
+    assert made.first()["s"] == ['He said (no.) twice.', '"Yes." she said.', "Then Mr. Ox left at 3.5. 4 came."]
+    # the pattern begins with the space, and the words are bound: each is taken from its part once
+    shown = made._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("substring_index(") == 2 and "split(t#" in shown
